@@ -25,4 +25,4 @@ def display_cost(cost: Column) -> Column:
 
 
 def display_rating(rating: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f", rating), F.lit(NOTHING))
+    return F.when(rating.isNotNull(), F.format_string("%.1f", rating)).otherwise(NOTHING)

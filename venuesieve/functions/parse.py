@@ -84,5 +84,5 @@ def classify_cost_tier(cost: Column, low_max: int, medium_max: int) -> Column:
 
 def stable_id(name: Column, city: Column, neighborhood: Column, cuisines: Column) -> Column:
     """Content id over already normalised columns."""
-    payload = F.concat_ws("|", name, city, neighborhood, F.array_join(F.array_sort(cuisines), ","))
+    payload = F.concat_ws("|", name, city, neighborhood, F.array_join(F.sort_array(cuisines), ","))
     return F.substring(F.sha2(payload, 256), 1, 16)

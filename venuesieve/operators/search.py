@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..config import MAX_BUDGET_INR, SearchConfig
 from ..sources.listings import has_required_fields
-from ..sources.staging import stage
+from ..sources.staging import stage, together
 from .containment import containment_pairs, touching_pairs
 from .dominance import count_dominated, keep_first, kth_cost, top_within_cap
 
@@ -140,7 +140,7 @@ def relax_ladder(prefs: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFr
 
 def _want_key(tokens: Column) -> Column:
     """A wanted list as a set; JSON keeps any token apart from its neighbours."""
-    return F.to_json(F.array_sort(F.array_distinct(tokens)))
+    return F.to_json(F.sort_array(F.array_distinct(tokens)))
 
 
 def _tokens(frame: DataFrame, key: str, token: str) -> DataFrame:
@@ -155,7 +155,7 @@ def _lean(listings: DataFrame) -> DataFrame:
         F.lower("city").alias("place_city"),
         F.lower("neighborhood").alias("hood"),
         F.lower(F.coalesce(F.col("raw_fields.address"), F.lit(""))).alias("address"),
-        F.to_json(F.array_sort("cuisines")).alias("tags"),
+        F.to_json(F.sort_array("cuisines")).alias("tags"),
         F.col("cost_for_two").alias("cost"),
         F.coalesce("votes", F.lit(0).cast("bigint")).alias("rank_votes"),
         F.lower("name").alias("lname"),
@@ -201,21 +201,27 @@ class _Places:
 
 
 def _match_places(lean: DataFrame, requests: DataFrame) -> _Places:
-    locations = stage(requests.where(F.col("q") != "").select("q").distinct(), "locations")
-    places = lean.where(F.col("hood") != "").select("place_city", "hood").distinct()
+    spark = lean.sparkSession
+    located = lean.where(F.col("hood") != "")
+    places = located.select("place_city", "hood").distinct()
     names = places.select(F.explode(F.array("place_city", "hood")).alias("place_name")).distinct()
-    touching = stage(touching_pairs(locations, stage(names, "place-names"), "q", "place_name"), "touching")
-    by_place = (
-        places.withColumn("place_name", F.explode(F.array_distinct(F.array("place_city", "hood"))))
-        .join(touching, "place_name")
-        .select("place_city", "hood", "q")
-        .distinct()
-    )
-    addresses = lean.where(F.col("hood") != "").select(F.col("address").alias("haystack")).distinct()
-    by_address = containment_pairs(locations.withColumnRenamed("q", "needle"), addresses).select(
-        F.col("haystack").alias("address"), F.col("needle").alias("q")
+    locations, names = together(
+        spark,
+        lambda: stage(requests.where(F.col("q") != "").select("q").distinct(), "locations"),
+        lambda: stage(names, "place-names"),
     )
-    return _Places(stage(by_place, "by-place"), stage(by_address, "by-address"))
+
+    def by_place() -> DataFrame:
+        touching = stage(touching_pairs(locations, names, "q", "place_name"), "touching")
+        pairs = places.withColumn("place_name", F.explode(F.array_distinct(F.array("place_city", "hood"))))
+        return stage(pairs.join(touching, "place_name").select("place_city", "hood", "q").distinct(), "by-place")
+
+    def by_address() -> DataFrame:
+        addresses = located.select(F.col("address").alias("haystack")).distinct()
+        pairs = containment_pairs(locations.withColumnRenamed("q", "needle"), addresses)
+        return stage(pairs.select(F.col("haystack").alias("address"), F.col("needle").alias("q")), "by-address")
+
+    return _Places(*together(spark, by_place, by_address))
 
 
 def _match_tokens(lean: DataFrame, requests: DataFrame) -> DataFrame:
@@ -289,14 +295,6 @@ def _ask(questions: DataFrame, strict: Column) -> DataFrame:
 # --- the search -----------------------------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class SearchResult:
-    """``candidates``: pref_id, cand_pos, pos and the listing. ``report``: one row per profile."""
-
-    candidates: DataFrame
-    report: DataFrame
-
-
 class ProfileSearch:
     """One corpus against one table of validated profiles.
 
@@ -306,11 +304,16 @@ class ProfileSearch:
     def __init__(self, prefs: DataFrame, listings: DataFrame, cfg: SearchConfig = SearchConfig()):
         self.cfg = cfg
         self.listings = listings
-        self.requests, self.profiles = _requests(prefs, cfg)
-        self.lean = stage(_lean(listings), "lean")
-        self.places = _match_places(self.lean, self.requests)
-        self.want_tokens = _match_tokens(self.lean, self.requests)
-        self.groups = self._groups()
+        spark = listings.sparkSession
+        (self.requests, self.profiles), self.lean = together(
+            spark, lambda: _requests(prefs, cfg), lambda: stage(_lean(listings), "lean")
+        )
+        self.places, self.want_tokens, self.groups = together(
+            spark,
+            lambda: _match_places(self.lean, self.requests),
+            lambda: _match_tokens(self.lean, self.requests),
+            self._groups,
+        )
         self.cells, self.totals = self._cells()
         self._stops: DataFrame | None = None
 
@@ -423,43 +426,43 @@ class ProfileSearch:
     def _final_questions(self) -> DataFrame:
         return _ask(self.stops(), F.col("stop") == 0)
 
-    def funnel(self) -> DataFrame:
-        """Per request: listings left after each of the four filters of the last pass."""
-        asked = self._final_questions()
+    def _funnel(self, asked: DataFrame) -> DataFrame:
+        """Per request: listings left after each of the four filters. ``asked``: req, group, cap, t."""
         groups = asked.select(_GROUP).distinct()
         by_group = (
-            self.cells.join(groups, _GROUP, "left_semi").groupBy(_GROUP).agg(F.sum("n").alias("n_cuisine"))
+            self.cells.join(groups, _GROUP, "left_semi").groupBy(_GROUP).agg(F.sum("n").alias("after_cuisine"))
         )
         thresholds = asked.select(*_GROUP, "cap", "t")
         points = thresholds.unionByName(thresholds.withColumn("t", F.lit(_LOWEST))).distinct()
         needed = self._priced.join(groups, _GROUP, "left_semi")
         hits = stage(count_dominated(needed, points, _GROUP), "hits")
-        n = lambda c: F.sum(F.coalesce(c, F.lit(0).cast("bigint"))).alias(c)
+        unrated = hits.where(F.col("t") == _LOWEST).drop("t").withColumnRenamed("hits", "after_budget")
+
+        def total(name: str) -> Column:
+            return F.sum(F.coalesce(name, F.lit(0).cast("bigint"))).alias(f"total_{name}")
+
         return (
             asked.join(self.totals.withColumnRenamed("n", "after_location"), ["scope", "q"], "left")
-            .join(by_group.withColumnRenamed("n_cuisine", "after_cuisine"), _GROUP, "left")
-            .join(
-                hits.where(F.col("t") == _LOWEST).drop("t").withColumnRenamed("hits", "after_budget"),
-                [*_GROUP, "cap"],
-                "left",
-            )
+            .join(by_group, _GROUP, "left")
+            .join(unrated, [*_GROUP, "cap"], "left")
             .join(hits.withColumnRenamed("hits", "after_rating"), [*_GROUP, "cap", "t"], "left")
             .groupBy("req")
-            .agg(n("after_location"), n("after_cuisine"), n("after_budget"), n("after_rating"))
+            .agg(total("after_location"), total("after_cuisine"), total("after_budget"), total("after_rating"))
         )
 
+    def strict_funnel(self) -> DataFrame:
+        """Per profile: the funnel of its own wishes, nothing relaxed."""
+        wishes = self.requests.select("req", "q", "want", "cap", F.get("ratings", F.lit(0)).alias("t"))
+        return self.profiles.join(self._funnel(_ask(wishes, F.lit(True))), "req").drop("req")
+
     def report(self) -> DataFrame:
         """Per profile: funnel of the last pass, relaxations in order, stop step, truncation flag."""
-        per_request = self.stops().select("req", "stop", "relaxations").join(self.funnel(), "req")
-        return self.profiles.join(per_request, "req").select(
-            "pref_id",
-            "stop",
-            "relaxations",
-            F.col("after_location").alias("total_after_location"),
-            F.col("after_cuisine").alias("total_after_cuisine"),
-            F.col("after_budget").alias("total_after_budget"),
-            F.col("after_rating").alias("total_after_rating"),
-            (F.col("after_rating") > self.cfg.max_candidates).alias("truncated"),
+        funnel = self._funnel(self._final_questions().select("req", *_GROUP, "cap", "t"))
+        per_request = self.stops().select("req", "stop", "relaxations").join(funnel, "req")
+        return (
+            self.profiles.join(per_request, "req")
+            .drop("req")
+            .withColumn("truncated", F.col("total_after_rating") > self.cfg.max_candidates)
         )
 
     def relaxations(self) -> DataFrame:

@@ -8,8 +8,11 @@ size is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from uuid import uuid4
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
@@ -33,3 +36,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{staging_root(df.sparkSession)}/{label}-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(spark: SparkSession, *steps: Callable) -> list:
+    """Run independent steps at the same time; the cluster fills up while one of them plans or ends."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+        return [r.result() for r in running]

@@ -79,3 +79,49 @@ def prefs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 3 == 0, "").otherwise(" quick service ").alias("extras"),
         F.when(key % 3 != 0, (1 + key % 13).cast("int")).alias("top_k"),
     )
+
+
+def responses(candidates: DataFrame) -> DataFrame:
+    """Synthetic model answers, one per profile with candidates, in seven shapes (an eighth stays unanswered).
+
+    By ``pref_id % 8``: 0 all ids backwards, 1 fenced with ranks as text, 2 a stranger first and a broken rank,
+    3 names in upper case, 4 the same id twice without words, 5 not JSON, 6 no list, 7 no answer.
+    """
+    kind = F.col("pref_id") % 8
+    listed = candidates.groupBy("pref_id").agg(
+        F.sort_array(F.collect_list(F.struct("cand_pos", "id", "name"))).alias("c")
+    )
+
+    def entry(rank, ref, why):
+        return F.struct(rank.alias("rank"), ref.alias("restaurant_id"), why.alias("explanation"))
+
+    def body(summary, entries):
+        return F.to_json(F.struct(summary.alias("summary"), entries.alias("recommendations")))
+
+    picks = F.concat(F.lit("Picks for "), F.col("pref_id").cast("string"))
+    size = F.size("c")
+    first = F.col("c")[0]
+    last = F.element_at("c", -1)
+    word = F.lit(" good ")
+    backwards = F.transform("c", lambda x: entry(size + 1 - x["cand_pos"], x["id"], F.concat(F.lit("why "), x["name"])))
+    textual = F.transform(F.slice("c", 1, 3), lambda x: entry(x["cand_pos"].cast("string"), x["id"], word))
+    broken = F.concat(
+        F.to_json(F.array(entry(F.lit(1), F.lit("nobody"), word))),
+        F.to_json(F.array(entry(F.lit("1.5"), last["id"], word))),
+        F.to_json(F.array(entry(F.lit(2.9), first["id"], word))),
+    )
+    strangers = F.concat(
+        F.lit('{"recommendations":'), F.replace(broken, F.lit("]["), F.lit(",")), F.lit(',"summary":7}')
+    )
+    named = F.transform(F.slice("c", 1, 2), lambda x: entry(x["cand_pos"], F.upper(x["name"]), word))
+    twice = F.array(entry(F.lit(1), last["id"], F.lit("")), entry(F.lit(2), last["id"], word))
+    raw = (
+        F.when(kind == 0, body(picks, backwards))
+        .when(kind == 1, F.concat(F.lit("```json\n"), body(F.lit(None).cast("string"), textual), F.lit("\n```\n")))
+        .when(kind == 2, strangers)
+        .when(kind == 3, body(picks, named))
+        .when(kind == 4, body(picks, twice))
+        .when(kind == 5, F.lit('{"summary": "cut off'))
+        .when(kind == 6, F.lit('{"summary": "nothing to say"}'))
+    )
+    return listed.where(kind != 7).select("pref_id", raw.alias("raw"))
