@@ -342,11 +342,15 @@ class ProfileSearch:
         totals = scoped.groupBy("scope", "q").agg(F.sum("n").alias("n"))
         return stage(cells, "cells"), totals
 
+    @property
+    def _reach(self) -> int:
+        """No cap can be higher than this."""
+        return max(MAX_BUDGET_INR, self.cfg.budget_relax_ceiling_inr)
+
     @property
     def _priced(self) -> DataFrame:
         """Cells a cap can reach; an unknown rating sits below every minimum."""
-        reach = max(MAX_BUDGET_INR, self.cfg.budget_relax_ceiling_inr)
-        return self.cells.where(F.col("cost") <= reach).withColumn(
+        return self.cells.where(F.col("cost") <= self._reach).withColumn(
             "rating", F.coalesce("rating", F.lit(_LOWEST))
         )
 
@@ -474,15 +478,13 @@ class ProfileSearch:
         k = self.cfg.max_candidates
         asked = stage(self._final_questions(), "final-questions")
         groups = asked.select(_GROUP).distinct()
-        reach = asked.agg(F.max("cap").alias("top_cap"))
 
         # A listing beaten by k others of equal cost in the same place and cuisine list can answer no question.
         def trim(rows: DataFrame, keys: list[str]) -> DataFrame:
             slim = rows.select(*keys, "tags", "cost", "rating", "rank_votes", "lname", "pos")
             return keep_first(slim, [*keys, "tags", "cost"], order, k)
 
-        rated = self.lean.where(F.col("cost").isNotNull() & F.col("rating").isNotNull())
-        rated = rated.join(reach, F.col("cost") <= F.col("top_cap"), "left_semi")
+        rated = self.lean.where((F.col("cost") <= self._reach) & F.col("rating").isNotNull())
         scoped = _scoped(rated, self.places, trim, groups.select("scope", "q").distinct())
         scoped = stage(scoped, "scoped-rows")
         matches = _group_matches(scoped, groups, self.want_tokens)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,15 +38,21 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", **options: st
 
 
 def _with_file_order(df: DataFrame) -> DataFrame:
-    # inputFiles() is planning metadata; no row is read for it.
-    paths = sorted(df.inputFiles())
+    # inputFiles() is planning metadata; no row is read for it. Both sides may spell the scheme's slashes differently.
+    paths = sorted({re.sub("^([^:/]+):/+", r"\1:/", p) for p in df.inputFiles()})
     if len(paths) == 1:
         return df.withColumn("pos", F.col("_metadata.row_index"))
     order = df.sparkSession.createDataFrame(list(enumerate(paths)), "_ord bigint, _file string")
-    marked = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.col("_metadata.row_index"))
+    marked = df.withColumns(
+        {
+            "_file": F.regexp_replace("_metadata.file_path", "^([^:/]+):/+", "$1:/"),
+            "_row": F.col("_metadata.row_index"),
+        }
+    )
+    place = F.coalesce("_ord", F.raise_error(F.concat(F.lit("file not listed: "), "_file")).cast("bigint"))
     return (
-        marked.join(order, "_file")
-        .withColumn("pos", F.shiftleft(F.col("_ord"), _ROW_BITS) + F.col("_row"))
+        marked.join(order, "_file", "left")
+        .withColumn("pos", F.shiftleft(place, _ROW_BITS) + F.col("_row"))
         .drop("_file", "_row", "_ord")
     )
 
