@@ -55,7 +55,7 @@ def test_top_within_cap(spark, data):
     rows = [(rng.choice(["hot", "hot", "b"]), rng.randint(0, 60), rng.randint(0, 5), i) for i in range(200)]
     frame = spark.createDataFrame(rows, "g string, cost bigint, score int, pos int")
     got = defaultdict(list)
-    for r in top_within_cap(frame, p, ["g"], [F.col("score").desc(), F.col("pos")], 7).collect():
+    for r in top_within_cap(frame, frame, p, ["g"], [F.col("score").desc(), F.col("pos")], 7).collect():
         got[r.g, r.cap].append((-r.score, r.pos))
     for g, cap in {(g, cap) for g, cap, _ in asked}:
         assert sorted(got[g, cap]) == sorted((-s, i) for h, cost, s, i in rows if h == g and cost <= cap)[:7]

@@ -132,25 +132,29 @@ def keep_first(rows: DataFrame, partition: Sequence[str], order: Sequence[Column
 
 
 def top_within_cap(
-    rows: DataFrame, wanted: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
+    rows: DataFrame, costs: DataFrame, wanted: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
 ) -> DataFrame:
-    """For each distinct (keys, cap): the first k rows in ``order`` with cost <= cap. Rows may answer many caps."""
+    """For each distinct (keys, cap): the first k rows in ``order`` with cost <= cap. Rows may answer many caps.
+
+    ``costs`` holds at least every (keys, cost) of the rows.
+    """
     caps = wanted.select(*keys, "cap").distinct()
     spots = _positions(
-        rows.withColumn("v", F.col("cost")), caps.withColumn("v", F.col("cap")), keys, marks_first=False
+        costs.withColumn("v", F.col("cost")), caps.withColumn("v", F.col("cap")), keys, marks_first=False
     )
-    of_row = spots.where(F.col("is_mark") == 0).withColumnRenamed("v", "cost")
-    of_cap = spots.where(F.col("is_mark") == 1).withColumnRenamed("v", "cap")
+    of_row = spots.where(F.col("is_mark") == 0).withColumnRenamed("v", "cost").drop("is_mark")
+    of_cap = spots.where(F.col("is_mark") == 1).withColumnRenamed("v", "cap").drop("is_mark")
+    # All rows between two neighbouring caps answer the same caps, so k of them are enough.
+    between = keep_first(rows.join(of_row, [*keys, "cost"]), [*keys, "idx"], order, k)
     row_blocks = (
-        rows.join(of_row, [*keys, "cost"])
-        .withColumn("lvl", F.explode(_bit_levels(F.col("idx"), F.col("bits"), 0)))
+        between.withColumn("lvl", F.explode(_bit_levels(F.col("idx"), F.col("bits"), 0)))
         .withColumn("node", _shift(F.col("idx"), F.col("lvl")))
-        .drop("is_mark", "idx", "bits")
+        .drop("idx", "bits")
     )
     cap_blocks = (
         of_cap.withColumn("lvl", F.explode(_bit_levels(F.col("idx"), F.col("bits"), 1)))
         .withColumn("node", _shift(F.col("idx"), F.col("lvl")) - 1)
-        .drop("is_mark", "idx", "bits")
+        .drop("idx", "bits")
     )
     best = keep_first(row_blocks, [*keys, *BLOCK], order, k)
     return keep_first(cap_blocks.join(best, [*keys, *BLOCK]), [*keys, "cap"], order, k).drop(*BLOCK)

@@ -257,25 +257,18 @@ def _scoped(lean: DataFrame, places: _Places, shrink, scopes: DataFrame) -> Data
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _group_matches(scoped_tags: DataFrame, groups: DataFrame, want_tokens: DataFrame) -> DataFrame:
-    """(scope, q, want, tags): the distinct cuisine lists that belong to each group with a wanted list.
+def _group_matches(scoped: DataFrame, groups: DataFrame, want_tokens: DataFrame) -> DataFrame:
+    """(scope, q, want, tags): the distinct cuisine lists that belong to each group.
 
-    Joined on (scope, q, token), so only pairs that share a matching token ever meet.
+    Joined on (scope, q, token), so only lists that share a matching token with a wanted list ever meet it. A scope
+    has at most one group that wants nothing in particular; that one takes every list of its scope.
     """
+    offered = scoped.select("scope", "q", "tags").distinct()
+    free = groups.where(F.col("want") == _NO_WANT).join(offered, ["scope", "q"])
     asked = groups.where(F.col("want") != _NO_WANT).join(want_tokens, "want")
-    offered = scoped_tags.select("scope", "q", "tags").distinct()
-    offered = offered.select("*", F.explode(F.from_json("tags", "array<string>")).alias("c"))
-    return asked.join(offered, ["scope", "q", "c"]).select(*_GROUP, "tags").distinct()
-
-
-def _spread(scoped: DataFrame, groups: DataFrame, matches: DataFrame) -> DataFrame:
-    """Scoped rows -> rows per group. Groups without a wanted list take every row of their scope."""
-    free = groups.where(F.col("want") == _NO_WANT)
-    return (
-        scoped.join(matches, ["scope", "q", "tags"])
-        .drop("tags")
-        .unionByName(scoped.join(free, ["scope", "q"]).drop("tags"))
-    )
+    by_token = offered.withColumn("c", F.explode(F.from_json("tags", "array<string>")))
+    shared = asked.join(by_token, ["scope", "q", "c"]).select(*_GROUP, "tags").distinct()
+    return shared.unionByName(free.select(*_GROUP, "tags"))
 
 
 def _group_of(q: Column, strict: Column) -> Column:
@@ -332,12 +325,12 @@ class ProfileSearch:
             return rows.groupBy(*keys, "tags", "cost", "rating").agg(F.count(F.lit(1)).alias("n"))
 
         scopes = self.groups.select("scope", "q").distinct()
-        scoped = _scoped(self.lean, self.places, weigh, scopes)
-        scoped = scoped.groupBy("scope", "q", "tags", "cost", "rating").agg(F.sum("n").alias("n"))
-        scoped = stage(scoped, "scoped")
-        matches = _group_matches(scoped, self.groups, self.want_tokens)
+        scoped = stage(_scoped(self.lean, self.places, weigh, scopes), "scoped")
+        self.matches = stage(_group_matches(scoped, self.groups, self.want_tokens), "matches")
         cells = (
-            _spread(scoped, self.groups, matches).groupBy(*_GROUP, "cost", "rating").agg(F.sum("n").alias("n"))
+            scoped.join(self.matches, ["scope", "q", "tags"])
+            .groupBy(*_GROUP, "cost", "rating")
+            .agg(F.sum("n").alias("n"))
         )
         totals = scoped.groupBy("scope", "q").agg(F.sum("n").alias("n"))
         return stage(cells, "cells"), totals
@@ -486,10 +479,10 @@ class ProfileSearch:
 
         rated = self.lean.where((F.col("cost") <= self._reach) & F.col("rating").isNotNull())
         scoped = _scoped(rated, self.places, trim, groups.select("scope", "q").distinct())
-        scoped = stage(scoped, "scoped-rows")
-        matches = _group_matches(scoped, groups, self.want_tokens)
-        rows = keep_first(_spread(scoped, groups, matches), [*_GROUP, "cost"], order, k)
-        best = top_within_cap(stage(rows, "group-rows"), asked.select(*_GROUP, "cap"), _GROUP, order, k)
+        matches = self.matches.join(groups, _GROUP, "left_semi")
+        rows = scoped.join(matches, ["scope", "q", "tags"]).drop("tags")
+        costs = self._priced.join(groups, _GROUP, "left_semi").select(*_GROUP, "cost")
+        best = top_within_cap(rows, costs, asked.select(*_GROUP, "cap"), _GROUP, order, k)
         # Rating leads the rank, so a minimum rating only cuts the tail of the list.
         answers = (
             asked.select("req", *_GROUP, "cap", "t")
