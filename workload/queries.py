@@ -12,6 +12,7 @@ from venuesieve.config import IngestConfig, SearchConfig
 from venuesieve.functions import display, parse, text
 from venuesieve.operators import match, prompts, quality, search
 from venuesieve.operators import prefs as profiles
+from venuesieve.operators.reconcile import grounding_violations as strangers
 from venuesieve.operators.responses import complete, parse_entries, read_answers
 from venuesieve.plans.recommend import Recommender
 from venuesieve.schemas import CITY, COST
@@ -294,12 +295,7 @@ def grounding_violations(spark: SparkSession, d: str) -> DataFrame:
     """Recommended items per profile, and how many of them are strangers (none may be)."""
     r = _answered(spark, d)
     items = stage(r.items(), "items")
-    strangers = (
-        r.search.candidates()
-        .select("pref_id", "id")
-        .distinct()
-    )
-    bad = items.join(strangers, ["pref_id", "id"], "left_anti").groupBy("pref_id").agg(F.count(F.lit(1)).alias("bad"))
+    bad = strangers(items, r.candidates).groupBy("pref_id").agg(F.count(F.lit(1)).alias("bad"))
     return (
         items.groupBy("pref_id")
         .agg(F.count(F.lit(1)).alias("n_items"))
