@@ -5,7 +5,9 @@ from venuesieve import PREFS, CorpusTooSmallError, IngestConfig, ListingSchemaEr
 from venuesieve.operators import match, quality
 from venuesieve.operators.prefs import split_preferences, validate_preferences
 from venuesieve.schemas import COST, RAW
+from venuesieve.operators.search import _lean
 from venuesieve.sources import canonicalize, load_listings, missing_columns, read_canonical, read_raw, write_canonical
+from venuesieve.sources.listings import first_rows
 
 ROWS = [
     (1, " jalsa ", "bengaluru", "Banashankari", "North Indian, Mughlai", "4.1/5", "800", "775", "942, MG Road"),
@@ -85,6 +87,24 @@ def test_single_profile_filters_reach_the_scan(spark, raw, tmp_path, capsys):
     assert "LessThanOrEqual(cost_for_two,1000)" in plan and "GreaterThanOrEqual(rating,4.0)" in plan
 
 
+def test_search_reads_no_more_than_it_needs(spark, raw, tmp_path, capsys):
+    path = str(tmp_path / "canonical")
+    write_canonical(canonicalize(raw), path)
+    _lean(read_canonical(spark, path)).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "raw_fields:struct<address:string>" in plan and "reviews_list" not in plan
+    assert "Not(EqualTo(city,))" in plan
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 499, 500, 600])
+def test_first_rows_both_ways(spark, n):
+    df = spark.range(500).select((F.col("id") * F.col("id") * 12345 - 10**6).alias("pos"))
+    want = sorted(i * i * 12345 - 10**6 for i in range(500))[:n]
+    assert sorted(r.pos for r in first_rows(df, n).collect()) == want
+    if n:
+        assert sorted(r.pos for r in first_rows(df, n, small=0).collect()) == want
+
+
 PROFILES = [
     (1, " bangalore ", "1000", None, ["Italian", " "], 4.0, " quiet ", 5, None),
     (2, None, "0", None, [], 3.0, None, None, "budget_not_positive"),
