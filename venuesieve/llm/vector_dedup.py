@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import components, ragged, stage
 
 BLOCK_ROWS = 1024
+CHUNK_ROWS = 8192
+PAIRS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -69,10 +71,10 @@ def near_vectors(
 
     1. Equal vectors are merged into the one with the smallest key, with a count.
     2. Each lies in its buckets; buckets of one are dropped before vectors are shipped.
-    3. In a bucket all cosines are computed by blocks of 1,024 rows against each other, in double precision. A large
-       bucket is cut into blocks by hash and every pair of blocks is a task of its own. A pair that shares several
-       buckets counts in the first of them only. A task returns a row's number of links and the root of its component
-       there, so pairs are counted but never emitted.
+    3. In a bucket all cosines are computed, in double precision. Small buckets are dealt to a task by the thousand; one
+       of more than 1,024 rows is cut into blocks by hash, and every pair of blocks is a group of its own. A pair that
+       shares several buckets counts in the first of them only. A group returns a row's number of links and the root
+       of its component there, so pairs are counted but never emitted.
     4. Components of those (row, root) edges give the smallest reachable key.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing: 0 links, a component of
@@ -92,19 +94,15 @@ def near_vectors(
     sizes = coded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK_ROWS)
     members = stage(coded.join(sizes, "bucket").withColumn("blocks", blocks).drop("n"), "vector-buckets")
+    chunks = max(1, members.count() // CHUNK_ROWS)
+    chunk = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(chunks))).otherwise(F.col("bucket"))
     own = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks"))
-    met = members.join(merged.drop("h"), "rep").withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    met = met.withColumn("other", other).select(
-        "bucket",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        "own",
-        "rep",
-        "copies",
-        "v",
-    )
-    linked = met.groupBy("bucket", "i", "j").applyInArrow(_meet(how, threshold), "rep long, links long, root long")
+    met = members.join(merged.drop("h"), "rep").withColumn("own", own).withColumn("other", other)
+    met = met.withColumns({"chunk": chunk, "i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    met = met.select("blocks", "chunk", "i", "j", "bucket", "own", "rep", "copies", "v")
+    blocked = met.groupBy(F.col("blocks") > 1, "chunk", "i", "j")
+    linked = blocked.applyInArrow(_meet(how, threshold), "rep long, links long, root long")
     linked = stage(linked, "vector-links")
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vector")
@@ -150,34 +148,65 @@ def _mixed(codes: np.ndarray, width: int) -> np.ndarray:
 
 def _meet(how: Hashing, threshold: float):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        bucket, i, j = (k.as_py() for k in key)
-        own, rep = rows.column("own").to_numpy(), rows.column("rep").to_numpy()
-        copies, units = rows.column("copies").to_numpy(), np.stack(_units(rows))
-        order = np.argsort(rep)
-        own, rep, copies, units = own[order], rep[order], copies[order], units[order]
-        codes = _mixed(buckets(units, how), units.shape[1]).reshape(len(rep), -1)
-        links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        for s in range(0, len(left), BLOCK_ROWS):
-            a = left[s : s + BLOCK_ROWS]
-            x, y = np.nonzero(units[a] @ units[right].T >= threshold)
-            x, y = a[x], right[y]
-            x, y = (x[x < y], y[x < y]) if i == j else (np.minimum(x, y), np.maximum(x, y))
-            for c in range(0, len(x), 1 << 16):
-                p, q = x[c : c + (1 << 16)], y[c : c + (1 << 16)]
-                here = _first_shared(codes, p, q) == bucket
-                p, q = p[here], q[here]
-                np.add.at(links, p, copies[q])
-                np.add.at(links, q, copies[p])
-                _union(root, p, q)
+        large, _, i, j = (k.as_py() for k in key)
+        own, rep, bucket, copies = (rows.column(c).to_numpy() for c in ("own", "rep", "bucket", "copies"))
+        units = _units(rows)
+        distinct, first, number = np.unique(rep, return_index=True, return_inverse=True)
+        links, root = np.zeros(len(distinct), np.int64), np.arange(len(distinct))
+        pairs = _across(units, own, i, j, threshold) if large else _within(units, bucket, threshold)
+        for p, q in pairs:
+            here = bucket[p]
+            p, q = np.minimum(number[p], number[q]), np.maximum(number[p], number[q])
+            some, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+            codes = buckets(np.stack([units[k] for k in first[some]]), how).reshape(len(some), -1)
+            codes = _mixed(codes, len(units[first[some[0]]]))
+            counts = _first_shared(codes, at[: len(p)], at[len(p) :]) == here
+            p, q = p[counts], q[counts]
+            np.add.at(links, p, copies[first[q]])
+            np.add.at(links, q, copies[first[p]])
+            _union(root, p, q)
         some = np.flatnonzero(links)
-        root = rep[_find_all(root)]
-        return pa.table({"rep": rep[some], "links": links[some], "root": root[some]})
+        root = distinct[_find_all(root)]
+        return pa.table({"rep": distinct[some], "links": links[some], "root": root[some]})
 
     return run
 
 
+def _across(units: list, own: np.ndarray, i: int, j: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows between block i and block j of one bucket whose cosine is high enough."""
+    units = np.stack(units)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for s in range(0, len(left), BLOCK_ROWS):
+        a = left[s : s + BLOCK_ROWS]
+        x, y = np.nonzero(units[a] @ units[right].T >= threshold)
+        x, y = a[x], right[y]
+        if i == j:
+            x, y = x[x < y], y[x < y]
+        for c in range(0, len(x), PAIRS):
+            yield x[c : c + PAIRS], y[c : c + PAIRS]
+
+
+def _within(units: list, bucket: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows inside each of many small buckets whose cosine is high enough; a bucket has one length."""
+    widths = np.array([len(u) for u in units])
+    for width in np.unique(widths):
+        mine = np.flatnonzero(widths == width)
+        order = mine[np.argsort(bucket[mine], kind="stable")]
+        x = np.stack([units[k] for k in order])
+        own = bucket[order]
+        later = np.searchsorted(own, own, "right") - np.arange(len(own)) - 1
+        ends = np.cumsum(later)
+        s = 0
+        while s < len(own):
+            e = max(s + 1, int(np.searchsorted(ends, ends[s] - later[s] + PAIRS, "right")))
+            p = np.repeat(np.arange(s, e), later[s:e])
+            q = ragged(np.arange(s, e) + 1, later[s:e])
+            near = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
+            if near.any():
+                yield order[p[near]], order[q[near]]
+            s = e
+
+
 def _first_shared(codes: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """For every pair of rows the first bucket of p that is also one of q."""
     out = np.zeros(len(p), np.int64)
