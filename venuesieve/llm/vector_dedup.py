@@ -31,6 +31,12 @@ class Hashing:
     probes: int = 2
     seed: int = 5
 
+    @classmethod
+    def for_rows(cls, rows: int, width: int) -> Hashing:
+        """More turns for more rows, so that unrelated vectors seldom meet, and more tables to find as many pairs."""
+        turns = max(3, round(np.log(8 * max(rows, 1)) / np.log(max(4, width))))
+        return cls(tables=2 * turns, turns=turns)
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Walsh-Hadamard transform of every row, log2(width) passes."""
@@ -65,7 +71,7 @@ def buckets(units: np.ndarray, how: Hashing) -> np.ndarray:
 
 
 def near_vectors(
-    df: DataFrame, threshold: float = 0.95, how: Hashing = Hashing(), key: str = "vec_id", vector: str = "embedding"
+    df: DataFrame, threshold: float = 0.95, how: Hashing | None = None, key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """(key, n_links, component_id, kept) for every row of ``df``; two rows link if their cosine reaches ``threshold``.
 
@@ -90,6 +96,8 @@ def near_vectors(
     merged = rows.where("h IS NOT NULL").groupBy("h")
     merged = merged.agg(F.min("k").alias("rep"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
     merged = stage(merged, "vector-reps")
+    if how is None:
+        how = Hashing.for_rows(*merged.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first())
     coded = merged.mapInArrow(_code(how), "rep long, bucket long")
     sizes = coded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK_ROWS)
