@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -11,14 +12,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, pack, ragged, stage_bucketed, unpack
+from .common import pack, ragged, stage_bucketed, unpack
 
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 16 << 20
 SLICE_TOKENS = 4 << 20
 MOST_VOCABULARY = 64 << 20
 
@@ -78,14 +79,15 @@ def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str
     """
     kind = df.schema[key].dataType
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    shape = f"block long, keys array<{kind.simpleString()}>, lengths binary, sequence binary, words array<string>"
+    shape = f"block long, keys array<{kind.simpleString()}>, lengths binary, sequence binary, words array<string>, "
+    shape += "counts binary"
     blocks = stage_bucketed(rows.mapInArrow(_split(vocabulary.pattern, to_arrow_type(kind)), shape), "block", "bpe")
     words = blocks.select("block", F.posexplode("words").alias("position", "word"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = words.repartition(parts, "word").sortWithinPartitions("word")
     codes = dealt.mapInArrow(_encode_words(vocabulary), "block long, positions binary, sizes binary, ids binary")
     table = codes.groupBy("block").agg(F.collect_list(F.struct("positions", "sizes", "ids")).alias("codes"))
-    whole = blocks.select("block", "keys", "lengths", "sequence", F.size("words").alias("n_words"))
+    whole = blocks.drop("words")
     joined = whole.join(table, "block", "left")
     out = f"`{key}` {kind.simpleString()}, n_tokens long, ids binary"
     return joined.mapInArrow(_reassemble(key, to_arrow_type(kind)), out)
@@ -100,40 +102,74 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame
     return df.drop("decoded").mapInArrow(_join_bytes(vocabulary, ids), schema)
 
 
-def _split(pattern: str, kind: pa.DataType):
-    """Pre-tokens by way of chunks, white space with what follows it up to the next: no pre-token crosses their ends."""
+class _Block:
+    """Texts as sequences of chunks: white space with what follows it up to the next. No pre-token crosses their ends."""
+
+    def __init__(self):
+        self.keys: list = []
+        self.texts: list[np.ndarray] = []
+        self.chunks: dict[str, int] = {}
+        self.size = 0
+
+    def add(self, key, found: list[str], size: int) -> None:
+        number = self.chunks
+        self.keys.append(key)
+        self.texts.append(np.array([number.setdefault(c, len(number)) for c in found], np.int32))
+        self.size += size
+
+    def row(self, block: int, fine: regex.Pattern, kind: pa.DataType) -> pa.RecordBatch:
+        """Distinct pre-tokens in code point order; the sequence names them by how often they occur, ties as listed."""
+        words: dict[str, int] = {}
+        flat, sizes = array("i"), array("i")
+        for chunk in self.chunks:
+            found = fine.findall(chunk)
+            sizes.append(len(found))
+            flat.extend([words.setdefault(w, len(words)) for w in found])
+        self.chunks = {}
+        listed = sorted(words)
+        place = np.empty(len(words), np.int32)
+        place[[words[w] for w in listed]] = np.arange(len(words))
+        flat, sizes = place[np.frombuffer(flat, np.int32)], np.frombuffer(sizes, np.int32)
+        starts = np.cumsum(sizes) - sizes
+        lengths = np.array([sizes[t].sum() for t in self.texts], np.int64)
+        line = np.concatenate(self.texts)
+        self.texts = []
+        sequence = flat[ragged(starts[line], sizes[line])]
+        counts = np.bincount(sequence, minlength=len(listed))
+        rank = np.empty(len(listed), np.int32)
+        rank[_by_count(counts)] = np.arange(len(listed))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([block], pa.int64()),
+                pa.array([self.keys], pa.list_(kind)),
+                pa.array([pack(lengths)], pa.binary()),
+                pa.array([pack(rank[sequence])], pa.binary()),
+                pa.array([listed], pa.list_(pa.string())),
+                pa.array([pack(counts)], pa.binary()),
+            ],
+            ["block", "keys", "lengths", "sequence", "words", "counts"],
+        )
+
+
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    return np.argsort(-counts.astype(np.int64), kind="stable")
 
+
+def _split(pattern: str, kind: pa.DataType):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fine = regex.compile(pattern)
         chunk = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-        for block, rows in cut(batches, "text", BLOCK_CHARS):
-            chunks: dict[str, int] = {}
-            texts = []
-            for value in rows["text"]:
-                found = chunk.findall(value or "")
-                texts.append(np.array([chunks.setdefault(c, len(chunks)) for c in found], np.int64))
-            words: dict[str, int] = {}
-            split = [[words.setdefault(w, len(words)) for w in fine.findall(c)] for c in chunks]
-            sizes = np.array([len(s) for s in split], np.int64)
-            flat = np.array([w for s in split for w in s], np.int64)
-            starts = np.cumsum(sizes) - sizes
-            lengths = np.array([sizes[t].sum() for t in texts], np.int64)
-            line = np.concatenate(texts)
-            sequence = flat[ragged(starts[line], sizes[line])]
-            often = np.argsort(-np.bincount(sequence, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), np.int64)
-            rank[often] = np.arange(len(words))
-            listed = list(words)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block], pa.int64()),
-                    pa.array([rows["key"]], pa.list_(kind)),
-                    pa.array([pack(lengths)], pa.binary()),
-                    pa.array([pack(rank[sequence])], pa.binary()),
-                    pa.array([[listed[i] for i in often]], pa.list_(pa.string())),
-                ],
-                ["block", "keys", "lengths", "sequence", "words"],
-            )
+        number, held = TaskContext.get().partitionId() << 32, _Block()
+        for batch in batches:
+            keys, texts = batch.column("key"), batch.column("text")
+            for i in range(batch.num_rows):
+                text = texts[i].as_py() or ""
+                held.add(keys[i].as_py(), chunk.findall(text), len(text))
+                if held.size >= BLOCK_CHARS:
+                    yield held.row(number, fine, kind)
+                    number, held = number + 1, _Block()
+        if held.keys:
+            yield held.row(number, fine, kind)
 
     return run
 
@@ -157,7 +193,7 @@ def _encode_words(vocabulary: Vocabulary):
                     mine = [codes[i] for i in own]
                     sizes = np.array([len(c) for c in mine])
                     ids = np.array([i for c in mine for i in c])
-                    out.append((int(block[own[0]]), pack(position[own]), pack(sizes), pack(ids)))
+                    out.append((int(block[own[0]]), pack(np.diff(position[own], prepend=0)), pack(sizes), pack(ids)))
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
@@ -176,15 +212,18 @@ def _reassemble(key: str, kind: pa.DataType):
 
     def documents(row: dict) -> Iterator[pa.RecordBatch]:
         parts = row["codes"] or []
-        position, size, ids = (
-            np.concatenate([np.empty(0, np.uint32), *[unpack(p[name]) for p in parts]]).astype(np.int64)
-            for name in ("positions", "sizes", "ids")
-        )
-        if len(position) != row["n_words"]:
-            raise ValueError(f"block {row['block']} has {row['n_words']} words, but {len(position)} codes")
-        sizes, starts = np.zeros(row["n_words"], np.int64), np.zeros(row["n_words"], np.int64)
+        empty = np.empty(0, np.uint32)
+        position = np.concatenate([empty, *[np.cumsum(unpack(p["positions"])) for p in parts]]).astype(np.int64)
+        size = np.concatenate([empty, *[unpack(p["sizes"]) for p in parts]]).astype(np.int64)
+        ids = np.concatenate([empty, *[unpack(p["ids"]) for p in parts]])
+        counts = unpack(row["counts"])
+        if len(position) != len(counts):
+            raise ValueError(f"block {row['block']} has {len(counts)} words, but {len(position)} codes")
+        sizes, starts = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
         sizes[position], starts[position] = size, np.cumsum(size) - size
-        words = unpack(row["sequence"]).astype(np.int64)
+        often = _by_count(counts)
+        sizes, starts = sizes[often], starts[often]
+        words = unpack(row["sequence"])
         ends = np.cumsum(unpack(row["lengths"]), dtype=np.int64)
         tokens = np.concatenate([[0], np.cumsum(sizes[words])])[np.concatenate([[0], ends])]
         first = 0
