@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, stage
+from .common import components, cut, ragged, stage
 
 BATCH_CHARS = 4 << 20
+FEW = 64
+BLOCK_TEXTS = 1024
 WORD = r"(?U)\S"
 
 
@@ -145,11 +147,14 @@ def near_texts(
 
     1. Equal texts are merged by MD5, so a group of copies is one text from here on.
     2. Signatures, cut into bands; (band, text) rows of bands that occur once are dropped.
-    3. In each band every text is compared with one leader, the text of the smallest hash under that band, so that
-       leaders differ between bands; similar pairs make components. A hot band costs as many pairs as it has texts.
+    3. In each band every text is compared with one leader, at first one picked by a hash of text and band, so that
+       leaders differ between bands; similar pairs make components. Then again, with texts of other components than the
+       leader's and the text with most links as leader, until a round finds no link. A hot band costs as many pairs a
+       round as it has texts outside the leader's component.
     4. What is left: a band whose texts are still in several components. There the texts outside the leader's component
-       are compared with all texts of other components, except for pairs already compared. So every two texts that
-       share a band are compared or in one component already, without all pairs of a group of copies.
+       are compared with all texts of other components, except for pairs already compared; in bands of more than 64
+       texts by blocks inside tasks, which return only likely pairs. So every two texts that share a band are compared
+       or in one component already, and the pairs of a group of copies are never emitted.
     5. Pairs are verified on the exact shingle multisets; components of the links give the classes.
 
     Null texts and texts without words belong to no group and are kept. Repeated rows are rows of one class. Rows with
@@ -162,21 +167,38 @@ def near_texts(
     coded = texts.mapInArrow(_sign(how), "t string, bands array<long>").dropDuplicates(["t"])
     coded = stage(coded, "near-signatures")
     banded = coded.select("t", F.explode("bands").alias("band"))
-    sizes = banded.groupBy("band").agg(F.count("*").alias("n"), F.min_by("t", F.xxhash64("t", "band")).alias("leader"))
-    shared = stage(banded.join(sizes.where("n > 1").drop("n"), "band"), "near-bands")
-    pair = F.struct(F.least("t", "leader").alias("a"), F.greatest("t", "leader").alias("b"))
-    first = stage(shared.where("t <> leader").select(pair.alias("p")).select("p.*").distinct(), "near-pairs")
-    links = _similar(first, texts, threshold, how)
-    label = components(links, "near")
-    labelled = shared.join(label.withColumnsRenamed({"node": "t", "root": "own"}), "t", "left")
-    labelled = labelled.join(label.withColumnsRenamed({"node": "leader", "root": "main"}), "leader", "left")
-    labelled = labelled.withColumn("own", F.coalesce("own", "t")).withColumn("main", F.coalesce("main", "leader"))
-    labelled = stage(labelled.select("band", "t", "own", "main"), "near-labelled")
-    outside = labelled.where("own <> main").select("band", F.col("t").alias("x"), F.col("own").alias("x_own"))
-    met = outside.join(labelled.select("band", "t", "own"), "band").where("own <> x_own")
-    rest = met.select(F.least("x", "t").alias("a"), F.greatest("x", "t").alias("b")).distinct()
-    rest = stage(rest.join(first, ["a", "b"], "left_anti"), "near-rest")
-    label = components(links.union(_similar(rest, texts, threshold, how)), "near-all")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = stage(banded.join(sizes, "band"), "near-bands")
+    needed = shared.select("t").distinct()
+    sets = texts.join(needed, "t", "left_semi").dropDuplicates(["t"])
+    sets = stage(sets.mapInArrow(_multisets(how), "t string, s array<long>"), "near-sets")
+    state = stage(shared.withColumn("own", F.col("t")).withColumn("degree", F.lit(0).cast("long")), "near-state")
+    tested = links = label = None
+    while True:
+        leader = F.max_by(F.struct("t", "own"), F.struct("degree", F.xxhash64("t", "band"))).alias("leader")
+        led = state.join(state.groupBy("band").agg(leader), "band").where(F.col("own") != F.col("leader.own"))
+        pairs = _ordered(led.select(F.col("t").alias("x"), F.col("leader.t").alias("y")))
+        pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        new = _similar(pairs, sets, threshold)
+        found = new.count()
+        if found or label is None:
+            links = new if links is None else links.union(new)
+            label = components(links, "near")
+            state = stage(_state(shared, label, links), "near-state")
+        if not found:
+            break
+    main = F.max_by("own", F.struct("degree", F.xxhash64("t", "band"))).alias("main")
+    outside = state.join(state.groupBy("band").agg(main), "band").where("own <> main")
+    counts = outside.groupBy("band").agg(F.count("*").alias("n_out"))
+    counts = state.groupBy("band").agg(F.count("*").alias("n")).join(counts, "band")
+    counts = stage(counts, "near-open")
+    outside = stage(outside.select("band", F.col("t").alias("x"), F.col("own").alias("x_own")), "near-outside")
+    few = counts.where(F.col("n") <= FEW).select("band")
+    small = outside.join(few, "band").join(state.select("band", F.col("t").alias("y"), "own"), "band")
+    met = small.where("own <> x_own").select("x", "y").union(_in_blocks(outside, state, counts, sets, threshold))
+    rest = stage(_ordered(met).join(tested, ["a", "b"], "left_anti"), "near-rest")
+    label = components(links.union(_similar(rest, sets, threshold)), "near-all")
     named = rows.join(label.withColumnRenamed("node", "t"), "t", "left")
     named = stage(named.withColumn("root", F.coalesce("root", "t")), "near-named")
     winner = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "t")).alias("w")
@@ -205,19 +227,79 @@ def one_per_class(df: DataFrame, key: str = "doc_id", text: str = "text", **how)
     return single.union(left.where("_md5 IS NULL")).drop("_md5")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, threshold: float, how: Darts) -> DataFrame:
+def _in_blocks(outside: DataFrame, state: DataFrame, counts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y) of different components in bands of more than ``FEW`` texts that may be similar enough.
+
+    Blocks of texts outside the leader's component meet blocks of all texts of the band inside tasks, as sets of 32-bit
+    hashes. A collision can only raise a similarity, so no pair is lost, and only likely ones come out.
+    """
+    large = counts.where(F.col("n") > FEW)
+    brief = sets.select("t", F.transform("s", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("s"))
+    blocks = {name: F.ceil(F.col(n) / BLOCK_TEXTS) for name, n in (("i", "n_out"), ("j", "n"))}
+    deal = lambda name: F.pmod(F.xxhash64("t", "band"), blocks[name])
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), blocks[name] - 1))
+    left = outside.select("band", F.col("x").alias("t"), F.col("x_own").alias("own")).join(large, "band")
+    left = left.withColumn("i", deal("i")).withColumn("j", every("j")).join(brief, "t")
+    right = state.select("band", "t", "own").join(large, "band")
+    right = right.withColumn("j", deal("j")).withColumn("i", every("i")).join(brief, "t")
+    columns, keys = ["band", "i", "j", "t", "own", "s"], ["band", "i", "j"]
+    left, right = (df.select([F.col(c).alias(c) for c in columns]) for df in (left, right))
+    grouped = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    return grouped.applyInArrow(_likely(threshold), "x string, y string")
+
+
+def _likely(threshold: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = left.column("t").to_pylist(), right.column("t").to_pylist()
+        found_x, found_y = [], []
+        if x and y:
+            own_x, own_y = np.array(left.column("own").to_pylist()), np.array(right.column("own").to_pylist())
+            lists = right.column("s").combine_chunks()
+            size_y = lists.value_lengths().to_numpy()
+            values, holder = lists.flatten().to_numpy(), np.repeat(np.arange(len(y)), size_y)
+            order = np.argsort(values, kind="stable")
+            values, holder = values[order], holder[order]
+            for a, own in enumerate(left.column("s").combine_chunks()):
+                mine = own.values.to_numpy()
+                first = np.searchsorted(values, mine, "left")
+                hits = holder[ragged(first, np.searchsorted(values, mine, "right") - first)]
+                both = np.bincount(hits, minlength=len(y))
+                near = both >= threshold * (len(mine) + size_y - both) - 1e-9
+                for b in np.flatnonzero(near & (own_y != own_x[a])):
+                    found_x.append(x[a])
+                    found_y.append(y[b])
+        return pa.table({"x": pa.array(found_x, pa.string()), "y": pa.array(found_y, pa.string())})
+
+    return run
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of pairs (x, y)."""
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _state(shared: DataFrame, label: DataFrame, links: DataFrame) -> DataFrame:
+    """(t, band, own, degree): the component of each text so far, and how many links it has."""
+    degree = links.select(F.col("a").alias("t")).union(links.select("b")).groupBy("t").agg(F.count("*").alias("degree"))
+    known = label.withColumnsRenamed({"node": "t", "root": "own"}).join(degree, "t")
+    found = shared.join(known, "t", "left")
+    return found.select("t", "band", F.coalesce("own", "t").alias("own"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) of digests whose weighted Jaccard similarity is >= ``threshold``.
 
-    A multiset is an array of hashes of (shingle, how many times before), so weighted Jaccard is that of sets.
+    A multiset is an array of hashes of (shingle, how many times before), so weighted Jaccard is that of sets. Pairs
+    whose sizes alone rule it out are dropped before sets are joined to them.
     """
-    needed = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
-    sets = texts.join(needed, "t", "left_semi").dropDuplicates(["t"]).mapInArrow(_multisets(how), "t string, s array<long>")
-    sets = stage(sets, "near-sets")
-    a = sets.withColumnsRenamed({"t": "a", "s": "s_a"})
-    b = sets.withColumnsRenamed({"t": "b", "s": "s_b"})
+    a, b = (sets.select(F.col("t").alias(x), F.size("s").alias(f"n_{x}")) for x in "ab")
+    sized = pairs.join(a, "a").join(b, "b")
+    able = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")
+    a, b = (sets.select(F.col("t").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
     both: Column = F.size(F.array_intersect("s_a", "s_b"))
-    jaccard = both / (F.size("s_a") + F.size("s_b") - both)
-    return stage(pairs.join(a, "a").join(b, "b").where(jaccard >= threshold).select("a", "b"), "near-links")
+    jaccard = both / (F.col("n_a") + F.col("n_b") - both)
+    met = sized.where(able).join(a, "a").join(b, "b")
+    return stage(met.where(jaccard >= threshold).select("a", "b"), "near-links")
 
 
 def _sign(how: Darts):
