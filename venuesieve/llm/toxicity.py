@@ -49,7 +49,7 @@ def grams(text: str | None) -> np.ndarray:
 def train(texts: list[str | None], toxic: np.ndarray) -> Model:
     """Presence of each n-gram, times its log-count ratio, into a logistic regression with L2.
 
-    An n-gram takes part if it is in 4 documents and as often in toxic ones as chance would have it only beyond four
+    An n-gram takes part if it is in 4 documents and its share of toxic ones lies off the mean by more than five
     standard deviations; the ratio compares smoothed shares of toxic and other documents.
     """
     size = 1 << BITS
@@ -58,11 +58,11 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
         counts[y, np.unique(grams(text))] += 1
     n = np.bincount(toxic, minlength=2).astype(float)
     if not n.all():
-        return Model(np.zeros(size, np.float32), -10.0 if n[0] else 10.0)
+        return Model(np.zeros(size, np.float32), 10.0 if n[1] else -10.0)
     both = counts.sum(axis=0)
     share = n[1] / n.sum()
     spread = np.sqrt(both * share * (1 - share))
-    tells = (both >= 4) & (np.abs(counts[1] - both * share) > 4 * spread)
+    tells = (both >= 4) & (np.abs(counts[1] - both * share) > 5 * spread)
     ratio = np.log(((counts[1] + 1) / (n[1] + 2)) / ((counts[0] + 1) / (n[0] + 2)))
     ratio[~tells] = 0
     place = np.full(size, -1)
@@ -80,7 +80,7 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
     for step in range(1, STEPS + 1):
         margin = bias + np.bincount(row, weight[column] * value, len(texts))
         error = (1 / (1 + np.exp(-margin)) - y) / len(texts)
-        grad = np.bincount(column, error[row] * value, len(weight)) + 1e-4 * weight
+        grad = np.bincount(column, error[row] * value, len(weight)) + 1e-3 * weight
         grad_b = error.sum()
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         first_b, second_b = 0.9 * first_b + 0.1 * grad_b, 0.999 * second_b + 0.001 * grad_b**2
