@@ -61,7 +61,7 @@ def headline(spark: SparkSession, sf_dir: str) -> tuple[dict, dict]:
         "canonical_listings": lambda: run_all(canonicalize(raw)),
         "prefs_validated": lambda: run_all(usable()),
         "filter_funnel": lambda: run_all(ProfileSearch(usable(), listings, cfg).strict_funnel()),
-        "relaxed_search": lambda: run_all(ProfileSearch(usable(), listings, cfg).report()),
+        "filter_report": lambda: run_all(ProfileSearch(usable(), listings, cfg).report()),
         "recommend_batch": lambda: run_all(Recommender(usable(), listings, None, cfg).items()),
     }
     return queries, {"listings": listings.count(), "profiles": asked.count()}
@@ -78,7 +78,6 @@ def main() -> None:
         start = time.perf_counter()
         query()
         seconds[name] = round(time.perf_counter() - start, 2)
-    pairs = sizes["listings"] * sizes["profiles"]
     print(
         json.dumps(
             {
@@ -89,7 +88,6 @@ def main() -> None:
                 "sf": Path(SF_DIR).name.removeprefix("sf"),
                 "cpus": int(CPUS),
                 **sizes,
-                "pairs_per_second": int(pairs / seconds["recommend_batch"]),
             }
         )
     )

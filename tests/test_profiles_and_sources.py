@@ -97,12 +97,31 @@ def test_search_reads_no_more_than_it_needs(spark, raw, tmp_path, capsys):
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 499, 500, 600])
-def test_first_rows_both_ways(spark, n):
+def test_first_rows(spark, n):
     df = spark.range(500).select((F.col("id") * F.col("id") * 12345 - 10**6).alias("pos"))
     want = sorted(i * i * 12345 - 10**6 for i in range(500))[:n]
     assert sorted(r.pos for r in first_rows(df, n).collect()) == want
-    if n:
-        assert sorted(r.pos for r in first_rows(df, n, small=0).collect()) == want
+
+
+@pytest.mark.parametrize("positions", [[None, 1, 2, 3], [1, 1, 2, 3]])
+def test_first_rows_needs_unique_positions(spark, positions):
+    df = spark.createDataFrame([(p,) for p in positions], "pos bigint")
+    with pytest.raises(ValueError, match="pos"):
+        first_rows(df, 1)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_text_sources_are_read_by_name(spark, tmp_path, fmt):
+    df = spark.createDataFrame([("Jalsa", "4.1/5", "BTM", 7)], "name string, rate string, location string, pos bigint")
+    df.write.option("header", True).format(fmt).save(str(tmp_path / "raw"))
+    read = read_raw(spark, str(tmp_path / "raw"), fmt)
+    row = canonicalize(read).first()
+    assert (row["pos"], row["name"], row["rating"], row["neighborhood"]) == (7, "Jalsa", 4.1, "BTM")
+    with pytest.raises(ListingSchemaError):
+        canonicalize(read, IngestConfig(strict_columns=True))
+    df.drop("pos").write.option("header", True).format(fmt).save(str(tmp_path / "bare"))
+    with pytest.raises(ListingSchemaError, match="pos"):
+        read_raw(spark, str(tmp_path / "bare"), fmt)
 
 
 PROFILES = [

@@ -1,3 +1,6 @@
+import pytest
+
+from venuesieve.config import IngestConfig
 from venuesieve.sources import canonicalize
 from venuesieve.streaming.ingest import ingested, stream_listings, write_stream
 
@@ -10,11 +13,28 @@ def test_stream_equals_batch_and_goes_on_after_a_restart(spark, tmp_path):
     raw.where("pos <= 3").write.parquet(source)
 
     def run():
-        query = write_stream(stream_listings(spark, source, raw.schema), target, state)
-        query.awaitTermination()
-        return ingested(query)
+        write_stream(stream_listings(spark, source, raw.schema, max_files=1), target, state).awaitTermination()
+        return ingested(spark, target)
 
     assert run() == (3, 2)
     raw.where("pos > 3").write.mode("append").parquet(source)
-    assert run() == (1, 0)
+    assert run() == (4, 2)
     assert sorted(spark.read.parquet(target).collect()) == sorted(canonicalize(raw).collect())
+
+
+def test_counts_do_not_depend_on_kept_progress(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    raw = spark.createDataFrame(ROWS * 3, COLUMNS).repartition(6)
+    raw.write.parquet(source)
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(kept, 2)
+    try:
+        write_stream(stream_listings(spark, source, raw.schema, max_files=1), target, state).awaitTermination()
+    finally:
+        spark.conf.unset(kept)
+    assert ingested(spark, target)[0] == 3 * len(ROWS)
+
+
+def test_stream_refuses_a_row_cap(spark):
+    with pytest.raises(ValueError, match="max_rows"):
+        stream_listings(spark, "/nowhere", spark.range(1).schema, IngestConfig(max_rows=5))

@@ -20,20 +20,18 @@ _ROW_BITS = 40
 
 
 def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """Scan raw listings. Row order becomes ``pos`` when the files carry none.
+    """Scan raw listings by column name: Parquet columns, CSV headers, JSON keys; CSV and JSON values as strings.
 
-    Parquet order is (file path, row in file) and so the same on every read; other formats fall back to the order in
-    which Spark splits the input.
+    Parquet without an order column ``pos`` gets one from (file path, row in file), the same on every read. The other
+    formats are split by size, so their rows have no stable number: they must bring ``pos``. CSV files whose headers
+    differ are refused.
     """
-    reader = spark.read.format(fmt).options(**options)
-    if fmt == "parquet":
-        df = reader.load(path)
-    else:
-        df = reader.schema(RAW).load(path)
+    by_name = {"csv": {"header": "true", "enforceSchema": "false"}, "json": {"primitivesAsString": "true"}}
+    df = spark.read.format(fmt).options(**by_name.get(fmt, {}) | options).load(path)
     if "pos" in df.columns:
-        return df
+        return df if fmt == "parquet" else df.withColumn("pos", F.col("pos").cast("bigint"))
     if fmt != "parquet":
-        return df.withColumn("pos", F.monotonically_increasing_id())
+        raise ListingSchemaError(f"{fmt} listings need an order column pos")
     return _with_file_order(df)
 
 
@@ -128,20 +126,20 @@ def has_required_fields() -> Column:
     return (F.col("name") != "") & (F.col("city") != "")
 
 
-def first_rows(df: DataFrame, n: int, small: int = 100_000) -> DataFrame:
-    """The first n rows by the unique column ``pos``.
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows by ``pos``, which must be set and unique; a null or a repeated ``pos`` in reach raises.
 
-    A small n is a top-k. A large one would gather n rows in one task, so the n-th ``pos`` is located first, by
-    counting rows per slice of an ever narrower range, and the rows stay where they are.
+    The n-th ``pos`` is located by counting rows per slice of an ever narrower range, and the rows stay where they are,
+    whatever n is.
     """
-    if n <= small:
-        return df.orderBy("pos").limit(n)
     positions = df.select("pos")
-    low, high, rows = positions.agg(F.min("pos"), F.max("pos"), F.count("pos")).head()
-    if rows <= n:
-        return df
+    low, high, known, rows = positions.agg(F.min("pos"), F.max("pos"), F.count("pos"), F.count("*")).head()
+    if known < rows:
+        raise ValueError(f"{rows - known} rows have no pos")
+    if rows <= n or n <= 0:
+        return df if n > 0 else df.limit(0)
     wanted, slices = n, 4096
-    while low < high:
+    while True:
         width = (high - low) // slices + 1
         counts = (
             positions.where(F.col("pos").between(low, high))
@@ -154,7 +152,10 @@ def first_rows(df: DataFrame, n: int, small: int = 100_000) -> DataFrame:
                 low, high = low + slice_ * width, min(high, low + (slice_ + 1) * width - 1)
                 break
             wanted -= count
-    return df.where(F.col("pos") <= high)
+        if low == high:
+            if count > 1:
+                raise ValueError(f"pos {low} occurs {count} times")
+            return df.where(F.col("pos") <= high)
 
 
 def load_listings(

@@ -21,8 +21,11 @@ def stream_listings(
 ) -> DataFrame:
     """Streaming canonical listings. Seen and usable rows are reported per batch as the metric ``ingest``.
 
-    ``schema`` describes the raw files and must hold the order column ``pos``.
+    ``schema`` describes the raw files and must hold the order column ``pos``. A stream has no first rows by ``pos``, so
+    a config with ``max_rows`` is refused.
     """
+    if config.max_rows is not None:
+        raise ValueError("max_rows needs a batch read: a stream does not know its first rows")
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -39,12 +42,6 @@ def write_stream(listings: DataFrame, path: str, checkpoint: str) -> StreamingQu
     )
 
 
-def ingested(query: StreamingQuery) -> tuple[int, int]:
-    """(seen, usable) rows over the progress reports the query still keeps."""
-    seen = usable = 0
-    for progress in query.recentProgress:
-        metrics = progress.observedMetrics.get("ingest")
-        if metrics is not None:
-            seen += metrics["total_rows"]
-            usable += metrics["rows_passing_validation"]
-    return seen, usable
+def ingested(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(seen, usable) rows written to ``path`` so far, counted in the data: exact after any number of batches."""
+    return tuple(spark.read.parquet(path).agg(*corpus_metrics()).first())

@@ -18,12 +18,16 @@ def recommend_stream(
     search_config: SearchConfig = SearchConfig(),
     answer_config: AnswerConfig = AnswerConfig(),
 ) -> StreamingQuery:
-    """Write each batch's recommendations to ``path/batch=<id>``. A repeated batch overwrites its own folder."""
+    """Write each batch's recommendations to ``path/batch=<id>``, the profiles that break a rule to
+    ``<path>-rejected/batch=<id>`` and the report of all others, those without candidates included, to
+    ``<path>-report/batch=<id>``. A repeated batch overwrites its own folders.
+    """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        usable, _ = split_preferences(batch)
+        usable, rejected = split_preferences(batch)
         result = Recommender(usable, listings, None, search_config, answer_config)
-        result.items().write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        for table, where in ((rejected, "-rejected"), (result.items(), ""), (result.report(), "-report")):
+            table.write.mode("overwrite").parquet(f"{path}{where}/batch={batch_id}")
 
     return (
         raw_prefs.writeStream.foreachBatch(answer)

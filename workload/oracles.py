@@ -507,3 +507,5 @@ _STRICT = _q(
 ORACLES["filter_funnel"] = _STRICT
 for _stage in ("location", "cuisine", "budget", "rating"):
     ORACLES[f"filter_{_stage}"] = f"SELECT pref_id, total_after_{_stage} FROM (\n{_STRICT}\n)"
+
+ORACLES["ingest_stream_metrics"] = ORACLES["ingest_metrics"]
