@@ -4,7 +4,14 @@ import pytest
 
 from venuesieve import CANONICAL, AnswerConfig, SearchConfig
 from venuesieve.operators.prompts import answer_limits
-from venuesieve.operators.reconcile import WHY_FALLBACK, WHY_FILLED, WHY_PICKED, grounding_violations, reconcile
+from venuesieve.operators.reconcile import (
+    WHY_FALLBACK,
+    WHY_FILLED,
+    WHY_PICKED,
+    grounding_violations,
+    reconcile,
+    resolve,
+)
 from venuesieve.operators.responses import complete, parse_entries, read_answers
 from venuesieve.plans.recommend import Recommender
 
@@ -47,6 +54,9 @@ def test_entries(spark):
         {"rank": True, "restaurant_id": "t"},
         {"rank": [], "restaurant_id": "l"},
         {"rank": -3, "restaurant_id": "n"},
+        {"restaurant_id": True, "explanation": 0},
+        {"restaurant_id": "e", "explanation": True},
+        {"restaurant_id": "f", "explanation": []},
     )
     rows = parse_entries(answers(spark, [raw])).orderBy("rank", "arr_pos").collect()
     assert [(r.restaurant_id, r.rank, r.explanation) for r in rows] == [
@@ -57,9 +67,23 @@ def test_entries(spark):
         ("c", 3, ""),
         ("7", 4, ""),
         ("l", 8, ""),
+        ("True", 10, ""),
+        ("e", 11, "True"),
+        ("f", 12, ""),
     ]
 
 
+def test_endless_rank_spoils_the_answer(spark):
+    raws = ['{"recommendations": [{"rank": 1e400, "restaurant_id": %s}]}' % ref for ref in ('"a"', "null")]
+    assert {r.pref_id: r.ok for r in answers(spark, raws).collect()} == {0: False, 1: True}
+
+
+def test_strangers_are_seen(spark, candidates):
+    raw = recs({"restaurant_id": "i5"}, {"restaurant_id": "nobody"}, {"restaurant_id": "VENICE"})
+    rows = resolve(parse_entries(answers(spark, [raw])), candidates).orderBy("arr_pos").collect()
+    assert [(r.restaurant_id, r.id, r.cand_pos) for r in rows] == [("i5", "i5", 5), ("nobody", None, None), ("VENICE", "i5", 5)]
+
+
 @pytest.fixture(scope="module")
 def candidates(spark):
     rows = [(1, "i1", "Roma"), (2, "i2", "roma "), (3, "i1", "Other"), (4, "i4", ""), (5, "i5", "Venice")]
@@ -127,7 +151,14 @@ def test_whole_way(spark):
         ids = [c["id"] for c in offered["candidates"]]
         return json.dumps({"summary": "Two.", "recommendations": [{"restaurant_id": ids[3]}, {"restaurant_id": ids[0]}]})
 
-    full = Recommender(prefs, listings, complete(plain.prompts(), answer), plain.search_config)
+    assert (json.loads(prompt[1].user)["relaxed"], body["relaxed"]) == ([], [])
+    said = complete(plain.prompts(), answer)
+    assert {r.pref_id: (r.error, r.model) for r in said.collect()} == {
+        1: (None, AnswerConfig().model),
+        2: ("RuntimeError: model is down", AnswerConfig().model),
+    }
+    full = plain.with_answers(said)
+    assert full.search is plain.search and full.candidates is plain.candidates
     items = {}
     for r in full.items().orderBy("pref_id", "rank").collect():
         items.setdefault(r.pref_id, []).append((r.rank, r.name, r.explanation))
@@ -138,3 +169,4 @@ def test_whole_way(spark):
     assert (report[2].model_id, report[2].fallback_used) == ("deterministic_fallback", True)
     assert (report[3].model_id, report[3].total_after_rating) == ("none", 0)
     assert full.violations().count() == 0
+    assert [r.id is None for r in full.named().collect()] == [False, False]

@@ -58,7 +58,7 @@ def _positions(values: DataFrame, marks: DataFrame, keys: Sequence[str], marks_f
 def _rating_blocks(
     cells: DataFrame, asked: DataFrame, keys: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Blocks over rating thresholds: (cells per block, questions per block)."""
+    """Blocks over rating thresholds: (weight per block and cost, questions per block)."""
     spots = _positions(
         cells.withColumn("v", F.col("rating")), asked.withColumn("v", F.col("t")), keys, marks_first=True
     )
@@ -69,7 +69,8 @@ def _rating_blocks(
         cells.join(of_cell, [*keys, "rating"])
         .withColumn("lvl", F.explode(_bit_levels(F.col("idx"), F.col("bits"), 1)))
         .withColumn("node", _shift(F.col("idx"), F.col("lvl")))
-        .drop("is_mark", "idx", "bits", "rating")
+        .groupBy(*keys, *BLOCK, "cost")
+        .agg(F.sum("n").alias("n"))
     )
     asked_blocks = (
         asked.join(of_asked, [*keys, "t"])
@@ -105,14 +106,8 @@ def count_dominated(cells: DataFrame, points: DataFrame, keys: Sequence[str]) ->
 def kth_cost(cells: DataFrame, wanted: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """For each distinct (keys, t): the k-th smallest cost among cells with rating >= t; no row if fewer than k."""
     cell_blocks, asked = _rating_blocks(cells, wanted.select(*keys, "t").distinct(), keys)
-    in_block = W.partitionBy(*keys, *BLOCK).orderBy("cost").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cheapest = (
-        cell_blocks.groupBy(*keys, *BLOCK, "cost")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("upto", F.sum("n").over(in_block))
-        .where(F.col("upto") - F.col("n") < k)
-        .drop("upto")
-    )
+    # Every cost weighs one at least, so k of them are enough.
+    cheapest = keep_first(cell_blocks, [*keys, *BLOCK], [F.col("cost")], k)
     merged = W.partitionBy(*keys, "t").orderBy("cost").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         asked.join(cheapest, [*keys, *BLOCK])

@@ -24,10 +24,10 @@ CANDIDATE_FIELDS = (
 )
 
 SYSTEM = (
-    "Pick venues for one diner. The user message is JSON: what the diner wants, and the only venues you may pick "
-    "from. Their cost for two stays within the diner's limit unless a note says otherwise. Refer to venues by id, "
-    "exactly as given, and never name one that is not listed. If nothing fits well, pick the closest and say so in "
-    "the summary."
+    "You choose venues for one person. The message is a JSON object: user_preferences holds the wishes, relaxed lists "
+    "in order how wishes were loosened because too few venues met them, candidates holds every venue on offer. Choose "
+    "among candidates only and name each choice by its id, copied letter for letter. If a loosened wish shows in a "
+    "choice, say that in its explanation. If no venue suits, choose the nearest and say that in the summary."
 )
 
 _TASK = (
@@ -64,8 +64,13 @@ def pack_candidates(candidates: DataFrame) -> DataFrame:
     return packed.select("pref_id", bare.alias("candidates"))
 
 
-def build_prompts(prefs: DataFrame, candidates: DataFrame, cfg: AnswerConfig = AnswerConfig()) -> DataFrame:
-    """``pref_id, system, user, model, temperature, max_tokens`` for every profile that has candidates."""
+def build_prompts(
+    prefs: DataFrame, candidates: DataFrame, cfg: AnswerConfig, relaxations: DataFrame
+) -> DataFrame:
+    """``pref_id, system, user, model, temperature, max_tokens`` for every profile that has candidates.
+
+    ``relaxations`` (``pref_id, relaxations``) tells the model which wishes the candidates need not meet.
+    """
     k = resolve_top_k(F.col("top_k"), cfg)
     before, after = _TASK.format(k="\0").split("\0")
     wishes = F.struct(
@@ -83,8 +88,9 @@ def build_prompts(prefs: DataFrame, candidates: DataFrame, cfg: AnswerConfig = A
         F.concat(F.lit(before), k.cast("string"), F.lit(after)).alias("instructions"),
         token_budget(k, cfg).alias("max_tokens"),
     )
-    body = F.to_json(F.struct("user_preferences", "candidates", "instructions"), {"ignoreNullFields": "false"})
-    return asked.join(pack_candidates(candidates), "pref_id").select(
+    body = F.to_json(F.struct("user_preferences", "relaxed", "candidates", "instructions"), {"ignoreNullFields": "false"})
+    relaxed = relaxations.select("pref_id", F.col("relaxations").alias("relaxed"))
+    return asked.join(pack_candidates(candidates), "pref_id").join(relaxed, "pref_id").select(
         "pref_id",
         F.lit(SYSTEM).alias("system"),
         body.alias("user"),

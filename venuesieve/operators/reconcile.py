@@ -14,36 +14,41 @@ WHY_FILLED = "High rating and match for your filters among the shortlisted venue
 WHY_FALLBACK = "Ranked using ratings and votes on your shortlist (LLM unavailable or parse error)."
 
 
-def reconcile(entries: DataFrame, candidates: DataFrame, limits: DataFrame) -> DataFrame:
-    """``pref_id, rank, cand_pos, explanation`` for every profile in ``limits`` (``pref_id, top_k``).
-
-    An entry names a candidate by id or, failing that, by name. Several candidates may share an id: an entry then
-    means the last of them, while filling up takes the first. Each id is used once.
-    """
-    candidates = candidates.join(limits, "pref_id", "left_semi")
-    ids = candidates.groupBy("pref_id", "id").agg(
+def _ids(candidates: DataFrame) -> DataFrame:
+    return candidates.groupBy("pref_id", "id").agg(
         F.max("cand_pos").alias("last_pos"), F.min("cand_pos").alias("first_pos")
     )
+
+
+def resolve(entries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``entries`` with ``id`` and ``cand_pos`` of the candidate they name, by id or else by name; NULL for strangers."""
     names = (
         candidates.withColumn("key", F.lower(text.strip(F.col("name"))))
         .where(F.col("key") != "")
         .groupBy("pref_id", "key")
         .agg(F.min_by("id", "cand_pos").alias("named_id"), F.min("cand_pos").alias("named_pos"))
     )
-    resolved = (
+    by_id = _ids(candidates).select("pref_id", F.col("id").alias("restaurant_id"), "last_pos")
+    own = F.when(F.col("last_pos").isNotNull(), F.col("restaurant_id")).otherwise(F.col("named_id"))
+    return (
         entries.withColumn("key", F.lower(F.col("restaurant_id")))
-        .join(ids.select("pref_id", F.col("id").alias("restaurant_id"), "last_pos"), ["pref_id", "restaurant_id"], "left")
+        .join(by_id, ["pref_id", "restaurant_id"], "left")
         .join(names, ["pref_id", "key"], "left")
-        .select(
-            "pref_id",
-            F.when(F.col("last_pos").isNotNull(), F.col("restaurant_id")).otherwise(F.col("named_id")).alias("id"),
-            F.coalesce("last_pos", "named_pos").alias("cand_pos"),
-            "rank",
-            "arr_pos",
-            F.coalesce(F.nullif("explanation", F.lit("")), F.lit(WHY_PICKED)).alias("explanation"),
-        )
-        .where(F.col("id").isNotNull())
+        .select(*entries.columns, own.alias("id"), F.coalesce("last_pos", "named_pos").alias("cand_pos"))
     )
+
+
+def reconcile(entries: DataFrame, candidates: DataFrame, limits: DataFrame) -> DataFrame:
+    """``pref_id, rank, cand_pos, explanation`` for every profile in ``limits`` (``pref_id, top_k``).
+
+    An entry names a candidate by id or, failing that, by name. Several candidates may share an id: an entry then
+    means the last of them, while filling up takes the first. Each id is used once.
+    """
+    candidates = candidates.join(limits, "pref_id", "left_semi")
+    ids = _ids(candidates)
+    why = F.coalesce(F.nullif("explanation", F.lit("")), F.lit(WHY_PICKED))
+    resolved = resolve(entries, candidates).where(F.col("id").isNotNull())
+    resolved = resolved.select("pref_id", "id", "cand_pos", "rank", "arr_pos", why.alias("explanation"))
     once = F.row_number().over(W.partitionBy("pref_id", "id").orderBy("rank", "arr_pos"))
     picked = resolved.withColumn("nth", once).where(F.col("nth") == 1).drop("nth")
     filled = ids.join(picked, ["pref_id", "id"], "left_anti").select(

@@ -11,33 +11,37 @@ from ..functions import parse, text
 
 _FENCE_OPEN = rf"(?i)^```(?:json)?{text.SPACE}*"
 _FENCE_CLOSE = rf"{text.SPACE}*```{text.SPACE}*$"
+_FRACTIONS = ("DECIMAL", "DOUBLE", "FLOAT")
+_WHOLE = ("BIGINT", "INT", "SMALLINT", "TINYINT")
 
 
 def complete(prompts: DataFrame, answer: Callable[..., str]) -> DataFrame:
-    """``pref_id, raw``: one call of ``answer(messages, model=, temperature=, max_tokens=)`` per prompt row.
+    """``pref_id, raw, error, model``: one ``answer(messages, model=, temperature=, max_tokens=)`` per prompt row.
 
-    Runs in the tasks, batch by batch. A call that raises leaves ``raw`` NULL, so that its profile falls back.
+    Runs in the tasks, batch by batch. A call that raises leaves ``raw`` NULL, so that its profile falls back, and its
+    reason in ``error``.
     """
 
     def run(batches):
         for batch in batches:
-            raw = []
+            raw, error = [], []
             for row in batch.itertuples(index=False):
                 messages = [{"role": "system", "content": row.system}, {"role": "user", "content": row.user}]
+                said, failed = None, None
                 try:
-                    raw.append(
-                        answer(
-                            messages,
-                            model=row.model,
-                            temperature=float(row.temperature),
-                            max_tokens=int(row.max_tokens),
-                        )
+                    said = answer(
+                        messages,
+                        model=row.model,
+                        temperature=float(row.temperature),
+                        max_tokens=int(row.max_tokens),
                     )
-                except Exception:
-                    raw.append(None)
-            yield batch[["pref_id"]].assign(raw=raw)
+                except Exception as e:
+                    failed = f"{type(e).__name__}: {e}"
+                raw.append(said)
+                error.append(failed)
+            yield batch[["pref_id"]].assign(raw=raw, error=error, model=batch["model"])
 
-    return prompts.mapInPandas(run, "pref_id bigint, raw string")
+    return prompts.mapInPandas(run, "pref_id bigint, raw string, error string, model string")
 
 
 def _strip_fence(raw: Column) -> Column:
@@ -57,39 +61,66 @@ def _kind(v: Column) -> Column:
 
 
 def _as_text(v: Column) -> Column:
-    return F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
+    """Strings as they are, truth values as True and False, numbers and anything nested as JSON."""
+    plain = F.try_variant_get(v, "$", "string")
+    return F.coalesce(F.when(_kind(v) == "BOOLEAN", F.initcap(plain)).otherwise(plain), F.to_json(v))
+
+
+def _is_nothing(v: Column) -> Column:
+    """False, zero and empty lists or objects say nothing."""
+    kind = _kind(v)
+    return (
+        F.when(kind == "BOOLEAN", ~F.try_variant_get(v, "$", "boolean"))
+        .when(kind.isin(*_FRACTIONS, *_WHOLE), F.try_variant_get(v, "$", "double") == 0)
+        .otherwise(F.to_json(v).isin("[]", "{}"))
+    )
 
 
 def _rank(v: Column, position: Column) -> Column:
     """Numbers are cut to whole ones, whole-number strings are read, all else is the place in the array."""
     kind = _kind(v)
     number = (
-        F.when(kind.isin("DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(v, "$", "double").try_cast("bigint"))
+        F.when(kind.isin(*_FRACTIONS), F.try_variant_get(v, "$", "double").try_cast("bigint"))
         .when(kind == "STRING", parse.parse_int(F.try_variant_get(v, "$", "string")))
         .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint"))
-        .when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(v, "$", "bigint"))
+        .when(kind.isin(*_WHOLE), F.try_variant_get(v, "$", "bigint"))
     )
     return F.coalesce(number, position)
 
 
 def read_answers(responses: DataFrame) -> DataFrame:
-    """``pref_id, ok, summary, entries``: is the answer usable, and its raw entries as an array of VARIANT."""
-    parsed = responses.select("pref_id", F.try_parse_json(_strip_fence(F.col("raw"))).alias("v"))
+    """``pref_id, ok, summary, model, entries``: is the answer usable, who gave it (a column ``model``, else NULL), and
+    its raw entries as an array of VARIANT. An entry ranked beyond all numbers makes the answer unusable."""
+    model = F.col("model") if "model" in responses.columns else F.lit(None).cast("string")
+    parsed = responses.select(
+        "pref_id", model.alias("model"), F.try_parse_json(_strip_fence(F.col("raw"))).alias("v")
+    )
     fields = parsed.select(
         "pref_id",
+        "model",
         (F.col("v").isNotNull() & (_kind(F.col("v")) == "OBJECT")).alias("is_object"),
         _field(F.col("v"), "summary").alias("summary"),
         _field(F.col("v"), "recommendations").alias("listed"),
     )
     listed_ok = F.col("listed").isNull() | (_kind(F.col("listed")) == "ARRAY")
+    entries = F.try_variant_get("listed", "$", "array<variant>")
+    endless = F.coalesce(F.exists(entries, _ranked_endless), F.lit(False))
     return fields.select(
         "pref_id",
-        F.coalesce(F.col("is_object") & listed_ok, F.lit(False)).alias("ok"),
+        F.coalesce(F.col("is_object") & listed_ok & ~endless, F.lit(False)).alias("ok"),
         _as_text(F.col("summary")).alias("summary"),
-        F.try_variant_get("listed", "$", "array<variant>").alias("entries"),
+        "model",
+        entries.alias("entries"),
     )
 
 
+def _ranked_endless(e: Column) -> Column:
+    rank = _field(e, "rank")
+    size = F.abs(F.try_variant_get(rank, "$", "double"))
+    named = _field(e, "restaurant_id").isNotNull()
+    return F.coalesce(named & _kind(rank).isin(*_FRACTIONS) & (size == float("inf")), F.lit(False))
+
+
 def parse_entries(answers: DataFrame) -> DataFrame:
     """``pref_id, arr_pos, rank, restaurant_id, explanation`` of usable answers. Order: rank, then arr_pos."""
     entries = answers.where("ok").select("pref_id", F.posexplode("entries").alias("arr_pos", "e"))
@@ -100,7 +131,7 @@ def parse_entries(answers: DataFrame) -> DataFrame:
         _field(F.col("e"), "rank").alias("rank"),
         _field(F.col("e"), "explanation").alias("why"),
     )
-    why = F.when(F.col("why").isNotNull() & (_kind(F.col("why")) != "BOOLEAN"), _as_text(F.col("why")))
+    why = F.when(F.col("why").isNotNull() & ~_is_nothing(F.col("why")), _as_text(F.col("why")))
     return fields.where(F.col("ref").isNotNull()).select(
         "pref_id",
         "arr_pos",

@@ -291,7 +291,8 @@ def _ask(questions: DataFrame, strict: Column) -> DataFrame:
 class ProfileSearch:
     """One corpus against one table of validated profiles.
 
-    The corpus and the requests are staged when the object is built; every table it hands out is lazy.
+    The corpus and the requests are staged when the object is built. Asking for candidates, a funnel or a report stages
+    the counts it rests on; what is returned is lazy from there.
     """
 
     def __init__(self, prefs: DataFrame, listings: DataFrame, cfg: SearchConfig = SearchConfig()):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import AnswerConfig, SearchConfig
 from ..operators.prompts import PROMPT_VERSION, answer_limits, build_prompts
-from ..operators.reconcile import fall_back, grounding_violations, reconcile
+from ..operators.reconcile import fall_back, grounding_violations, reconcile, resolve
 from ..operators.responses import parse_entries, read_answers
 from ..operators.search import ProfileSearch
 from ..sources.staging import stage
@@ -40,8 +40,9 @@ ITEM_COLUMNS = (
 class Recommender:
     """Recommendations for a table of validated profiles over a canonical corpus.
 
-    ``responses`` holds model answers (``pref_id, raw``), from ``prompts`` and ``operators.responses.complete`` or
-    from anywhere else. Profiles without a usable answer get the deterministic ranking.
+    ``responses`` holds model answers (``pref_id, raw``, and ``model`` if known), from ``prompts`` and
+    ``operators.responses.complete`` or from anywhere else. Profiles without a usable answer get the deterministic
+    ranking. Answers to ``prompts`` go into ``with_answers``, so that model and reconciliation see one candidate list.
     """
 
     prefs: DataFrame
@@ -54,6 +55,12 @@ class Recommender:
     def search(self) -> ProfileSearch:
         return ProfileSearch(self.prefs, self.listings, self.search_config)
 
+    def with_answers(self, responses: DataFrame) -> Recommender:
+        """The same search and candidates, with model answers to read."""
+        answered = replace(self, responses=responses)
+        answered.search, answered.candidates = self.search, self.candidates
+        return answered
+
     @cached_property
     def candidates(self) -> DataFrame:
         return stage(self.search.candidates(), "candidates")
@@ -63,7 +70,7 @@ class Recommender:
         return answer_limits(self.prefs, self.answer_config).select("pref_id", "top_k")
 
     def prompts(self) -> DataFrame:
-        return build_prompts(self.prefs, self.candidates, self.answer_config)
+        return build_prompts(self.prefs, self.candidates, self.answer_config, self.search.relaxations())
 
     @cached_property
     def _answers(self) -> DataFrame | None:
@@ -82,22 +89,30 @@ class Recommender:
         return picks.join(self.candidates, ["pref_id", "cand_pos"]).select(*ITEM_COLUMNS)
 
     def violations(self) -> DataFrame:
+        """Recommended items that are no candidates; there can be none, as items are drawn from the candidates."""
         return grounding_violations(self.items(), self.candidates)
 
+    def named(self) -> DataFrame:
+        """What the usable answers name, entry by entry; ``id`` is NULL where it is no candidate of the profile."""
+        if self._answers is None:
+            raise ValueError("there are no answers to check")
+        return resolve(parse_entries(self._answers), self.candidates)
+
     def report(self) -> DataFrame:
         """One row per profile: who answered, what was relaxed, the funnel."""
         found = self.search.report()
         if self._answers is None:
-            answered = found.select("*", F.lit(False).alias("ok"), F.lit(None).cast("string").alias("said"))
+            nothing = F.lit(None).cast("string")
+            answered = found.select("*", F.lit(False).alias("ok"), nothing.alias("said"), nothing.alias("model"))
         else:
-            said = self._answers.select("pref_id", "ok", F.col("summary").alias("said"))
+            said = self._answers.select("pref_id", "ok", F.col("summary").alias("said"), "model")
             answered = found.join(said, "pref_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
         empty = F.col("total_after_rating") == 0
         return answered.select(
             "pref_id",
             F.when(empty, NO_SUMMARY).when(F.col("ok"), F.col("said")).otherwise(FALLBACK_SUMMARY).alias("summary"),
             F.when(empty, NO_MODEL)
-            .when(F.col("ok"), self.answer_config.model)
+            .when(F.col("ok"), F.coalesce("model", F.lit(self.answer_config.model)))
             .otherwise(FALLBACK_MODEL)
             .alias("model_id"),
             F.lit(PROMPT_VERSION).alias("prompt_version"),

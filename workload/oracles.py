@@ -81,8 +81,10 @@ prefs_raw AS (
               WHEN 3 THEN 'asia  brand#1' END AS location,
          CASE WHEN c_custkey % 10 <> 7 THEN budget END AS budget_for_two_inr,
          CASE WHEN c_custkey % 10 = 7 THEN budget END AS budget_max_inr,
-         CASE c_mktsegment WHEN 'BUILDING' THEN ['Economy', 'Ring'] WHEN 'FURNITURE' THEN ['Widget']
-              WHEN 'HOUSEHOLD' THEN ['promo', ' Gear ', 'plate'] WHEN 'MACHINERY' THEN ['  standard ', '']
+         CASE WHEN c_custkey % 25 = 6 THEN ['Unlisted Kitchen']
+              WHEN c_mktsegment = 'BUILDING' THEN ['Economy', 'Ring'] WHEN c_mktsegment = 'FURNITURE' THEN ['Widget']
+              WHEN c_mktsegment = 'HOUSEHOLD' THEN ['promo', ' Gear ', 'plate']
+              WHEN c_mktsegment = 'MACHINERY' THEN ['  standard ', '']
               ELSE CAST([] AS VARCHAR[]) END AS cuisines,
          CASE WHEN c_custkey % 50 = 3 THEN 6.0::DOUBLE ELSE (c_custkey % 11) / 2.0::DOUBLE END AS min_rating,
          CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' quick service ' END AS extras,
@@ -459,7 +461,12 @@ ORDER BY rating DESC, coalesce(votes, 0) DESC, lower(name), pos LIMIT 30""",
         FOUND + "," + ENTRIES, "SELECT pref_id, arr_pos, rank, restaurant_id, explanation FROM entries"
     ),
     "grounding_violations": _q(
-        ANSWERED, "SELECT pref_id, count(*) AS n_items, 0::BIGINT AS n_violations FROM items GROUP BY ALL"
+        ANSWERED,
+        """
+SELECT pref_id, n_items, coalesce(n_entries, 0)::BIGINT AS n_entries, coalesce(n_violations, 0)::BIGINT AS n_violations
+FROM (SELECT pref_id, count(*) AS n_items FROM items GROUP BY ALL)
+LEFT JOIN (SELECT pref_id, count(*) AS n_entries, count_if(cand_pos IS NULL) AS n_violations
+           FROM resolved GROUP BY ALL) USING (pref_id)""",
     ),
     "rec_report": _q(
         FOUND,
@@ -482,9 +489,9 @@ FROM final_funnel f JOIN final USING (pref_id)""",
 SELECT p.pref_id, coalesce(location, 'any locality') AS locality_or_area, cap AS max_budget_inr_for_two,
        CASE WHEN len(p.cuisines) = 0 THEN 'any cuisine (user did not specify)'
             ELSE array_to_string(p.cuisines, ', ') END AS cuisine_preferences,
-       min_rating, nullif(extras, '') AS extras, candidate_ids,
+       min_rating, nullif(extras, '') AS extras, relaxed, candidate_ids,
        CASE WHEN 1200 < 350 + 85 * l.top_k THEN least(4096, 350 + 85 * l.top_k) ELSE 1200 END AS max_tokens
-FROM prefs p JOIN limits l USING (pref_id)
+FROM prefs p JOIN limits l USING (pref_id) JOIN (SELECT pref_id, relaxations AS relaxed FROM final) USING (pref_id)
 JOIN (SELECT pref_id, string_agg(id, '|' ORDER BY cand_pos) AS candidate_ids FROM cands GROUP BY ALL) USING (pref_id)""",
     ),
     "completion_hook": _q(

@@ -12,7 +12,6 @@ from venuesieve.config import IngestConfig, SearchConfig
 from venuesieve.functions import display, parse, text
 from venuesieve.operators import match, prompts, quality, search
 from venuesieve.operators import prefs as profiles
-from venuesieve.operators.reconcile import grounding_violations as strangers
 from venuesieve.operators.responses import complete, parse_entries, read_answers
 from venuesieve.plans.recommend import Recommender
 from venuesieve.schemas import CITY, COST
@@ -268,9 +267,7 @@ def rank_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def _answered(spark: SparkSession, d: str) -> Recommender:
     plain = Recommender(_prefs(spark, d), _canonical(spark, d), None, CFG)
-    answered = Recommender(plain.prefs, plain.listings, responses(plain.candidates), CFG)
-    answered.__dict__.update(search=plain.search, candidates=plain.candidates)
-    return answered
+    return plain.with_answers(responses(plain.candidates))
 
 
 def fallback_recommendations(spark: SparkSession, d: str) -> DataFrame:
@@ -297,15 +294,17 @@ def parse_responses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grounding_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Recommended items per profile, and how many of them are strangers (none may be)."""
+    """Per profile with items: how many there are, what its answer names, and how much of that is no candidate."""
     r = _answered(spark, d)
-    items = stage(r.items(), "items")
-    bad = strangers(items, r.candidates).groupBy("pref_id").agg(F.count(F.lit(1)).alias("bad"))
-    return (
-        items.groupBy("pref_id")
-        .agg(F.count(F.lit(1)).alias("n_items"))
-        .join(bad, "pref_id", "left")
-        .select("pref_id", "n_items", F.coalesce("bad", F.lit(0).cast("bigint")).alias("n_violations"))
+    counts = r.items().groupBy("pref_id").agg(F.count(F.lit(1)).alias("n_items"))
+    said = r.named().groupBy("pref_id")
+    said = said.agg(F.count(F.lit(1)).alias("n_entries"), F.count_if(F.col("id").isNull()).alias("n_violations"))
+    none = F.lit(0).cast("bigint")
+    return counts.join(said, "pref_id", "left").select(
+        "pref_id",
+        "n_items",
+        F.coalesce("n_entries", none).alias("n_entries"),
+        F.coalesce("n_violations", none).alias("n_violations"),
     )
 
 
@@ -325,6 +324,7 @@ def prompt_payload(spark: SparkSession, d: str) -> DataFrame:
         field("$.user_preferences.cuisine_preferences").alias("cuisine_preferences"),
         field("$.user_preferences.min_rating").cast("double").alias("min_rating"),
         field("$.user_preferences.extras").alias("extras"),
+        F.array_join(F.from_json(field("$.relaxed"), "array<string>"), "|").alias("relaxed"),
         F.array_join(F.transform(ids, lambda c: c["id"]), "|").alias("candidate_ids"),
         "max_tokens",
     )

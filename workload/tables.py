@@ -49,7 +49,7 @@ def listing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One preference profile per customer, all customers; some break a rule on purpose."""
+    """One preference profile per customer, all customers; some break a rule, some find nothing on purpose."""
     key = F.col("c_custkey")
     budget = (
         F.when(key % 50 == 0, "0")
@@ -69,7 +69,8 @@ def prefs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("location"),
         F.when(key % 10 != 7, budget).alias("budget_for_two_inr"),
         F.when(key % 10 == 7, budget).alias("budget_max_inr"),
-        F.when(segment == "BUILDING", words("Economy", "Ring"))
+        F.when(key % 25 == 6, words("Unlisted Kitchen"))
+        .when(segment == "BUILDING", words("Economy", "Ring"))
         .when(segment == "FURNITURE", words("Widget"))
         .when(segment == "HOUSEHOLD", words("promo", " Gear ", "plate"))
         .when(segment == "MACHINERY", words("  standard ", ""))
