@@ -1,10 +1,16 @@
+from pathlib import Path
+
 import pytest
 
+from venuesieve import CANONICAL
 from venuesieve.config import IngestConfig
 from venuesieve.sources import canonicalize
+from venuesieve.sources.staging import scratch, stage, together
+from venuesieve.streaming import recommend
 from venuesieve.streaming.ingest import ingested, stream_listings, write_stream
 
 from .test_profiles_and_sources import COLUMNS, ROWS
+from .test_search import listing
 
 
 def test_stream_equals_batch_and_goes_on_after_a_restart(spark, tmp_path):
@@ -38,3 +44,41 @@ def test_counts_do_not_depend_on_kept_progress(spark, tmp_path):
 def test_stream_refuses_a_row_cap(spark):
     with pytest.raises(ValueError, match="max_rows"):
         stream_listings(spark, "/nowhere", spark.range(1).schema, IngestConfig(max_rows=5))
+
+
+def test_scratch_tables_go(spark):
+    with scratch(spark) as folder:
+        together(spark, lambda: stage(spark.range(3), "a"), lambda: stage(spark.range(2), "b"))
+        assert len(list(Path(folder).iterdir())) == 2
+    kept = stage(spark.range(4), "c")
+    assert not Path(folder).exists() and kept.count() == 4
+
+
+def test_profile_stream_stages_the_corpus_once(spark, tmp_path, monkeypatch):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = (
+        "pref_id bigint, location string, budget_for_two_inr string, budget_max_inr string, cuisines array<string>, "
+        "min_rating double, extras string, top_k int"
+    )
+    asked = [(1, None, "900", None, ["thai"], 0.0, "", 2), (2, None, None, None, [], 0.0, "", None)]
+    asked += [(3, None, "900", None, ["sushi"], 0.0, "", None)]
+    raw = spark.createDataFrame(asked, schema).repartition(3, "pref_id")
+    raw.write.parquet(source)
+    listings = spark.createDataFrame(
+        [listing(i, f"Place {i}", cuisines=["thai"], rating=4.0, cost=100 * i) for i in range(1, 9)], CANONICAL
+    )
+    built = []
+
+    class Watched(recommend.Corpus):
+        def __init__(self, rows):
+            built.append(rows)
+            super().__init__(rows)
+
+    monkeypatch.setattr(recommend, "Corpus", Watched)
+    live = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    recommend.recommend_stream(live, listings, target, state).awaitTermination()
+    assert len(built) == 1
+    assert [(r.pref_id, r["rank"]) for r in spark.read.parquet(target).orderBy("rank").collect()] == [(1, 1), (1, 2)]
+    assert [r.pref_id for r in spark.read.parquet(f"{target}-rejected").collect()] == [2]
+    report = {r.pref_id: r.model_id for r in spark.read.parquet(f"{target}-report").collect()}
+    assert report == {1: "deterministic_fallback", 3: "none"}

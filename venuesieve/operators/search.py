@@ -288,6 +288,13 @@ def _ask(questions: DataFrame, strict: Column) -> DataFrame:
 # --- the search -----------------------------------------------------------------------------------------------------
 
 
+class Corpus:
+    """Usable listings in the form a search reads, staged once for any number of searches."""
+
+    def __init__(self, listings: DataFrame):
+        self.lean = stage(_lean(listings), "lean")
+
+
 class ProfileSearch:
     """One corpus against one table of validated profiles.
 
@@ -295,13 +302,15 @@ class ProfileSearch:
     the counts it rests on; what is returned is lazy from there.
     """
 
-    def __init__(self, prefs: DataFrame, listings: DataFrame, cfg: SearchConfig = SearchConfig()):
+    def __init__(self, prefs: DataFrame, listings: DataFrame | Corpus, cfg: SearchConfig = SearchConfig()):
         self.cfg = cfg
-        self.listings = listings
-        spark = listings.sparkSession
-        (self.requests, self.profiles), self.lean = together(
-            spark, lambda: _requests(prefs, cfg), lambda: stage(_lean(listings), "lean")
+        spark = prefs.sparkSession
+        (self.requests, self.profiles), corpus = together(
+            spark,
+            lambda: _requests(prefs, cfg),
+            lambda: listings if isinstance(listings, Corpus) else Corpus(listings),
         )
+        self.lean = corpus.lean
         self.places, self.want_tokens, self.groups = together(
             spark,
             lambda: _match_places(self.lean, self.requests),
@@ -498,7 +507,11 @@ class ProfileSearch:
         )
 
     def candidates(self) -> DataFrame:
-        """Per profile: the capped, ranked listings of the last pass."""
-        listed = self.lean.select("pos", *_PAYLOAD)
-        found = self._ranked().join(listed, "pos")
+        """Per profile: the capped, ranked listings of the last pass.
+
+        What is shown of a listing is fetched once, however many requests list it.
+        """
+        ranked = stage(self._ranked(), "ranked")
+        shown = self.lean.select("pos", *_PAYLOAD).join(ranked.select("pos").distinct(), "pos", "left_semi")
+        found = ranked.join(stage(shown, "shown"), "pos")
         return self.profiles.join(found, "req").select("pref_id", "cand_pos", "pos", *_PAYLOAD)

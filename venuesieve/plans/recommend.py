@@ -12,7 +12,7 @@ from ..config import AnswerConfig, SearchConfig
 from ..operators.prompts import PROMPT_VERSION, answer_limits, build_prompts
 from ..operators.reconcile import fall_back, grounding_violations, reconcile, resolve
 from ..operators.responses import parse_entries, read_answers
-from ..operators.search import ProfileSearch
+from ..operators.search import Corpus, ProfileSearch
 from ..sources.staging import stage
 
 # Model ids and summaries of results that no model wrote.
@@ -46,7 +46,7 @@ class Recommender:
     """
 
     prefs: DataFrame
-    listings: DataFrame
+    listings: DataFrame | Corpus
     responses: DataFrame | None = None
     search_config: SearchConfig = SearchConfig()
     answer_config: AnswerConfig = AnswerConfig()

@@ -8,14 +8,16 @@ size is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_SCRATCH = "venuesieve.scratch"
 _local_roots: dict[str, str] = {}
 
 
@@ -33,9 +35,29 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    path = f"{staging_root(df.sparkSession)}/{label}-{uuid4().hex}"
+    spark = df.sparkSession
+    scratch = spark.sparkContext.getLocalProperty(_SCRATCH)
+    path = f"{staging_root(spark)}/{scratch + '/' if scratch else ''}{label}-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables staged inside, also by ``together``, lie in a folder of their own that is deleted at the end.
+
+    For work that repeats, as in a stream: nothing drawn from those tables may be read afterwards.
+    """
+    context, name = spark.sparkContext, f"scratch-{uuid4().hex}"
+    before = context.getLocalProperty(_SCRATCH)
+    context.setLocalProperty(_SCRATCH, name)
+    folder = f"{staging_root(spark)}/{name}"
+    try:
+        yield folder
+    finally:
+        context.setLocalProperty(_SCRATCH, before)
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def together(spark: SparkSession, *steps: Callable) -> list:

@@ -7,7 +7,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import AnswerConfig, SearchConfig
 from ..operators.prefs import split_preferences
+from ..operators.search import Corpus
 from ..plans.recommend import Recommender
+from ..sources.staging import scratch
 
 
 def recommend_stream(
@@ -20,14 +22,17 @@ def recommend_stream(
 ) -> StreamingQuery:
     """Write each batch's recommendations to ``path/batch=<id>``, the profiles that break a rule to
     ``<path>-rejected/batch=<id>`` and the report of all others, those without candidates included, to
-    ``<path>-report/batch=<id>``. A repeated batch overwrites its own folders.
+    ``<path>-report/batch=<id>``. A repeated batch overwrites its own folders. The corpus is staged once, at the start;
+    what a batch stages is deleted when the batch is written.
     """
+    corpus = Corpus(listings)
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        usable, rejected = split_preferences(batch)
-        result = Recommender(usable, listings, None, search_config, answer_config)
-        for table, where in ((rejected, "-rejected"), (result.items(), ""), (result.report(), "-report")):
-            table.write.mode("overwrite").parquet(f"{path}{where}/batch={batch_id}")
+        with scratch(batch.sparkSession):
+            usable, rejected = split_preferences(batch)
+            result = Recommender(usable, corpus, None, search_config, answer_config)
+            for table, where in ((rejected, "-rejected"), (result.items(), ""), (result.report(), "-report")):
+                table.write.mode("overwrite").parquet(f"{path}{where}/batch={batch_id}")
 
     return (
         raw_prefs.writeStream.foreachBatch(answer)

@@ -516,3 +516,29 @@ for _stage in ("location", "cuisine", "budget", "rating"):
     ORACLES[f"filter_{_stage}"] = f"SELECT pref_id, total_after_{_stage} FROM (\n{_STRICT}\n)"
 
 ORACLES["ingest_stream_metrics"] = ORACLES["ingest_metrics"]
+ORACLES["recommend_stream_rejected"] = ORACLES["prefs_rejected"]
+ORACLES["recommend_stream_report"] = _q(
+    SEARCH,
+    """
+SELECT f.pref_id,
+       CASE WHEN total_after_rating = 0 THEN 'No restaurants matched your filters.'
+            ELSE 'Here are top picks from your filtered list.' END AS summary,
+       CASE WHEN total_after_rating = 0 THEN 'none' ELSE 'deterministic_fallback' END AS model_id,
+       'v2' AS prompt_version, true AS fallback_used, relaxations AS relaxations_applied,
+       total_after_rating > 30 AS truncated, total_after_location, total_after_cuisine, total_after_budget,
+       total_after_rating
+FROM final_funnel f JOIN final USING (pref_id)""",
+)
+ORACLES["run_signals"] = _q(
+    SEARCH,
+    """
+SELECT count(*) AS n_profiles, count_if(total_after_rating = 0)::BIGINT AS n_empty,
+       count_if(total_after_rating > 0 AND f.pref_id % 8 IN (5, 7))::BIGINT AS n_fallback,
+       count_if(relaxations <> '')::BIGINT AS n_relaxed, count_if(total_after_rating > 30)::BIGINT AS n_truncated
+FROM final_funnel f JOIN final USING (pref_id)""",
+)
+ORACLES["places_asked"] = _q(PREFS_RAW + "," + PREFS, "SELECT location, count(*) AS n_profiles FROM prefs GROUP BY ALL")
+ORACLES["unique_venues"] = _q(
+    LISTINGS,
+    "SELECT pos, id, name, city FROM listings QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1",
+)

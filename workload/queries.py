@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from venuesieve.config import IngestConfig, SearchConfig
 from venuesieve.functions import display, parse, text
-from venuesieve.operators import match, prompts, quality, search
+from venuesieve.operators import match, prompts, quality, search, signals
 from venuesieve.operators import prefs as profiles
 from venuesieve.operators.responses import complete, parse_entries, read_answers
-from venuesieve.plans.recommend import Recommender
+from venuesieve.plans.recommend import NO_MODEL, Recommender
 from venuesieve.schemas import CITY, COST
 from venuesieve.sources import canonicalize, load_listings, read_canonical, write_canonical
 from venuesieve.sources.listings import has_required_fields
@@ -344,14 +344,40 @@ def completion_hook(spark: SparkSession, d: str) -> DataFrame:
     return parse_entries(read_answers(complete(asked, last_first))).select("pref_id", "rank", "restaurant_id")
 
 
-def recommend_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Profiles as a file stream in two batches against the static corpus."""
+def _streamed(spark: SparkSession, d: str) -> str:
+    """Profiles as a file stream in two batches against the static corpus; the folder of the results."""
     raw = stage(prefs_raw(spark, d).repartition(2), "prefs-stream")
     source, target, state = raw.inputFiles()[0].rsplit("/", 1)[0], _folder(spark, "recs"), _folder(spark, "recs-state")
-    listings = stage(_canonical(spark, d), "corpus")
     live = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    start_recommend_stream(live, listings, target, state, CFG).awaitTermination()
-    return _flat(spark.read.parquet(target).drop("batch"))
+    start_recommend_stream(live, _canonical(spark, d), target, state, CFG).awaitTermination()
+    return target
+
+
+def recommend_stream(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark.read.parquet(_streamed(spark, d)).drop("batch"))
+
+
+def recommend_stream_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{_streamed(spark, d)}-rejected").drop("batch")
+
+
+def recommend_stream_report(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark.read.parquet(f"{_streamed(spark, d)}-report").drop("batch"))
+
+
+# --- signals --------------------------------------------------------------------------------------------------------
+
+
+def run_signals(spark: SparkSession, d: str) -> DataFrame:
+    return signals.outcomes(_answered(spark, d).report(), NO_MODEL)
+
+
+def places_asked(spark: SparkSession, d: str) -> DataFrame:
+    return signals.places_asked(_prefs(spark, d))
+
+
+def unique_venues(spark: SparkSession, d: str) -> DataFrame:
+    return signals.unique_venues(_canonical(spark, d)).select("pos", "id", "name", "city")
 
 
 QUERIES: dict[str, Query] = {
@@ -404,5 +430,10 @@ QUERIES: dict[str, Query] = {
         prompt_payload,
         completion_hook,
         recommend_stream,
+        recommend_stream_rejected,
+        recommend_stream_report,
+        run_signals,
+        places_asked,
+        unique_venues,
     )
 }
