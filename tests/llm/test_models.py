@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from venuesieve.llm import language, quality, toxicity
+from venuesieve.llm import language, quality, sharding, toxicity
 from venuesieve.llm.queries import QUERIES
 
 from .test_search import classes
@@ -145,3 +145,36 @@ def test_pipeline(spark):
             assert Counter((r["doc_id"], r["text"]) for r in after.collect()) == want
         before = after
     assert 0.5 * docs.count() < before.count() < 2 * docs.count()
+
+
+CLASHING = (
+    "_row _key _lang _md5 out_key out_lang out_md5 text_md5 accepted _text lang_pred score _own _source source_size "
+    "target rate n weight mix_size mix_copies _copy _cell _i _u _h _rank _at _part k t class_id kept key c0 ids decoded block"
+).split()
+
+
+def test_pipeline_stages_with_clashing_columns(spark):
+    """Extra columns, whatever their names, come out as they went in; odd rows and empty tables have results."""
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(90_001, None, "en", None, 0), (None, "", None, "a", 0), (90_003, "123 !!", "fr", None, None)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    extra = [F.concat(F.lit(f"{c} "), F.coalesce("doc_id", F.lit(0)).cast("string")).alias(c) for c in CLASHING]
+    before = docs.union(odd).union(docs.where("doc_id < 5")).select("*", *extra)
+    for i, (name, step) in enumerate(corpus_pipeline.STAGES):
+        after = step(spark, before, small).cache()
+        assert after.count() > 50, name
+        if i < 4:
+            assert after.columns == before.columns, name
+            right = [F.col(c) == F.concat(F.lit(f"{c} "), F.coalesce("doc_id", F.lit(0)).cast("string")) for c in CLASHING]
+            assert after.where(~F.forall(F.array(*right), lambda x: x)).count() == 0, name
+        assert step(spark, before.limit(0), small).collect() == [], name
+        before = after
+
+
+def test_operators_with_clashing_columns(spark):
+    named = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("a fine day").alias("text"), F.lit("x").alias("_text"))
+    assert toxicity.predict(named, toxicity.train([], np.array([], np.int64))).where("_text = 'x'").count() == 20
+    assert language.predict(named, None).columns == ["doc_id", "_text", "lang_pred", "score"]
+    placed = sharding.shuffle_into_shards(named.selectExpr("doc_id", "'x' AS _to", "'y' AS _at"), [F.col("doc_id")], 3)
+    assert placed.where("_to = 'x' AND _at = 'y'").count() == 20

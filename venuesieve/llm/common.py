@@ -14,13 +14,26 @@ from pyspark.sql import functions as F
 
 from venuesieve.sources.staging import stage, staging_root
 
-__all__ = ["components", "cut", "global_rank", "hash_sample", "pack", "ragged", "stage", "stage_bucketed", "table", "unpack"]
+__all__ = ["components", "cut", "global_rank", "hash_sample", "pack", "ragged", "stage", "stage_bucketed", "table", "unpack", "unused", "whole"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns of ``df`` as one column ``_row``, so that helper columns beside it cannot clash with their names."""
+    return F.struct("*").alias("_row")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, after as many underscores as it takes to differ from every column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stage_bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """Like ``stage``, but bucketed: later joins on ``key`` read the table without shuffling it."""
     spark = df.sparkSession
@@ -78,11 +91,13 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str, label: str) -
     """``df`` with its 0-based rank in ``order`` as column ``name``, and the number of rows.
 
     Ranges are sorted apart; what crosses the driver or one task is a count per range. Rows that tie in ``order`` get
-    any of their ranks, fixed once by the staged table, so name all columns that tell rows apart.
+    any of their ranks, fixed once by the staged table, so name all columns that tell rows apart. A column of ``df``
+    called ``name`` is replaced.
     """
+    df = df.drop(name)
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    held = stage(ranged.withColumn("_at", F.monotonically_increasing_id()), f"{label}-ranges")
+    held = stage(ranged.select(whole(ranged), F.monotonically_increasing_id().alias("_at")), f"{label}-ranges")
     part = F.shiftright("_at", 33)
     counts = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
@@ -90,7 +105,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str, label: str) -
     total = offsets.agg(F.sum("_n")).first()[0] or 0
     ranked = held.withColumn("_part", part).join(offsets, "_part")
     within = F.col("_at") - F.shiftleft(F.col("_part"), 33)
-    return ranked.withColumn(name, F.col("_before") + within).drop("_at", "_part", "_n", "_before"), int(total)
+    return ranked.select("_row.*", (F.col("_before") + within).alias(name)), int(total)
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import hash_sample, unused
 
 WINDOW = 128
 WIDTHS = (2, 3, 4, 5)
@@ -164,28 +164,29 @@ def predict(df: DataFrame, net: Network | None, text: str = "text", keep_text: b
     from. Columns lang_pred and score of ``df`` are replaced.
     """
     left_out = {"lang_pred", "score"} | (set() if keep_text else {text})
-    rows = df.select(F.col(text).alias("_text"), *[c for c in df.columns if c not in left_out and c != text])
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    own = unused(df, "_text")
+    rows = df.select(F.col(text).alias(own), *[c for c in df.columns if c.lower() not in left_out and c != text])
+    schema = rows.drop(own).schema.add("lang_pred", "string").add("score", "double")
     if keep_text:
-        schema = schema.add("_text", "string")
-    found = rows.mapInArrow(_predict(net, keep_text), schema)
-    return found.withColumnRenamed("_text", text)
+        schema = schema.add(own, "string")
+    found = rows.mapInArrow(_predict(net, own, keep_text), schema)
+    return found.withColumnRenamed(own, text) if keep_text else found
 
 
 def recognised_rows(df: DataFrame, net: Network | None, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``df`` whose text has a language with a score of ``least`` or more, in their own columns."""
-    named = [c for c in df.columns if c in ("lang_pred", "score")]
-    own = df.withColumnsRenamed({c: f"_own_{c}" for c in named})
-    kept = predict(own, net, text, keep_text=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.drop("lang_pred", "score").withColumnsRenamed({f"_own_{c}": c for c in named}).select(*df.columns)
+    own = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    named = predict(own, net, f"c{df.columns.index(text)}", keep_text=True)
+    kept = named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*own.columns).toDF(*df.columns)
 
 
-def _predict(net: Network | None, keep_text: bool):
+def _predict(net: Network | None, own: str, keep_text: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else []
         for batch in batches:
             names, scores = [], []
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column(own).to_pylist():
                 name, score = UNKNOWN, 0.0
                 if net and text and any(map(str.isalpha, text)):
                     windows = windows_of(text.encode("utf-8", "surrogatepass"))
@@ -194,12 +195,12 @@ def _predict(net: Network | None, keep_text: bool):
                     name, score = net.labels[int(mean.argmax())], min(1.0, float(mean.max()))
                 names.append(name)
                 scores.append(score)
-            rest = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_text"]
-            kept = [n for n in batch.schema.names if n != "_text"]
+            rest = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != own]
+            kept = [n for n in batch.schema.names if n != own]
             columns = [*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             kept += ["lang_pred", "score"]
             if keep_text:
-                columns, kept = [*columns, batch.column("_text")], [*kept, "_text"]
+                columns, kept = [*columns, batch.column(own)], [*kept, own]
             yield pa.RecordBatch.from_arrays(columns, kept)
 
     return run

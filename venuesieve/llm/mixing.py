@@ -59,25 +59,34 @@ def mix(
     hold most of its words. A cell bounds what one task sorts, also for a source with a third of all rows.
 
     Reruns agree. Null sources are a source of their own; a source without words has target 0 and no copies; null and
-    empty texts have size 0; repeated rows are drawn one by one. No rate is above ``cap``.
+    empty texts have size 0; repeated rows are drawn one by one. No rate is above ``cap``. Columns of ``df`` called like
+    the added ones are replaced.
     """
-    sized = df.withColumn("mix_size", size).withColumn("_h", F.xxhash64(key, F.lit(seed)))
-    plan = targets(sized.select("source", F.col("mix_size").alias("size")), weights, cap)
+    added = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in added])
+    return _drawn(df, row, size, key, weights, cap, seed).select("_row.*", *added)
+
+
+def _drawn(
+    df: DataFrame, row: Column, size: Column, key: Column, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: int = 11
+) -> DataFrame:
+    """``row`` of every row of ``df`` as ``_row``, and the columns that ``mix`` adds."""
+    hashed = F.xxhash64(key, F.lit(seed)).alias("_h")
+    sized = df.select(row.alias("_row"), F.col("source").alias("_own"), size.alias("mix_size"), hashed)
+    plan = targets(sized.select(F.col("_own").alias("source"), F.col("mix_size").alias("size")), weights, cap)
     plan = plan.withColumnsRenamed({"source": "_source", "source_size": "mix_source_size", "target": "mix_target"})
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+    joined = sized.join(plan, F.col("_own").eqNullSafe(F.col("_source")))
     cell = F.pmod(F.col("_h"), F.ceil(F.col("n") / CELL_ROWS))
     start = F.pmod(F.xxhash64("_source", "_cell", F.lit(seed + 1)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     place = F.row_number().over(Window.partitionBy("_source", "_cell").orderBy("mix_size", "_h"))
     whole, fraction = F.floor("rate"), F.col("rate") - F.floor("rate")
     passed = F.floor(F.col("_i") * fraction + F.col("_u")) - F.floor((F.col("_i") - 1) * fraction + F.col("_u"))
     drawn = joined.withColumn("_cell", cell).withColumn("_i", place).withColumn("_u", start)
-    return drawn.withColumn("mix_copies", (whole + passed).cast("long")).drop(
-        "_h", "_source", "n", "rate", "_cell", "_i", "_u"
-    )
+    return drawn.withColumn("mix_copies", (whole + passed).cast("long"))
 
 
 def emit(df: DataFrame, **how) -> DataFrame:
     """The mixed corpus itself: every row of ``df`` as many times as the mix takes it, in its own columns."""
-    mixed = mix(df, **how)
+    taken = _drawn(df, F.struct("*"), **how).where("mix_copies > 0")
     copies = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))
-    return mixed.where("mix_copies > 0").withColumn("_copy", copies).select(*df.columns)
+    return taken.select("_row", copies).select("_row.*")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, ragged, stage
+from .common import components, cut, ragged, stage, whole
 
 BATCH_CHARS = 4 << 20
 FEW = 64
@@ -218,13 +218,13 @@ def one_per_class(df: DataFrame, key: str = "doc_id", text: str = "text", **how)
 
     Of rows that share key and text any one stays. Rows without words stay, each of them.
     """
-    out = near_texts(df, key=key, text=text, **how).where("NOT kept").select(F.col(key).alias("_key"), "text_md5")
+    out = near_texts(df, key=key, text=text, **how).where("NOT kept").select(F.col(key).alias("out_key"), "text_md5")
     digest = F.when(F.col(text).rlike(WORD), F.md5(F.col(text).cast("binary")))
-    own = df.withColumn("_md5", digest)
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_md5") == F.col("text_md5"))
+    own = df.select(whole(df), F.col(key).alias("_key"), digest.alias("_md5"))
+    same = F.col("_key").eqNullSafe(F.col("out_key")) & (F.col("_md5") == F.col("text_md5"))
     left = own.join(out.distinct(), same, "left_anti")
-    single = left.where("_md5 IS NOT NULL").dropDuplicates([key, "_md5"])
-    return single.union(left.where("_md5 IS NULL")).drop("_md5")
+    single = left.where("_md5 IS NOT NULL").dropDuplicates(["_key", "_md5"])
+    return single.union(left.where("_md5 IS NULL")).select("_row.*")
 
 
 def _in_blocks(outside: DataFrame, state: DataFrame, counts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stage, stage_bucketed
+from .common import cut, stage, stage_bucketed, whole
 
 ORDER = 4
 BLOCK_CHARS = 16 << 20
@@ -270,8 +270,9 @@ def accepted_rows(
     """The rows of ``df`` that ``classify`` accepts, in their own columns."""
     judged = classify(df, trusted, key=key, text=text, lang=lang, **how)
     out = judged.where(~F.col("accepted")).select(
-        F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col("text_md5").alias("_md5")
+        F.col(key).alias("out_key"), F.col(lang).alias("out_lang"), F.col("text_md5").alias("out_md5")
     )
-    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    same = F.col(key).cast("long").eqNullSafe(F.col("_key")) & (digest == F.col("_md5"))
-    return df.join(out.distinct(), same & F.col(lang).cast("string").eqNullSafe(F.col("_lang")), "left_anti")
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_md5")
+    own = df.select(whole(df), F.col(key).cast("long").alias("_key"), F.col(lang).cast("string").alias("_lang"), digest)
+    same = F.col("_key").eqNullSafe(F.col("out_key")) & F.col("_lang").eqNullSafe(F.col("out_lang"))
+    return own.join(out.distinct(), same & (F.col("_md5") == F.col("out_md5")), "left_anti").select("_row.*")

@@ -8,7 +8,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_rank
+from .common import global_rank, whole
 
 ROUNDS = 5
 WALK = 64
@@ -54,9 +54,9 @@ def shuffle_into_shards(df: DataFrame, order: Sequence[Column], shards: int, see
     """
     clean = df.drop("row", "shard", "slot")
     ranked, total = global_rank(clean, order, "row", "sharding")
-    placed = ranked.withColumn("_to", permuted(F.col("row"), total, seed))
+    placed = ranked.select(whole(ranked), permuted(F.col("row"), total, seed).alias("_to"))
     shard, slot = F.col("_to") % F.lit(shards), _div(F.col("_to"), shards)
-    return placed.withColumn("shard", shard.cast("int")).withColumn("slot", slot).drop("_to")
+    return placed.select("_row.*", shard.cast("int").alias("shard"), slot.alias("slot"))
 
 
 def _div(at: Column, by: int) -> Column:

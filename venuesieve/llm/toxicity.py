@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import hash_sample, unused
 
 NGRAMS = (3, 4, 5, 6)
 BITS = 20
@@ -114,18 +114,19 @@ def predict(df: DataFrame, model: Model, text: str = "text", threshold: float =
     Null and empty texts get the score of a text without any telling n-gram. Columns score and predicted of ``df`` are
     replaced; all others and repeated rows are kept.
     """
-    kept = [c for c in df.columns if c not in (text, "score", "predicted")]
-    rows = df.select(F.col(text).alias("_text"), *kept)
-    schema = rows.drop("_text").schema.add("score", "double")
-    scored = rows.mapInArrow(_score(model), schema)
+    own = unused(df, "_text")
+    kept = [c for c in df.columns if c != text and c.lower() not in ("score", "predicted")]
+    rows = df.select(F.col(text).alias(own), *kept)
+    schema = rows.drop(own).schema.add("score", "double")
+    scored = rows.mapInArrow(_score(model, own), schema)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def _score(model: Model):
+def _score(model: Model, own: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(t) for t in batch.column("_text").to_pylist()]
-            kept = [n for n in batch.schema.names if n != "_text"]
+            scores = [model.score(t) for t in batch.column(own).to_pylist()]
+            kept = [n for n in batch.schema.names if n != own]
             columns = [batch.column(n) for n in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*kept, "score"])
 
