@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import pack, ragged, stage_bucketed, unpack
+from .common import pack, ragged, slices, stage_bucketed, unpack
 
 BLOCK_CHARS = 16 << 20
-SLICE_TOKENS = 4 << 20
+SLICE_TOKENS = 1 << 19
 MOST_VOCABULARY = 64 << 20
 
 # The code points that \s of the split pattern matches.
@@ -225,7 +225,11 @@ def _reassemble(key: str, kind: pa.DataType):
         sizes, starts = sizes[often], starts[often]
         words = unpack(row["sequence"])
         ends = np.cumsum(unpack(row["lengths"]), dtype=np.int64)
-        tokens = np.concatenate([[0], np.cumsum(sizes[words])])[np.concatenate([[0], ends])]
+        tokens = np.zeros(len(ends) + 1, np.int64)
+        if len(words):
+            so_far = np.cumsum(sizes.astype(np.int32)[words], dtype=np.int64)
+            tokens[1:] = np.where(ends > 0, so_far[np.maximum(ends, 1) - 1], 0)
+            del so_far
         first = 0
         while first < len(ends):
             last = max(first + 1, int(np.searchsorted(tokens, tokens[first] + SLICE_TOKENS, "right")) - 1)
@@ -249,7 +253,7 @@ def _reassemble(key: str, kind: pa.DataType):
 def _join_bytes(vocabulary: Vocabulary, ids: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary.tokens()
-        for batch in batches:
+        for batch in slices(batches):
             decoded = [
                 None if raw is None else b"".join([tokens[i] for i in np.frombuffer(raw, "<u4").tolist()])
                 for raw in batch.column(ids).to_pylist()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from venuesieve.sources.staging import stage, staging_root
 
-__all__ = ["components", "cut", "global_rank", "hash_sample", "pack", "ragged", "stage", "stage_bucketed", "table", "unpack", "unused", "whole"]
+__all__ = ["components", "cut", "global_rank", "hash_sample", "pack", "ragged", "slices", "stage", "stage_bucketed", "table", "unpack", "unused", "whole"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,13 @@ def stage_bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     return spark.table(name)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` at most: what a task makes of a batch is held for these rows only."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def cut(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[int, dict[str, list]]]:
     """Blocks of rows of about ``limit`` characters, each with a number that no other block of the job has.
 
@@ -53,7 +60,7 @@ def cut(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterator[tu
     number = TaskContext.get().partitionId() << 32
     held: dict[str, list] = {}
     size = 0
-    for batch in batches:
+    for batch in slices(batches):
         columns = {name: batch.column(name).to_pylist() for name in batch.schema.names}
         start = 0
         for i, value in enumerate(columns[text]):

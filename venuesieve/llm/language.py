@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, unused
+from .common import hash_sample, slices, unused
 
 WINDOW = 128
 WIDTHS = (2, 3, 4, 5)
@@ -184,7 +184,7 @@ def recognised_rows(df: DataFrame, net: Network | None, text: str = "text", leas
 def _predict(net: Network | None, own: str, keep_text: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else []
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = [], []
             for text in batch.column(own).to_pylist():
                 name, score = UNKNOWN, 0.0
