@@ -99,6 +99,21 @@ def test_quality_separates(spark, docs):
     assert share[1] >= 0.97 and share[0] <= 0.2
 
 
+def test_quality_threshold_comes_from_outside_training(spark):
+    """Most bad texts, repeated words too, lie above it, and good texts that the model has not seen seldom do."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    unseen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    got = quality.classify(spark.read.parquet(f"{folder}/documents.parquet"), labels.where((F.col("quality") == 1) & ~unseen))
+    rows = got.join(labels, "doc_id").select("quality", unseen.alias("unseen"), "accepted").collect()
+
+    def rejected(good, *hidden):
+        some = [not r["accepted"] for r in rows if r["quality"] == good and r["unseen"] in hidden]
+        return sum(some) / len(some)
+
+    assert rejected(0, True, False) >= 0.92 and rejected(1, False) <= 0.005 and rejected(1, True) <= 0.015
+
+
 def test_quality_without_trusted(spark, odd):
     none = spark.createDataFrame([], "doc_id long")
     got = quality.classify(odd, none).collect()

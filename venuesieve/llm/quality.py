@@ -17,7 +17,8 @@ from .common import cut, stage, stage_bucketed, whole
 ORDER = 4
 BLOCK_CHARS = 4 << 20
 QUANTILE = 0.995
-SLACK = 1.15
+SLACK = 1.0
+HELD_OUT = 5
 START = b"\n"
 PRIOR_BYTES = 100
 
@@ -50,12 +51,20 @@ class Corpus:
 
     def counts(self, trusted: DataFrame) -> DataFrame:
         """(gram, n) over the documents whose key is in ``trusted`` (key)."""
-        at = self.blocks.select("block", F.posexplode("keys").alias("i", "key"))
-        chosen = at.join(trusted.select("key").distinct(), "key").groupBy("block").agg(F.collect_list("i").alias("chosen"))
-        rows = self.blocks.select("block", "lengths", "texts").join(chosen, "block")
+        rows = self._chosen(trusted).select("lengths", "texts", "chosen")
         local = rows.mapInArrow(_count(self.order), "gram long, n long")
         return stage(local.groupBy("gram").agg(F.sum("n").alias("n")), "quality-counts")
 
+    def part(self, keys: DataFrame) -> Corpus:
+        """The documents whose key is in ``keys`` (key) in blocks of their own; null texts are empty there."""
+        rows = self._chosen(keys).select("keys", "langs", "lengths", "texts", "chosen")
+        return Corpus(rows.mapInArrow(_unpacked, "key long, lang string, text string"), self.order, "key", "text", "lang")
+
+    def _chosen(self, keys: DataFrame) -> DataFrame:
+        at = self.blocks.select("block", F.posexplode("keys").alias("i", "key"))
+        chosen = at.join(keys.select("key").distinct(), "key").groupBy("block").agg(F.collect_list("i").alias("chosen"))
+        return self.blocks.drop("grams").join(chosen, "block")
+
     def needed(self) -> DataFrame:
         return self.blocks.select(F.explode("grams").alias("gram")).distinct()
 
@@ -106,6 +115,20 @@ def _texts(lengths: list[int], packed: bytes) -> list[bytes]:
     return [whole[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            raw = _texts(row["lengths"], row["texts"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([row["keys"][i] for i in row["chosen"]], pa.int64()),
+                    pa.array([row["langs"][i] for i in row["chosen"]], pa.string()),
+                    pa.array([raw[i].decode("utf-8", "surrogatepass") for i in row["chosen"]], pa.string()),
+                ],
+                ["key", "lang", "text"],
+            )
+
+
 def _count(order: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,25 +251,34 @@ def classify(
     The model is trained on all rows of ``df`` whose key is in ``trusted`` (column ``key``), and every n-gram of every
     row is scored. ``adjusted`` is the perplexity after adding 100 bytes (PRIOR_BYTES) of the language's trusted mean,
     so that a text of a few bytes is not judged by chance. The threshold of a language is ``slack`` times the
-    ``quantile`` of ``adjusted`` among its trusted documents (relative error of the rank 1/10,000); a language without
-    any takes mean and threshold of all trusted documents; without trusted documents at all nothing is rejected. Null
-    and empty texts have no perplexity and are not accepted. A null language is one of its own. Repeated rows are
-    scored alike; a null key is never trusted.
+    ``quantile`` of ``adjusted`` among its trusted documents (relative error of the rank 1/10,000). Mean and threshold
+    come from the fifth of the trusted documents whose keys hash to it (HELD_OUT), scored by a second model of the
+    other four fifths: a text that a model has learned is no measure for one that it has not. A language with too few of
+    them to have such a quantile (under 200 for 0.995) takes its mean times the quantile of ``adjusted`` over the mean
+    among all languages; one without any takes mean and threshold of all. If either part is empty, all trusted
+    documents are judged by the model itself; without trusted documents at all nothing is rejected. Null and empty
+    texts have no perplexity and are not accepted. A null language is one of its own. Repeated rows are scored alike; a
+    null key is never trusted.
     """
     corpus = Corpus(df, order, key, text, lang)
-    trusted = trusted.select(F.col(key).cast("long").alias("key")).where("key IS NOT NULL")
-    chances = kneser_ney(corpus.counts(trusted), corpus.needed(), order)
-    scored = stage(corpus.score(chances), "quality-scores")
-    good = scored.join(trusted.distinct(), "key", "left_semi").where("perplexity IS NOT NULL")
-    good = stage(good.select("lang", "n_bytes", F.log("perplexity").alias("nll")), "quality-trusted")
+    trusted = trusted.select(F.col(key).cast("long").alias("key")).where("key IS NOT NULL").distinct()
+    counts = corpus.counts(trusted)
+    scored = stage(corpus.score(kneser_ney(counts, corpus.needed(), order)), "quality-scores")
+    good = _held_out(corpus, counts, trusted.where(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(HELD_OUT)) == 0))
+    if good is None:
+        good = _judged(scored.join(trusted, "key", "left_semi"))
     mean = (F.sum(F.col("nll") * F.col("n_bytes")) / F.sum("n_bytes")).alias("mean")
     adjusted = (F.col("nll") * F.col("n_bytes") + F.col("mean") * PRIOR_BYTES) / (F.col("n_bytes") + PRIOR_BYTES)
-    limit = (F.percentile_approx(F.exp(adjusted), quantile, 10_000) * slack).alias("limit")
+    upper = lambda x: F.percentile_approx(x, quantile, 10_000) * slack
     all_mean = good.agg(mean).first()[0]
-    all_limit = good.withColumn("mean", F.lit(all_mean).cast("double")).agg(limit).first()[0]
+    all_limit = good.withColumn("mean", F.lit(all_mean).cast("double")).agg(upper(F.exp(adjusted))).first()[0]
     means = stage(good.groupBy("lang").agg(mean).withColumnRenamed("lang", "_lang"), "quality-means")
     same = F.col("lang").eqNullSafe(F.col("_lang"))
-    limits = good.join(means, same).groupBy("_lang").agg(F.any_value("mean").alias("mean"), limit)
+    placed = good.join(means, same)
+    above = F.lit(placed.agg(upper(F.exp(adjusted - F.col("mean")))).first()[0]).cast("double")
+    enough = F.count("*") * (1 - quantile) >= 1 - 1e-9
+    limit = F.when(enough, upper(F.exp(adjusted))).otherwise(F.exp(F.any_value("mean")) * above).alias("limit")
+    limits = placed.groupBy("_lang").agg(F.any_value("mean").alias("mean"), limit)
     joined = scored.join(stage(limits, "quality-limits"), same, "left").withColumn("nll", F.log("perplexity"))
     joined = joined.withColumn("mean", F.coalesce("mean", F.lit(all_mean).cast("double")))
     joined = joined.withColumn("adjusted", F.exp(adjusted))
@@ -264,6 +296,23 @@ def classify(
     )
 
 
+def _held_out(corpus: Corpus, counts: DataFrame, held: DataFrame) -> DataFrame | None:
+    """(lang, n_bytes, nll) of the ``held`` documents under a model of all others in ``counts``; None if either is empty."""
+    apart = corpus.part(held)
+    own = apart.counts(held).withColumnRenamed("n", "own")
+    rest = counts.join(own, "gram", "left").select("gram", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0")
+    rest = stage(rest, "quality-rest")
+    if rest.isEmpty():
+        return None
+    good = _judged(apart.score(kneser_ney(rest, apart.needed(), corpus.order)))
+    return None if good.isEmpty() else good
+
+
+def _judged(scored: DataFrame) -> DataFrame:
+    good = scored.where("perplexity IS NOT NULL").select("lang", "n_bytes", F.log("perplexity").alias("nll"))
+    return stage(good, "quality-trusted")
+
+
 def accepted_rows(
     df: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **how
 ) -> DataFrame:
