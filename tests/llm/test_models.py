@@ -99,6 +99,17 @@ def test_quality_separates(spark, docs):
     assert share[1] >= 0.97 and share[0] <= 0.2
 
 
+def test_quality_model_grows_with_the_text(spark):
+    """Five times the trusted text has at least half as many n-grams again; a table that is full does not."""
+    sizes = []
+    for folder in ("sf0.001", "sf0.01"):
+        rows = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+        labels = spark.read.parquet(f"/root/testdata/{folder}/labels.parquet").where("quality = 1")
+        texts = [r["text"].encode() for r in rows.join(labels, "doc_id").where("text IS NOT NULL").collect()]
+        sizes.append(len(np.unique(quality._grams(texts, quality.ORDER)[0])))
+    assert sizes[1] >= 1.5 * sizes[0]
+
+
 def test_quality_threshold_comes_from_outside_training(spark):
     """Most bad texts, repeated words too, lie above it, and good texts that the model has not seen seldom do."""
     folder = "/root/testdata/sf0.1"

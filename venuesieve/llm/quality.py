@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, stage, stage_bucketed, whole
 
-ORDER = 4
+ORDER = 6
 BLOCK_CHARS = 4 << 20
 QUANTILE = 0.995
 SLACK = 1.0
