@@ -8,11 +8,29 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, near_dup, quality, sharding, token_counts, topk, toxicity, vector_dedup
+from . import (
+    bpe,
+    fill_middle,
+    language,
+    merkle,
+    mixing,
+    near_dup,
+    packing,
+    quality,
+    sharding,
+    token_counts,
+    topk,
+    toxicity,
+    vector_dedup,
+)
 from .common import table
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "remainder", "vocabulary"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_50k.tiktoken"
+WORD_TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = 50256
 
 
@@ -100,6 +118,38 @@ def op10_vector_dedup(spark: SparkSession, d: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, d, "embeddings"))
 
 
+def op11_fill_middle(spark: SparkSession, d: str) -> DataFrame:
+    formed = fill_middle.fill_in_middle(fill_middle.store(table(spark, d, "documents")))
+    return fill_middle.digests(formed).withColumnRenamed("key", "doc_id")
+
+
+def op12_packing(spark: SparkSession, d: str) -> DataFrame:
+    tokenizer = packing.TokenizerFile(spark, public_tokenizers.path(WORD_TOKENIZER))
+    cut = packing.pieces(table(spark, d, "documents"), tokenizer)
+    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op13_merkle(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    own = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    hit = F.coalesce(remainder("doc_id", 7) == 0, F.lit(False))
+    claimed = own | {"n_chars": F.col("n_chars") + hit.cast("int")}
+    leaves = docs.select(
+        "doc_id", "lang", merkle.leaf([*own.values()]).alias("leaf"), merkle.leaf([*claimed.values()]).alias("claimed")
+    )
+    proved = merkle.manifest(leaves, "doc_id", "lang", "leaf")
+    folded = proved.withColumn("folded_root", merkle.fold("claimed", "proof"))
+    return folded.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings("proof").cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -113,7 +163,8 @@ QUERIES: dict[str, Query] = {
         op8_near_dup,
         op9_toxicity,
         op10_vector_dedup,
+        op11_fill_middle,
+        op12_packing,
+        op13_merkle,
     )
 }
-
-ORACLES: dict[str, str] = {}
