@@ -31,7 +31,19 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize(
-    "name", ["canonical_listings", "title_case", "prefs_validated", "prefs_rejected", "relax_ladder", "reconcile"]
+    "name",
+    [
+        "canonical_listings",
+        "cache_snapshots",
+        "title_case",
+        "prefs_validated",
+        "prefs_rejected",
+        "relax_ladder",
+        "reconcile",
+        "completion_log",
+        "few_items",
+        "few_report",
+    ],
 )
 def test_equal(spark, sql, name):
     cursor = sql.execute(ORACLES[name])

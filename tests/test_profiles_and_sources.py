@@ -6,7 +6,17 @@ from venuesieve.operators import match, quality
 from venuesieve.operators.prefs import split_preferences, validate_preferences
 from venuesieve.schemas import COST, RAW
 from venuesieve.operators.search import _lean
-from venuesieve.sources import canonicalize, load_listings, missing_columns, read_canonical, read_raw, write_canonical
+from venuesieve.sources import (
+    canonicalize,
+    load_listings,
+    missing_columns,
+    prune,
+    publish,
+    read_canonical,
+    read_raw,
+    snapshots,
+    write_canonical,
+)
 from venuesieve.sources.listings import first_rows
 
 ROWS = [
@@ -159,3 +169,44 @@ def test_profiles_with_other_column_types(spark):
     rows = {r.pref_id: r for r in validate_preferences(frame).collect()}
     assert rows[1].error == "cuisines_not_list" and rows[2].error == "min_rating_not_number"
     assert rows[3].error is None and rows[3].max_cost_for_two_inr == 12 and rows[3].min_rating == 4.5
+
+
+def test_readers_keep_their_snapshot(spark, raw, tmp_path):
+    path = str(tmp_path / "cache")
+    listings = canonicalize(raw)
+    first = publish(listings.where("pos <= 2"), path)
+    early = read_canonical(spark, path)
+    rows = early.toLocalIterator()
+    assert next(rows).pos in (1, 2)
+    second = publish(listings, path)
+    assert next(rows).pos in (1, 2) and next(rows, None) is None
+    assert early.count() == 2 and read_canonical(spark, path).count() == 4
+    assert read_canonical(spark, path, snapshot=first.snapshot).count() == 2
+    assert read_canonical(spark, path, IngestConfig(max_rows=9), first.snapshot) is None
+    assert read_canonical(spark, path, snapshot="none such") is None
+    assert [(s.version, s.snapshot, s.row_count) for s in snapshots(spark, path)] == [
+        (2, second.snapshot, 4),
+        (1, first.snapshot, 2),
+    ]
+
+
+def test_failed_rebuild_leaves_the_old_snapshot(spark, raw, tmp_path):
+    path = str(tmp_path / "cache")
+    listings = canonicalize(raw)
+    publish(listings, path)
+    broken = listings.withColumn("votes", F.when(F.col("pos") == 3, F.raise_error(F.lit("broken")).cast("bigint")))
+    with pytest.raises(Exception, match="broken"):
+        publish(broken, path)
+    assert len(snapshots(spark, path)) == 1 and read_canonical(spark, path).count() == 4
+
+
+def test_prune(spark, raw, tmp_path):
+    path = str(tmp_path / "cache")
+    listings = canonicalize(raw)
+    names = [publish(listings.where(f"pos <= {n}"), path).snapshot for n in (1, 2, 3)]
+    assert prune(spark, path) == names[:1]
+    assert prune(spark, path) == []
+    assert read_canonical(spark, path, snapshot=names[0]) is None
+    assert read_canonical(spark, path, snapshot=names[1]).count() == 2 and read_canonical(spark, path).count() == 3
+    with pytest.raises(ValueError):
+        prune(spark, path, 0)

@@ -1,13 +1,23 @@
+import shutil
 from pathlib import Path
 
 import pytest
 
 from venuesieve import CANONICAL
 from venuesieve.config import IngestConfig
-from venuesieve.sources import canonicalize
+from venuesieve.sources import canonicalize, publish
 from venuesieve.sources.staging import scratch, stage, together
 from venuesieve.streaming import recommend
-from venuesieve.streaming.ingest import ingested, stream_listings, write_stream
+from venuesieve.streaming.ingest import (
+    add_batch,
+    batch_metrics,
+    counted,
+    ingested,
+    stream_listings,
+    write_counted_stream,
+    write_stream,
+)
+from venuesieve.streaming.recommend import LiveCorpus
 
 from .test_profiles_and_sources import COLUMNS, ROWS
 from .test_search import listing
@@ -82,3 +92,50 @@ def test_profile_stream_stages_the_corpus_once(spark, tmp_path, monkeypatch):
     assert [r.pref_id for r in spark.read.parquet(f"{target}-rejected").collect()] == [2]
     report = {r.pref_id: r.model_id for r in spark.read.parquet(f"{target}-report").collect()}
     assert report == {1: "deterministic_fallback", 3: "none"}
+
+
+def test_batches_are_counted_once(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    raw = spark.createDataFrame(ROWS, COLUMNS).repartitionByRange(2, "pos")
+    raw.write.parquet(source)
+    assert counted(spark, target) == (0, 0)
+
+    def run():
+        write_counted_stream(stream_listings(spark, source, raw.schema, max_files=1), target, state).awaitTermination()
+        return counted(spark, target)
+
+    assert run() == run() == (4, 2)
+    assert batch_metrics(spark, target).count() == 2
+    first = stage(spark.read.parquet(f"{target}/batch=0"), "again")
+    add_batch(first, 0, target)
+    assert counted(spark, target) == (4, 2)
+    assert sorted(spark.read.parquet(target).drop("batch").collect()) == sorted(canonicalize(raw).collect())
+    add_batch(first.limit(0), 7, target)
+    assert counted(spark, target) == (4, 2) and batch_metrics(spark, target).count() == 3
+
+
+def test_counts_come_from_the_log_alone(spark, tmp_path):
+    target = str(tmp_path / "out")
+    add_batch(canonicalize(spark.createDataFrame(ROWS, COLUMNS)), 0, target)
+    shutil.rmtree(target)
+    assert counted(spark, target) == (4, 2)
+
+
+def test_profile_stream_takes_the_newest_snapshot(spark, tmp_path):
+    source, target, state, cache = (str(tmp_path / n) for n in ("in", "out", "state", "cache"))
+    schema = "pref_id bigint, budget_for_two_inr string, cuisines array<string>, min_rating double"
+    listings = [listing(i, f"Place {i}", cuisines=["thai"], rating=4.0, cost=100) for i in range(1, 9)]
+    corpus, used = LiveCorpus(spark, cache), []
+    with pytest.raises(ValueError, match="no snapshot"):
+        corpus.now()
+    for n, size in enumerate((2, 8, 8)):
+        if n < 2:
+            used.append(publish(spark.createDataFrame(listings[:size], CANONICAL), cache).snapshot)
+        spark.createDataFrame([(n, "900", ["thai"], 0.0)], schema).coalesce(1).write.mode("append").parquet(source)
+        live = spark.readStream.schema(schema).parquet(source)
+        staged = corpus.corpus
+        recommend.recommend_stream(live, corpus, target, state).awaitTermination()
+        assert (corpus.corpus is staged) == (n == 2)
+    got = spark.read.parquet(target).groupBy("pref_id", "snapshot").count().collect()
+    assert {(r.pref_id, r.snapshot, r["count"]) for r in got} == {(0, used[0], 2), (1, used[1], 8), (2, used[1], 8)}
+    assert {r.snapshot for r in spark.read.parquet(f"{target}-report").collect()} == set(used)

@@ -3,8 +3,8 @@
 Points carry a cost, a rating and a weight; a question names a cost cap and a minimum rating. Points and questions
 live in groups (``keys``). One axis is reduced to the thresholds that the questions of a group use. On that axis a
 one-sided range is a union of at most log2(thresholds) blocks of power-of-two size, and a point lies in at most that
-many useful blocks. Inside a block the other axis is a sort. So the work is (points + questions) x log(thresholds),
-spread over (group, block), and a hot group is split into its blocks.
+many useful blocks. Inside a block the other axis is a prefix sum, cut into buckets of about equal weight. So the work
+is (points + questions) x log(thresholds), spread over (group, block, bucket), and a hot group is split accordingly.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
+from .prefix import bucket_of, cut_points, running_total
 
 BLOCK = ["lvl", "node"]
 
@@ -34,7 +35,8 @@ def _positions(values: DataFrame, marks: DataFrame, keys: Sequence[str], marks_f
 
     ``idx`` counts the marks at or before a row in order of ``v``; ``bits`` is the bit length of the group's number
     of marks. ``marks_first`` decides whether a mark equal to a value counts for it. The table is staged: it is far
-    smaller than the rows it is joined to, and its true size lets the planner see that.
+    smaller than the rows it is joined to, and its true size lets the planner see that. A group's distinct values and
+    marks meet in one task, so use it on an axis with a bounded number of them: ratings, or costs up to a highest cap.
     """
     both = (
         values.select(*keys, "v")
@@ -58,7 +60,7 @@ def _positions(values: DataFrame, marks: DataFrame, keys: Sequence[str], marks_f
 def _rating_blocks(
     cells: DataFrame, asked: DataFrame, keys: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Blocks over rating thresholds: (weight per block and cost, questions per block)."""
+    """Blocks over rating thresholds: (block, cost, n) rows of the cells, questions per block."""
     spots = _positions(
         cells.withColumn("v", F.col("rating")), asked.withColumn("v", F.col("t")), keys, marks_first=True
     )
@@ -69,8 +71,7 @@ def _rating_blocks(
         cells.join(of_cell, [*keys, "rating"])
         .withColumn("lvl", F.explode(_bit_levels(F.col("idx"), F.col("bits"), 1)))
         .withColumn("node", _shift(F.col("idx"), F.col("lvl")))
-        .groupBy(*keys, *BLOCK, "cost")
-        .agg(F.sum("n").alias("n"))
+        .select(*keys, *BLOCK, "cost", "n")
     )
     asked_blocks = (
         asked.join(of_asked, [*keys, "t"])
@@ -81,22 +82,26 @@ def _rating_blocks(
     return cell_blocks, asked_blocks
 
 
-def count_dominated(cells: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
+def count_dominated(cells: DataFrame, points: DataFrame, keys: Sequence[str], cuts: Sequence | None = None) -> DataFrame:
     """For each distinct point (keys, cap, t): weight of cells with cost <= cap and rating >= t, as ``hits``.
 
-    Cells: keys, cost, rating, n, without NULLs.
+    Cells: keys, cost, rating, n, without NULLs. ``cuts`` spread the costs and caps of a block (see ``cut_points``, which
+    finds them if there are none); they change no count.
     """
+    if cuts is None:
+        cuts = cut_points(cells.select("cost").union(points.select("cap")), "cost")
     cell_blocks, asked = _rating_blocks(cells, points, keys)
+    cell, cap = F.col("cost"), F.col("cap")
+    nothing, no_t = F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("t")
     events = cell_blocks.select(
-        *keys, *BLOCK, F.col("cost").alias("x"), F.lit(0).alias("asks"), "n", F.lit(None).cast("double").alias("t")
+        *keys, *BLOCK, bucket_of(cell, cuts).alias("bucket"), cell.alias("x"), F.lit(0).alias("asks"), "n", no_t
     ).unionByName(
         asked.select(
-            *keys, *BLOCK, F.col("cap").alias("x"), F.lit(1).alias("asks"), F.lit(0).cast("bigint").alias("n"), "t"
+            *keys, *BLOCK, bucket_of(cap, cuts).alias("bucket"), cap.alias("x"), F.lit(1).alias("asks"), nothing, "t"
         )
     )
-    upto = W.partitionBy(*keys, *BLOCK).orderBy("x", "asks").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        events.withColumn("below", F.sum("n").over(upto))
+        running_total(events, [*keys, *BLOCK], "bucket", ["x", "asks"], "n", "below")
         .where(F.col("asks") == 1)
         .groupBy(*keys, F.col("x").alias("cap"), "t")
         .agg(F.sum("below").alias("hits"))
@@ -106,7 +111,7 @@ def count_dominated(cells: DataFrame, points: DataFrame, keys: Sequence[str]) ->
 def kth_cost(cells: DataFrame, wanted: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """For each distinct (keys, t): the k-th smallest cost among cells with rating >= t; no row if fewer than k."""
     cell_blocks, asked = _rating_blocks(cells, wanted.select(*keys, "t").distinct(), keys)
-    # Every cost weighs one at least, so k of them are enough.
+    # Every row weighs one at least, so k of them are enough.
     cheapest = keep_first(cell_blocks, [*keys, *BLOCK], [F.col("cost")], k)
     merged = W.partitionBy(*keys, "t").orderBy("cost").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (

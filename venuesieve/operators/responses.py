@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,33 +18,56 @@ _FRACTIONS = ("DECIMAL", "DOUBLE", "FLOAT")
 _WHOLE = ("BIGINT", "INT", "SMALLINT", "TINYINT")
 
 
-def complete(prompts: DataFrame, answer: Callable[..., str]) -> DataFrame:
+@dataclass(frozen=True)
+class Asking:
+    """How a task calls a model: how often at most per prompt, how many prompts at once, and the wait before the second
+    attempt in seconds, which doubles with every further one."""
+
+    attempts: int = 1
+    at_once: int = 1
+    first_wait: float = 0.5
+
+    def __post_init__(self) -> None:
+        if self.attempts < 1 or self.at_once < 1 or self.first_wait < 0:
+            raise ValueError("at least one attempt, one call at a time and no negative wait")
+
+    def call(self, answer: Callable[..., str], row) -> tuple[str | None, str | None, int]:
+        """(answer, reason of the last failure if there is no answer, calls made)."""
+        messages = [{"role": "system", "content": row.system}, {"role": "user", "content": row.user}]
+        failed = None
+        for n in range(1, self.attempts + 1):
+            try:
+                said = answer(
+                    messages, model=row.model, temperature=float(row.temperature), max_tokens=int(row.max_tokens)
+                )
+                return said, None, n
+            except Exception as e:
+                failed = f"{type(e).__name__}: {e}"
+            if n < self.attempts:
+                time.sleep(self.first_wait * 2 ** (n - 1))
+        return None, failed, self.attempts
+
+    def batches(self, answer: Callable[..., str], key: str):
+        """For ``mapInPandas``: ``key, raw, error, calls, model``, rows in order, never more than ``at_once`` calls open."""
+
+        def run(batches):
+            with ThreadPoolExecutor(self.at_once) as pool:
+                for batch in batches:
+                    told = list(pool.map(lambda row: self.call(answer, row), batch.itertuples(index=False)))
+                    raw, error, calls = zip(*told, strict=True) if told else ((), (), ())
+                    yield batch[[key]].assign(raw=raw, error=error, calls=calls, model=batch["model"])
+
+        return run
+
+
+def complete(prompts: DataFrame, answer: Callable[..., str], asking: Asking = Asking()) -> DataFrame:
     """``pref_id, raw, error, model``: one ``answer(messages, model=, temperature=, max_tokens=)`` per prompt row.
 
-    Runs in the tasks, batch by batch. A call that raises leaves ``raw`` NULL, so that its profile falls back, and its
-    reason in ``error``.
+    Runs in the tasks, batch by batch. A prompt whose last attempt raises leaves ``raw`` NULL, so that its profile falls
+    back, and its reason in ``error``. Nothing is kept for a later run: see ``completions.complete_logged``.
     """
-
-    def run(batches):
-        for batch in batches:
-            raw, error = [], []
-            for row in batch.itertuples(index=False):
-                messages = [{"role": "system", "content": row.system}, {"role": "user", "content": row.user}]
-                said, failed = None, None
-                try:
-                    said = answer(
-                        messages,
-                        model=row.model,
-                        temperature=float(row.temperature),
-                        max_tokens=int(row.max_tokens),
-                    )
-                except Exception as e:
-                    failed = f"{type(e).__name__}: {e}"
-                raw.append(said)
-                error.append(failed)
-            yield batch[["pref_id"]].assign(raw=raw, error=error, model=batch["model"])
-
-    return prompts.mapInPandas(run, "pref_id bigint, raw string, error string, model string")
+    shape = "pref_id bigint, raw string, error string, calls int, model string"
+    return prompts.mapInPandas(asking.batches(answer, "pref_id"), shape).drop("calls")
 
 
 def _strip_fence(raw: Column) -> Column:

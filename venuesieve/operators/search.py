@@ -23,6 +23,7 @@ blank  ``''``       usable listings without neighborhood; they match every locat
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -33,6 +34,7 @@ from ..sources.listings import has_required_fields
 from ..sources.staging import stage, together
 from .containment import containment_pairs, touching_pairs
 from .dominance import count_dominated, keep_first, kth_cost, top_within_cap
+from .prefix import cut_points
 
 # Labels of the ladder steps.
 DROP_LOCATION = "removed_location_filter"
@@ -40,7 +42,7 @@ FIRST_CUISINE = "kept_primary_cuisine_only"
 LOWER_RATING = "lowered_min_rating"
 RAISE_BUDGET = "increased_budget_cap_inr"
 
-_RATING_SLACK = 1e-9
+RATING_SLACK = 1e-9
 _LOWEST = float("-inf")
 _NO_WANT = "[]"
 _GROUP = ["scope", "q", "want"]
@@ -61,7 +63,7 @@ def rating_ladder(min_rating: Column, cfg: SearchConfig) -> Column:
         F.sequence(F.lit(1), F.lit(most)),
         F.array(min_rating),
         lambda acc, _: F.when(
-            last(acc) > F.lit(cfg.min_rating_floor + _RATING_SLACK),
+            last(acc) > F.lit(cfg.min_rating_floor + RATING_SLACK),
             F.concat(
                 acc, F.array(F.greatest(F.lit(float(cfg.min_rating_floor)), last(acc) - F.lit(cfg.rating_relax_step)))
             ),
@@ -350,6 +352,12 @@ class ProfileSearch:
         """No cap can be higher than this."""
         return max(MAX_BUDGET_INR, self.cfg.budget_relax_ceiling_inr)
 
+    @cached_property
+    def _cuts(self) -> list:
+        """Costs and caps that spread the work of a hot group."""
+        costs = self._priced.select("cost").union(self.requests.select("cap"))
+        return cut_points(costs, "cost")
+
     @property
     def _priced(self) -> DataFrame:
         """Cells a cap can reach; an unknown rating sits below every minimum."""
@@ -381,7 +389,7 @@ class ProfileSearch:
         )
         asked = _ask(steps, step == 0)
         points = asked.select(*_GROUP, "cap", "t").distinct()
-        hits = count_dominated(self._priced, points, _GROUP)
+        hits = count_dominated(self._priced, points, _GROUP, self._cuts)
         counted = (
             asked.join(hits, [*_GROUP, "cap", "t"], "left")
             .groupBy("req", "step")
@@ -442,7 +450,7 @@ class ProfileSearch:
         thresholds = asked.select(*_GROUP, "cap", "t")
         points = thresholds.unionByName(thresholds.withColumn("t", F.lit(_LOWEST))).distinct()
         needed = self._priced.join(groups, _GROUP, "left_semi")
-        hits = stage(count_dominated(needed, points, _GROUP), "hits")
+        hits = stage(count_dominated(needed, points, _GROUP, self._cuts), "hits")
         unrated = hits.where(F.col("t") == _LOWEST).drop("t").withColumnRenamed("hits", "after_budget")
 
         def total(name: str) -> Column:

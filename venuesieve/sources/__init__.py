@@ -1,4 +1,4 @@
-from .cache import read_canonical, write_canonical
+from .cache import newest, prune, publish, read_canonical, snapshots, write_canonical
 from .listings import canonicalize, conform, load_listings, missing_columns, read_raw
 from .staging import stage
 
@@ -7,8 +7,12 @@ __all__ = [
     "conform",
     "load_listings",
     "missing_columns",
+    "newest",
+    "prune",
+    "publish",
     "read_canonical",
     "read_raw",
+    "snapshots",
     "stage",
     "write_canonical",
 ]

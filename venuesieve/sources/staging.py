@@ -34,10 +34,15 @@ def staging_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def staging_path(spark: SparkSession, name: str) -> str:
+    """Where a table ``name`` belongs, inside ``scratch`` if that is open."""
+    scratch = spark.sparkContext.getLocalProperty(_SCRATCH)
+    return f"{staging_root(spark)}/{scratch + '/' if scratch else ''}{name}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
-    scratch = spark.sparkContext.getLocalProperty(_SCRATCH)
-    path = f"{staging_root(spark)}/{scratch + '/' if scratch else ''}{label}-{uuid4().hex}"
+    path = staging_path(spark, f"{label}-{uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

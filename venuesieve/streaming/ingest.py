@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -10,6 +12,9 @@ from ..config import IngestConfig
 from ..operators.quality import corpus_metrics
 from ..sources.listings import canonicalize
 
+_COUNTS = ["total_rows", "rows_passing_validation"]
+METRICS = ", ".join(f"{c} bigint" for c in _COUNTS)
+
 
 def stream_listings(
     spark: SparkSession,
@@ -45,3 +50,38 @@ def write_stream(listings: DataFrame, path: str, checkpoint: str) -> StreamingQu
 def ingested(spark: SparkSession, path: str) -> tuple[int, int]:
     """(seen, usable) rows written to ``path`` so far, counted in the data: exact after any number of batches."""
     return tuple(spark.read.parquet(path).agg(*corpus_metrics()).first())
+
+
+def add_batch(listings: DataFrame, batch_id: int, path: str) -> None:
+    """Write a batch to ``path/batch=<id>``, then its counts to ``<path>-metrics/batch=<id>``.
+
+    Rows are counted while they are written. A repeated batch overwrites both, so nothing is kept or counted twice.
+    """
+    seen = Observation()
+    listings.observe(seen, *corpus_metrics()).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    row = [tuple(seen.get[c] for c in _COUNTS)]
+    counts = listings.sparkSession.createDataFrame(row, METRICS).coalesce(1)
+    counts.write.mode("overwrite").json(f"{path}-metrics/batch={batch_id}")
+
+
+def write_counted_stream(listings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Like ``write_stream``, but by batch and with a log of each batch's counts, so that ``counted`` reads no data."""
+    return (
+        listings.writeStream.foreachBatch(lambda batch, batch_id: add_batch(batch, batch_id, path))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def batch_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """``batch, total_rows, rows_passing_validation`` of every batch of a counted stream, from its log alone."""
+    try:
+        return spark.read.schema(f"{METRICS}, batch bigint").json(f"{path}-metrics").select("batch", *_COUNTS)
+    except AnalysisException:
+        return spark.createDataFrame([], f"batch bigint, {METRICS}")
+
+
+def counted(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(seen, usable) rows of a counted stream so far; exact after any number of batches, repeated ones included."""
+    return tuple(batch_metrics(spark, path).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in _COUNTS]).first())

@@ -1,20 +1,44 @@
-"""Preference profiles arriving over time, answered per micro-batch against a static corpus."""
+"""Preference profiles arriving over time, answered per micro-batch against the corpus in force."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..config import AnswerConfig, SearchConfig
+from ..config import AnswerConfig, IngestConfig, SearchConfig
 from ..operators.prefs import split_preferences
 from ..operators.search import Corpus
 from ..plans.recommend import Recommender
+from ..sources.cache import newest, read_canonical
 from ..sources.staging import scratch
 
 
+@dataclass
+class LiveCorpus:
+    """The newest snapshot of a canonical cache, staged anew only when another one has been published."""
+
+    spark: SparkSession
+    cache_path: str
+    config: IngestConfig = IngestConfig()
+    snapshot: str | None = field(default=None, init=False)
+    corpus: Corpus | None = field(default=None, init=False)
+
+    def now(self) -> tuple[str, Corpus]:
+        found = newest(self.spark, self.cache_path, self.config)
+        if found is None:
+            raise ValueError(f"{self.cache_path} has no snapshot for this configuration")
+        if found != self.snapshot:
+            self.corpus = Corpus(read_canonical(self.spark, self.cache_path, self.config, found))
+            self.snapshot = found
+        return self.snapshot, self.corpus
+
+
 def recommend_stream(
     raw_prefs: DataFrame,
-    listings: DataFrame,
+    listings: DataFrame | LiveCorpus,
     path: str,
     checkpoint: str,
     search_config: SearchConfig = SearchConfig(),
@@ -22,16 +46,22 @@ def recommend_stream(
 ) -> StreamingQuery:
     """Write each batch's recommendations to ``path/batch=<id>``, the profiles that break a rule to
     ``<path>-rejected/batch=<id>`` and the report of all others, those without candidates included, to
-    ``<path>-report/batch=<id>``. A repeated batch overwrites its own folders. The corpus is staged once, at the start;
-    what a batch stages is deleted when the batch is written.
+    ``<path>-report/batch=<id>``. A repeated batch overwrites its own folders; what a batch stages is deleted when the
+    batch is written.
+
+    A table of listings is staged once, at the start. With a ``LiveCorpus`` every batch is answered from the snapshot
+    that is the newest when it begins, and a column ``snapshot`` of items and report names it.
     """
-    corpus = Corpus(listings)
+    fixed = None if isinstance(listings, LiveCorpus) else Corpus(listings)
 
     def answer(batch: DataFrame, batch_id: int) -> None:
+        name, corpus = (None, fixed) if fixed else listings.now()
         with scratch(batch.sparkSession):
             usable, rejected = split_preferences(batch)
             result = Recommender(usable, corpus, None, search_config, answer_config)
             for table, where in ((rejected, "-rejected"), (result.items(), ""), (result.report(), "-report")):
+                if name and where != "-rejected":
+                    table = table.withColumn("snapshot", F.lit(name))
                 table.write.mode("overwrite").parquet(f"{path}{where}/batch={batch_id}")
 
     return (

@@ -306,6 +306,25 @@ FOUND = SEARCH + "," + CANDIDATES
 ANSWERED = ",".join([FOUND, LIMITS, ENTRIES, RECONCILED])
 
 
+# A handful of profiles given as values, in place of the customers.
+FEW_RAW = """
+prefs_raw AS (
+  SELECT * FROM (VALUES
+    (1, 'Bangalore', '1200', NULL, ['economy', 'ring'], 3.0::DOUBLE, '', 5),
+    (2, NULL, '700', NULL, CAST([] AS VARCHAR[]), 4.5, '', NULL),
+    (3, 'Asia Brand#1', '150', NULL, ['promo', 'gear', 'plate'], 5.0, '', 12),
+    (4, NULL, '2000', NULL, ['unlisted kitchen'], 2.5, '', NULL),
+    (5, 'Nowhere At All', '1', NULL, ['standard'], 2.0, '', NULL),
+    (6, 'Nation_3', '300', NULL, ['unlisted kitchen', 'widget'], 4.0, '', 1)
+  ) t(pref_id, location, budget_for_two_inr, budget_max_inr, cuisines, min_rating, extras, top_k)
+)"""
+
+
+def _few(sql: str) -> str:
+    """``sql`` for those profiles."""
+    return sql.replace(PREFS_RAW, FEW_RAW)
+
+
 def _q(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{select}"
 
@@ -364,6 +383,11 @@ ORACLES: dict[str, str] = {
     "schema_check": _schema_check(),
     "canonical_roundtrip": _q(LISTINGS, _LISTING),
     "cache_hit": _q(LISTINGS, _LISTING),
+    "cache_snapshots": _q(
+        LISTINGS,
+        "SELECT pos, id, 'first' AS snapshot FROM listings WHERE pos % 3 <> 0 "
+        "UNION ALL SELECT pos, id, 'newest' FROM listings",
+    ),
     "canonical_listings": _q(LISTINGS, _LISTING),
     "valid_listings": _q(LISTINGS, "SELECT pos, id, name, city FROM listings WHERE valid"),
     "validate_corpus": _q(
@@ -499,6 +523,11 @@ JOIN (SELECT pref_id, string_agg(id, '|' ORDER BY cand_pos) AS candidate_ids FRO
         "SELECT pref_id, (max(cand_pos) OVER (PARTITION BY pref_id)) + 1 - cand_pos AS rank, id AS restaurant_id "
         "FROM cands",
     ),
+    "completion_log": _q(
+        FOUND,
+        "SELECT pref_id, n + 1 - cand_pos AS rank, id AS restaurant_id, CAST(1 + n % 2 AS BIGINT) AS calls, "
+        "CAST(NULL AS VARCHAR) AS error FROM (SELECT *, count(*) OVER (PARTITION BY pref_id) AS n FROM cands)",
+    ),
     "recommend_stream": _q(
         FOUND + "," + LIMITS,
         f"SELECT pref_id, cand_pos AS rank, id, {_WIDE}, {_FALLBACK} AS explanation "
@@ -542,3 +571,80 @@ ORACLES["unique_venues"] = _q(
     LISTINGS,
     "SELECT pos, id, name, city FROM listings QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1",
 )
+
+ORACLES["few_items"] = _few(ORACLES["recommend_batch"])
+ORACLES["few_report"] = _few(ORACLES["filter_report"])
+
+ORACLES["ingest_batch_metrics"] = (
+    f"SELECT total_rows, rows_passing_validation, total_rows AS rows_written FROM ({ORACLES['ingest_metrics']})"
+)
+ORACLES["quarantine"] = _q(
+    LISTINGS,
+    """
+SELECT fmt, outcome, count(*) AS n, CAST(sum(p) AS BIGINT) AS pos_sum, CAST(sum(c) AS BIGINT) AS cost_sum
+FROM (
+  SELECT CASE pos % 11 WHEN 1 THEN 'no_pos' WHEN 2 THEN 'pos_not_whole_number' WHEN 3 THEN 'pos_repeated'
+              WHEN 4 THEN 'unreadable' ELSE 'good' END AS outcome,
+         CASE WHEN pos % 11 NOT IN (1, 2, 3, 4) THEN pos END AS p,
+         CASE WHEN pos % 11 NOT IN (1, 2, 3, 4) THEN cost_for_two END AS c,
+         unnest(CASE WHEN pos % 11 = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM listings
+), (VALUES ('csv'), ('json')) f(fmt)
+GROUP BY ALL""",
+)
+
+
+def _live(listings: str, profiles: str, name: str) -> str:
+    """Recommendations of some profiles over some listings."""
+    places, customers = "JOIN region ON r_regionkey = n_regionkey", "FROM customer)"
+    sql = ORACLES["fallback_recommendations"].replace(places, f"{places} WHERE {listings}")
+    sql = sql.replace(customers, f"FROM customer WHERE {profiles})")
+    return f"SELECT pref_id, rank, id, '{name}' AS snapshot FROM ({sql})"
+
+
+ORACLES["recommend_stream_live"] = (
+    _live("(s.l_partkey * 1000000 + s.l_suppkey) % 3 <> 0", "c_custkey % 2 = 0", "first")
+    + " UNION ALL "
+    + _live("true", "c_custkey % 2 = 1", "second")
+)
+ORACLES["reuse_half"] = _q(
+    FOUND + "," + LIMITS,
+    f"""
+SELECT pref_id, cand_pos AS rank, id, {_FALLBACK} AS explanation,
+       (SELECT count(*) FROM (
+          SELECT location, cap, cuisines, min_rating, top_k FROM prefs WHERE pref_id % 2 = 1
+          EXCEPT SELECT location, cap, cuisines, min_rating, top_k FROM prefs WHERE pref_id % 2 = 0)) AS n_searched
+FROM cands JOIN limits USING (pref_id) WHERE cand_pos <= top_k""",
+)
+ORACLES["expectations_missed"] = _q(
+    FOUND,
+    """
+SELECT pref_id, fact, side, bound, value, bound AS against
+FROM (
+  SELECT p.pref_id, 'max_cost' AS fact, '<=' AS side, CAST(p.cap AS DOUBLE) AS bound,
+         CAST((SELECT max(cost_for_two) FROM cands c WHERE c.pref_id = p.pref_id) AS DOUBLE) AS value FROM prefs p
+  UNION ALL
+  SELECT p.pref_id, 'min_rating', '>=', p.min_rating,
+         (SELECT min(rating) FROM cands c WHERE c.pref_id = p.pref_id) FROM prefs p
+  UNION ALL
+  SELECT p.pref_id, 'n_candidates', '>=', 5.0,
+         CAST((SELECT count(*) FROM cands c WHERE c.pref_id = p.pref_id) AS DOUBLE) FROM prefs p
+)
+WHERE NOT coalesce(CASE side WHEN '<=' THEN value <= bound ELSE value >= bound END, false)""",
+)
+ORACLES["twins_compared"] = _q(
+    ",".join([BASE, MATCH, funnel("prefs", "strict")]).replace(
+        "FROM judged WHERE error IS NULL)",
+        "FROM judged WHERE error IS NULL UNION ALL "
+        "SELECT pref_id + 10000000, location, cap + 500, cuisines, min_rating, extras, top_k FROM judged WHERE error IS NULL)",
+    ),
+    """
+SELECT a.pref_id, 'after_rating' AS fact, '>=' AS side, b.pref_id AS other_id,
+       CAST(a.total_after_rating AS DOUBLE) AS value, CAST(b.total_after_rating AS DOUBLE) AS against
+FROM strict_funnel a JOIN strict_funnel b ON a.pref_id = b.pref_id + 10000000
+WHERE a.total_after_rating < b.total_after_rating
+UNION ALL
+SELECT a.pref_id, 'after_budget', '>=', b.pref_id, a.total_after_budget, b.total_after_budget
+FROM strict_funnel a JOIN strict_funnel b ON b.pref_id = a.pref_id + 10000000
+WHERE a.pref_id % 9 = 0 AND a.total_after_budget < b.total_after_budget""",
+)

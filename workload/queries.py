@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -10,15 +11,27 @@ from pyspark.sql import functions as F
 
 from venuesieve.config import IngestConfig, SearchConfig
 from venuesieve.functions import display, parse, text
-from venuesieve.operators import match, prompts, quality, search, signals
+from venuesieve.operators import expectations, match, prompts, quality, search, signals
 from venuesieve.operators import prefs as profiles
-from venuesieve.operators.responses import complete, parse_entries, read_answers
+from venuesieve.operators.completions import complete_logged
+from venuesieve.operators.responses import Asking, complete, parse_entries, read_answers
+from venuesieve.plans.few import FewProfiles, Profile
 from venuesieve.plans.recommend import NO_MODEL, Recommender
+from venuesieve.plans.reuse import ResultStore
 from venuesieve.schemas import CITY, COST
-from venuesieve.sources import canonicalize, load_listings, read_canonical, write_canonical
+from venuesieve.sources import canonicalize, load_listings, publish, read_canonical, write_canonical
 from venuesieve.sources.listings import has_required_fields
+from venuesieve.sources.quarantine import rejected_counts, split_raw
 from venuesieve.sources.staging import stage, staging_root
-from venuesieve.streaming.ingest import ingested, stream_listings, write_stream
+from venuesieve.streaming.ingest import (
+    add_batch,
+    counted,
+    ingested,
+    stream_listings,
+    write_counted_stream,
+    write_stream,
+)
+from venuesieve.streaming.recommend import LiveCorpus
 from venuesieve.streaming.recommend import recommend_stream as start_recommend_stream
 
 from .tables import listing_raw, prefs_raw, responses, table
@@ -91,6 +104,17 @@ def cache_hit(spark: SparkSession, d: str) -> DataFrame:
     return _listing_columns(load_listings(listing_raw(spark, d), cache_path=path, prefer_cache=True))
 
 
+def cache_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Two snapshots of one cache: the first, opened by name after the second was published, and the newest."""
+    path, listings = _folder(spark, "canonical"), _canonical(spark, d)
+    first = publish(listings.where(F.col("pos") % 3 != 0), path).snapshot
+    publish(listings, path)
+    earlier, now = read_canonical(spark, path, snapshot=first), read_canonical(spark, path)
+    return earlier.select("pos", "id", F.lit("first").alias("snapshot")).unionByName(
+        now.select("pos", "id", F.lit("newest").alias("snapshot"))
+    )
+
+
 def canonical_listings(spark: SparkSession, d: str) -> DataFrame:
     return _listing_columns(_canonical(spark, d))
 
@@ -130,6 +154,47 @@ def ingest_stream_metrics(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([ingested(spark, target)], "total_rows bigint, rows_passing_validation bigint")
 
 
+def ingest_batch_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of every batch from the stream's log, one raw file a batch; a batch that comes again counts once."""
+    raw = stage(listing_raw(spark, d).repartitionByRange(4, "pos"), "raw-stream")
+    source, target, state = raw.inputFiles()[0].rsplit("/", 1)[0], _folder(spark, "live"), _folder(spark, "live-state")
+    write_counted_stream(stream_listings(spark, source, raw.schema, max_files=1), target, state).awaitTermination()
+    again = spark.read.parquet(f"{target}/batch=0")
+    add_batch(stage(again, "again"), 0, target)
+    total, usable = counted(spark, target)
+    written = spark.read.parquet(target)
+    return written.agg(F.count(F.lit(1)).alias("rows_written")).select(
+        F.lit(total).alias("total_rows"), F.lit(usable).alias("rows_passing_validation"), "rows_written"
+    )
+
+
+def quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Listings written as CSV and as JSON with rows broken in four ways, and read back: what came through, what not."""
+    kind = F.col("pos") % 11
+    raw = listing_raw(spark, d).withColumn("kind", kind)
+    pos = F.col("pos").cast("string")
+    copies = F.array_repeat(F.lit(1), F.when(kind == 3, 2).otherwise(1))
+    rows = raw.select("*", F.explode(copies).alias("copy")).drop("copy")
+    rows = rows.withColumn("pos", F.when(kind == 1, " ").when(kind == 2, F.concat(pos, F.lit(".5"))).otherwise(pos))
+    rows = stage(rows, "raw-broken")
+    cut_off, names = F.col("kind") == 4, [c for c in rows.columns if c != "kind"]
+    csv, json = _folder(spark, "raw-csv"), _folder(spark, "raw-json")
+    plain = {"sep": ";", "quote": "", "header": "true"}
+    longer = F.when(cut_off, F.concat("address", F.lit(";more;fields"))).otherwise(F.col("address"))
+    rows.withColumn("address", longer).select(*names).write.options(emptyValue="", **plain).csv(csv)
+    line = F.to_json(F.struct(*names))
+    shorter = F.when(cut_off, F.substring(line, F.lit(1), F.length(line) - 5)).otherwise(line)
+    rows.select(shorter.alias("value")).write.text(json)
+    none, out = F.lit(None).cast("bigint"), []
+    for fmt, path, options in (("csv", csv, plain), ("json", json, {})):
+        good, rejected = split_raw(spark, path, fmt, **options)
+        sums = [F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"), F.sum("cost_for_two").alias("cost_sum")]
+        apart = rejected_counts(rejected).withColumnsRenamed({"reason": "outcome"})
+        out.append(canonicalize(good).agg(*sums).withColumns({"outcome": F.lit("good"), "fmt": F.lit(fmt)}))
+        out.append(apart.withColumns({"pos_sum": none, "cost_sum": none, "fmt": F.lit(fmt)}))
+    return reduce(DataFrame.unionByName, out)
+
+
 # --- scalar functions -----------------------------------------------------------------------------------------------
 
 
@@ -344,6 +409,57 @@ def completion_hook(spark: SparkSession, d: str) -> DataFrame:
     return parse_entries(read_answers(complete(asked, last_first))).select("pref_id", "rank", "restaurant_id")
 
 
+def completion_log(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts asked through a log by a function whose first call fails where the number of candidates is odd. A second
+    run, with a function that always fails, finds all answers in the log."""
+
+    def last_first_again(messages, *, model, temperature, max_tokens, failed=set()):  # noqa: B006
+        import json
+
+        offered = json.loads(messages[1]["content"])["candidates"]
+        if len(offered) % 2 and messages[1]["content"] not in failed:
+            failed.add(messages[1]["content"])
+            raise TimeoutError("no answer")
+        picks = [{"rank": n, "restaurant_id": c["id"]} for n, c in enumerate(reversed(offered), 1)]
+        return json.dumps({"summary": None, "recommendations": picks})
+
+    def never(messages, **_):
+        raise AssertionError("asked again")
+
+    asked = Recommender(_prefs(spark, d), _canonical(spark, d), None, CFG).prompts()
+    asked, log = stage(asked, "prompts"), _folder(spark, "answers")
+    complete_logged(asked, last_first_again, log, asking=Asking(attempts=3, at_once=4, first_wait=0.0))
+    again = complete_logged(asked, never, log)
+    entries = parse_entries(read_answers(again)).select("pref_id", "rank", "restaurant_id")
+    return entries.join(again.select("pref_id", "calls", "error"), "pref_id")
+
+
+# --- a handful of profiles ------------------------------------------------------------------------------------------
+
+
+FEW = (
+    Profile(1, 1200, 3.0, "Bangalore", ("economy", "ring"), 5),
+    Profile(2, 700, 4.5),
+    Profile(3, 150, 5.0, "Asia Brand#1", ("promo", "gear", "plate"), 12),
+    Profile(4, 2000, 2.5, None, ("unlisted kitchen",)),
+    Profile(5, 1, 2.0, "Nowhere At All", ("standard",)),
+    Profile(6, 300, 4.0, "Nation_3", ("unlisted kitchen", "widget"), 1),
+)
+
+
+def _few(spark: SparkSession, d: str) -> FewProfiles:
+    """Six profiles given as values over the listings of a cache."""
+    return FewProfiles(load_listings(listing_raw(spark, d), cache_path=_folder(spark, "canonical")), FEW, CFG)
+
+
+def few_items(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(_few(spark, d).items())
+
+
+def few_report(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(_few(spark, d).report())
+
+
 def _streamed(spark: SparkSession, d: str) -> str:
     """Profiles as a file stream in two batches against the static corpus; the folder of the results."""
     raw = stage(prefs_raw(spark, d).repartition(2), "prefs-stream")
@@ -365,6 +481,68 @@ def recommend_stream_report(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark.read.parquet(f"{_streamed(spark, d)}-report").drop("batch"))
 
 
+def recommend_stream_live(spark: SparkSession, d: str) -> DataFrame:
+    """A profile stream over a cache: one snapshot answers the first batch, a larger one published later the second."""
+    cache, listings = _folder(spark, "canonical"), _canonical(spark, d)
+    source, target, state = (_folder(spark, f"live-{n}") for n in ("profiles", "recs", "state"))
+    names, corpus, raw = {}, LiveCorpus(spark, cache), prefs_raw(spark, d)
+    for name, kept, who in (("first", F.col("pos") % 3 != 0, 0), ("second", F.lit(True), 1)):
+        names[name] = publish(listings.where(kept), cache).snapshot
+        raw.where(F.col("pref_id") % 2 == who).coalesce(1).write.mode("append").parquet(source)
+        live = spark.readStream.schema(raw.schema).parquet(source)
+        start_recommend_stream(live, corpus, target, state, CFG).awaitTermination()
+    told = F.when(F.col("snapshot") == names["first"], "first").when(F.col("snapshot") == names["second"], "second")
+    return spark.read.parquet(target).select("pref_id", "rank", "id", told.alias("snapshot"))
+
+
+def reuse_half(spark: SparkSession, d: str) -> DataFrame:
+    """Recommendations from a store that holds every second profile's; ``n_searched`` counts what was searched anew."""
+    cache, store = _folder(spark, "canonical"), ResultStore(_folder(spark, "results"), CFG)
+    publish(_canonical(spark, d), cache)
+    prefs = stage(_prefs(spark, d), "prefs")
+    store.recommend(spark, prefs.where("pref_id % 2 = 0"), cache)
+    second = store.recommend(spark, prefs, cache)
+    return second.items.select("pref_id", "rank", "id", "explanation", F.lit(second.searched.count()).alias("n_searched"))
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------
+
+
+def expectations_missed(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles whose results are dearer, rated lower or fewer than they wish, as a table of expectations finds them."""
+    prefs = stage(_prefs(spark, d), "prefs")
+    s = search.ProfileSearch(prefs, _canonical(spark, d), CFG)
+    wishes = {"max_cost": ("<=", "max_cost_for_two_inr"), "min_rating": (">=", "min_rating"), "n_candidates": (">=", None)}
+    none = F.lit(None).cast("bigint").alias("other_id")
+    expected = [
+        prefs.select(
+            "pref_id",
+            F.lit(fact).alias("fact"),
+            F.lit(side).alias("side"),
+            (F.col(bound) if bound else F.lit(CFG.k_min)).cast("double").alias("bound"),
+            none,
+        )
+        for fact, (side, bound) in wishes.items()
+    ]
+    told = expectations.facts(s.candidates(), s.report())
+    return expectations.violations(reduce(DataFrame.unionByName, expected), told).drop("other_id")
+
+
+def twins_compared(spark: SparkSession, d: str) -> DataFrame:
+    """Every profile and a twin with a higher cap: the twin never finds fewer (none missed). Every ninth profile is also
+    expected, wrongly, to find no fewer within its budget than its twin."""
+    own = stage(_prefs(spark, d), "prefs")
+    twin = F.col("pref_id") + 10_000_000
+    both = own.unionByName(own.withColumns({"pref_id": twin, "max_cost_for_two_inr": F.col("max_cost_for_two_inr") + 500}))
+    strict = search.ProfileSearch(both, _canonical(spark, d), CFG).strict_funnel()
+    none = spark.createDataFrame([], "pref_id bigint, cost_for_two bigint, rating double")
+    told = expectations.facts(none, strict.withColumn("relaxations", F.array().cast("array<string>")))
+    no_bound, at_least = F.lit(None).cast("double").alias("bound"), F.lit(">=").alias("side")
+    right = own.select(twin.alias("pref_id"), F.lit("after_rating").alias("fact"), at_least, no_bound, F.col("pref_id").alias("other_id"))
+    wrong = own.where("pref_id % 9 = 0").select("pref_id", F.lit("after_budget").alias("fact"), at_least, no_bound, twin.alias("other_id"))
+    return expectations.violations(right.unionByName(wrong), told).drop("bound")
+
+
 # --- signals --------------------------------------------------------------------------------------------------------
 
 
@@ -388,6 +566,7 @@ QUERIES: dict[str, Query] = {
         schema_check,
         canonical_roundtrip,
         cache_hit,
+        cache_snapshots,
         canonical_listings,
         valid_listings,
         validate_corpus,
@@ -395,6 +574,8 @@ QUERIES: dict[str, Query] = {
         ingest_metrics,
         ingest_stream,
         ingest_stream_metrics,
+        ingest_batch_metrics,
+        quarantine,
         norm_whitespace,
         title_case,
         norm_city,
@@ -429,9 +610,16 @@ QUERIES: dict[str, Query] = {
         grounding_violations,
         prompt_payload,
         completion_hook,
+        completion_log,
+        few_items,
+        few_report,
         recommend_stream,
         recommend_stream_rejected,
         recommend_stream_report,
+        recommend_stream_live,
+        reuse_half,
+        expectations_missed,
+        twins_compared,
         run_signals,
         places_asked,
         unique_venues,
