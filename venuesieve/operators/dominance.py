@@ -91,13 +91,12 @@ def count_dominated(cells: DataFrame, points: DataFrame, keys: Sequence[str], cu
     if cuts is None:
         cuts = cut_points(cells.select("cost").union(points.select("cap")), "cost")
     cell_blocks, asked = _rating_blocks(cells, points, keys)
-    cell, cap = F.col("cost"), F.col("cap")
     nothing, no_t = F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("t")
     events = cell_blocks.select(
-        *keys, *BLOCK, bucket_of(cell, cuts).alias("bucket"), cell.alias("x"), F.lit(0).alias("asks"), "n", no_t
+        *keys, *BLOCK, bucket_of("cost", cuts).alias("bucket"), F.col("cost").alias("x"), F.lit(0).alias("asks"), "n", no_t
     ).unionByName(
         asked.select(
-            *keys, *BLOCK, bucket_of(cap, cuts).alias("bucket"), cap.alias("x"), F.lit(1).alias("asks"), nothing, "t"
+            *keys, *BLOCK, bucket_of("cap", cuts).alias("bucket"), F.col("cap").alias("x"), F.lit(1).alias("asks"), nothing, "t"
         )
     )
     return (

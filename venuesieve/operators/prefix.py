@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKETS = 64
 
 
 def cut_points(values: DataFrame, column: str, buckets: int = BUCKETS) -> list:
@@ -26,21 +26,16 @@ def cut_points(values: DataFrame, column: str, buckets: int = BUCKETS) -> list:
     return sorted(set(found or []))
 
 
-def bucket_of(x: Column, cuts: Sequence) -> Column:
-    """How many of the ascending ``cuts`` lie at or below ``x``, by halving."""
-    if not cuts:
-        return F.lit(0)
-    at_or_below = F.array(*[F.lit(c) for c in cuts])
-    jumps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+def bucket_of(column: str, cuts: Sequence) -> Column:
+    """How many of the ascending ``cuts`` lie at or below ``column``, as a tree of comparisons that compiles to code."""
 
-    def halve(so_far: Column, jump: Column) -> Column:
-        beyond = F.get(at_or_below, so_far["at"] + jump - 1) <= so_far["x"]
-        at = F.when(beyond, so_far["at"] + jump).otherwise(so_far["at"])
-        return F.struct(so_far["x"].alias("x"), at.alias("at"))
+    def tree(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"IF(`{column}` < {cuts[middle]!r}, {tree(low, middle)}, {tree(middle + 1, high)})"
 
-    # ``x`` travels in the state: Spark 4.1 fails to plan a union over a lambda that takes a column from outside.
-    start = F.struct(x.alias("x"), F.lit(0).alias("at"))
-    return F.aggregate(F.array(*[F.lit(j) for j in jumps]), start, halve, lambda end: end["at"])
+    return F.expr(tree(0, len(cuts)))
 
 
 def running_total(
