@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from venuesieve.llm import bpe, mixing, sharding, token_counts
+from venuesieve.llm.common import stage_bucketed
 from venuesieve.llm.queries import QUERIES, SEPARATOR, vocabulary
 
 DATA = "/root/testdata/sf0.001"
@@ -24,6 +25,7 @@ ODD = [
     (7, "x" * 70_000),
     (8, "word " * 30_000),
 ]
+LONG = [(1, " " * 3_000_000), (2, "\n" * 3_000_000 + "x"), (3, "y" * 300_000), (4, " \t" * 100_000 + "tail  "), (5, "a")]
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +49,34 @@ def test_bpe_equals_library(words, odd):
     assert all(r["n_tokens"] * 4 == len(r["ids"]) for r in rows)
 
 
+def test_very_long_runs(spark, words):
+    """The library fails on a million spaces; what it would give is a run of its longest tokens, as on shorter runs."""
+    df = spark.createDataFrame(LONG, "doc_id long, text string").repartition(2)
+    texts = dict(LONG)
+    for r in bpe.decode(bpe.encode(df, words), words).collect():
+        assert bytes(r["decoded"]).decode() == texts[r["doc_id"]]
+        assert np.frombuffer(r["ids"], "<u4").tolist() == words.encode(texts[r["doc_id"]])
+    files = token_counts.write_files(df, words, SEPARATOR)
+    counts = token_counts.keyed(files, token_counts.separator_scan(files, SEPARATOR)).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in counts} == {k: len(words.encode(t)) for k, t in LONG}
+    library = words.encoding()
+    for text in (" " * 200_000, "\n" * 200_000 + "x", "ab " * 70_000, " \t" * 50_000 + "tail  "):
+        assert words.encode(text) == library.encode_ordinary(text)
+
+
+def test_patterns_that_cross_are_refused(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for pattern in (r"\p{L}+|[^\s\p{L}]+[\r\n]*|\s+", r"\S+\s*|\s+", r"[^a]+|a"):
+        with pytest.raises(ValueError, match="white space"):
+            bpe.Vocabulary(spark, path, pattern)
+
+
+def test_bucketed_tables_leave_no_catalogue_entry(spark, odd):
+    held = stage_bucketed(odd.select("n_tokens", "text"), "n_tokens", "left")
+    assert held.count() == held.join(held.select("n_tokens").distinct(), "n_tokens").count() == odd.count()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("left_")]
+
+
 def test_bpe_empty_table(words, odd):
     assert bpe.decode(bpe.encode(odd.limit(0), words), words).collect() == []
 

@@ -22,6 +22,7 @@ from .common import pack, ragged, slices, stage_bucketed, unpack
 BLOCK_CHARS = 16 << 20
 SLICE_TOKENS = 1 << 19
 MOST_VOCABULARY = 64 << 20
+LONG_TEXT = 1 << 16
 
 # The code points that \s of the split pattern matches.
 _SPACE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -32,7 +33,8 @@ class Vocabulary:
     """The ranks of a byte-level BPE and its split pattern, for use in tasks.
 
     ``path`` names a file of lines "base64-token rank". It is read once on the driver and broadcast; it holds a fixed
-    vocabulary, whatever the corpus, and more than 64 MB are refused.
+    vocabulary, whatever the corpus, and more than 64 MB are refused. A pattern that lets a pre-token go on from other
+    characters into white space is refused too, as texts are cut there.
     """
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
@@ -40,12 +42,21 @@ class Vocabulary:
             raw = file.read(MOST_VOCABULARY + 1)
         if len(raw) > MOST_VOCABULARY:
             raise ValueError(f"{path} has more than {MOST_VOCABULARY} bytes")
+        if crosses(pattern):
+            raise ValueError("the pattern has pre-tokens that go on from other characters into white space")
         self.pattern = pattern
         self.raw: Broadcast = spark.sparkContext.broadcast(raw)
 
     def encoding(self) -> tiktoken.Encoding:
         return _encoding(self.raw.value, self.pattern)
 
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text. The library's own search recurses on long white space, so long texts are split here."""
+        encoding = self.encoding()
+        if len(text) <= LONG_TEXT:
+            return encoding.encode_ordinary(text)
+        return [i for word in _compiled(self.pattern).findall(text) for i in encoding._encode_single_piece(word)]
+
     def tokens(self) -> list[bytes]:
         """The bytes of every id."""
         ranks = _ranks(self.raw.value)
@@ -55,6 +66,19 @@ class Vocabulary:
         return out
 
 
+@lru_cache(4)
+def _compiled(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern)
+
+
+def crosses(pattern: str) -> bool:
+    """Whether a match has white space behind another character, tried on short texts of every kind of character."""
+    others = ["a", "É", "中", "7", "'", "'s", "!", "_", "-", "\x1c", "\u0301", "🙂"]
+    tries = [f"{a}{w}{b}" for a in others for w in [*SPACE, "\r\n", "  ", "\n\n"] for b in ("", "a", "1", "!", "\n")]
+    inside = regex.compile(f"[^{SPACE}][{SPACE}]")
+    return any(inside.search(m) for t in tries for m in _compiled(pattern).findall(t))
+
+
 @lru_cache(2)
 def _ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
@@ -182,7 +206,7 @@ def _encode_words(vocabulary: Vocabulary):
             codes = []
             for word in batch.column("word").to_pylist():
                 if word != last:
-                    last, code = word, encoding.encode_ordinary(word)
+                    last, code = word, encoding._encode_single_piece(word)
                 codes.append(code)
             block = batch.column("block").to_numpy()
             position = batch.column("position").to_numpy()

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from venuesieve.sources.staging import stage, staging_root
+from venuesieve.sources.staging import stage, staging_path
 
 __all__ = ["components", "cut", "global_rank", "hash_sample", "pack", "ragged", "slices", "stage", "stage_bucketed", "table", "unpack", "unused", "whole"]
 
@@ -35,13 +35,18 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def stage_bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
-    """Like ``stage``, but bucketed: later joins on ``key`` read the table without shuffling it."""
+    """Like ``stage``, but bucketed: later joins on ``key`` read the table without shuffling it.
+
+    Spark writes buckets through the catalogue only. The entry is dropped at once; the files stay.
+    """
     spark = df.sparkSession
     name = f"{label}_{uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.write.bucketBy(buckets, key).option("path", f"{staging_root(spark)}/{name}")
+    writer = df.write.bucketBy(buckets, key).option("path", staging_path(spark, name))
     writer.option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return written
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

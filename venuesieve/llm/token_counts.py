@@ -99,14 +99,13 @@ def keyed(files: DataFrame, counts: DataFrame, key: str = "doc_id") -> DataFrame
 
 def _flatten(vocabulary: Vocabulary, separator: int, width: int, kind: pa.DataType):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = vocabulary.encoding()
         file, block = TaskContext.get().partitionId(), 0
         held = np.empty(0, f"<u{width}")
         waiting: list[tuple[int, object]] = []  # where each document ends that is not written yet, and its key
         for batch in batches:
             parts, at = [held], len(held)
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = [*encoding.encode_ordinary(text or ""), separator]
+                ids = [*vocabulary.encode(text or ""), separator]
                 parts.append(np.array(ids, f"<u{width}"))
                 waiting.append((at + len(ids) - 1, key))
                 at += len(ids)
