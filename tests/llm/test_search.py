@@ -54,6 +54,20 @@ def test_top_k_with_ties(spark, spread):
     assert sorted(got) == best(rows, [r for r in rows if r[0] % 50 == 0], 5)
 
 
+def test_top_k_stops_before_the_ends_of_its_lists(spark):
+    """On the given vectors every query is settled by bounds before its lists are read out."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", topk.scaled("embedding").alias("v"))
+    rows = rows.where("v IS NOT NULL").orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows])
+    asked, read = ids % 50 == 0, []
+    found = topk.search(x, ids, x[asked], ids[asked], 5, read)
+    assert len(read) == asked.sum() and max(read) < 1
+    scores = x[asked] @ x.T
+    for q, i in enumerate(np.flatnonzero(asked)):
+        order = [j for j in np.lexsort((ids, -scores[q])) if j != i][:5]
+        assert [(b, s) for a, b, s in found if a == q] == [(j, scores[q][j]) for j in order]
+
+
 def test_top_k_few_rows_and_scaling(spark):
     rows = [(0, [0.5, -0.001]), (1, [1.0, float("nan")]), (2, [None, 1.0]), (3, [2.0, 1.0]), (4, None), (5, [])]
     df = spark.createDataFrame(rows, "vec_id long, e array<double>").select("vec_id", topk.scaled("e").alias("v"))
@@ -90,6 +104,31 @@ def test_vectors(spark):
     assert vector_dedup.near_vectors(df.limit(0)).collect() == []
 
 
+def test_vectors_with_null_and_repeated_keys(spark):
+    a, b = [1.0, 0.0, 0.0, 0.2], [0.0, 1.0, 0.3, 0.0]
+    near_b = [0.0, 1.0, 0.31, 0.0]
+    rows = [(1, a), (1, b), (2, near_b), (3, a), (None, a), (None, b), (None, [5.0, -5.0, 5.0, 5.0]), (None, None), (7, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [tuple(r) for r in vector_dedup.near_vectors(df).collect()]
+    want = [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (None, 2, 1, False), (None, 2, 1, False)]
+    want += [(None, 0, None, True), (None, 0, None, True), (7, 0, 7, True)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("rows, turns", [(1000, 3), (300_000, 4), (30_000_000, 5)])
+def test_recall_of_hashes_that_tables_of_every_size_get(rows, turns):
+    how = vector_dedup.Hashing.for_rows(rows, 64)
+    assert how.turns == turns
+    rng = np.random.default_rng(turns)
+    x, y = rng.normal(size=(2, 3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    a, b = (vector_dedup.buckets(v, how) for v in (x, y))
+    met = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3))
+    assert met.mean() >= 0.999
+
+
 def multiset(text):
     words = (text or "").split()
     k = min(5, len(words))

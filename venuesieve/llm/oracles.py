@@ -98,4 +98,42 @@ JOIN tops f ON f.lang IS NOT DISTINCT FROM r.lang AND f.i = r.i
 LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM r.lang AND p.i = r.i
 """
 
-ORACLES: dict[str, str] = {"op11_fill_middle": FILL_MIDDLE, "op13_merkle": MERKLE}
+TOP_K = """
+WITH fit AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM fit q JOIN fit c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+VECTORS = """
+WITH RECURSIVE fit AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reached AS (
+  SELECT DISTINCT a AS start, a AS at FROM links
+  UNION
+  SELECT start, b FROM reached JOIN links ON a = at
+), component AS (SELECT start, min(at) AS smallest FROM reached GROUP BY start)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links,
+  coalesce(c.smallest, e.vec_id) AS component_id, coalesce(c.smallest, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN component c ON c.start = e.vec_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_topk": TOP_K,
+    "op10_vector_dedup": VECTORS,
+    "op11_fill_middle": FILL_MIDDLE,
+    "op13_merkle": MERKLE,
+}
