@@ -7,16 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, slices, unused
+from .common import slices, stage, unused
 
 WINDOW = 128
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 10
 EMBEDDING = 8
 SAMPLE_DOCS = 3000
+LEAST_DOCS = 24
 SAMPLE_WINDOWS = 4
 EPOCHS = 5
 BATCH = 64
@@ -125,15 +126,23 @@ def train(windows: np.ndarray, classes: np.ndarray, labels: list[str], seed: int
 def fit(df: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
     """A network from rows of ``df`` that are ``allowed`` and have a text and a language; None if there are none.
 
-    Fitted on a bounded sample: 4 windows, at places that a hash of the key picks, of at most 3,000 documents
-    (SAMPLE_WINDOWS, SAMPLE_DOCS). Only those windows reach the driver, 1.5 MB in all.
+    Fitted on a bounded sample: 4 windows, at places that a hash of the key picks, of at most 3,000 documents in equal
+    parts by language (SAMPLE_WINDOWS, SAMPLE_DOCS), or of 24 documents of each (LEAST_DOCS) where there are more than 125
+    languages; a language with fewer documents brings them all. Those with the lowest hashes of key and text are taken.
+    Only the windows reach the driver, 1.5 MB in all, or 12 KB a language.
     """
     rows = df.where(allowed & F.col(lang).isNotNull() & (F.length(text) > 0) & F.col(key).isNotNull())
     rows = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    chosen = hash_sample(rows.select("key", "lang"), "key", SAMPLE_DOCS, 5).select("key").distinct()
-    wanted = rows.join(F.broadcast(chosen), "key")  # SAMPLE_DOCS keys at most
-    some = wanted.mapInArrow(_pick, "key string, lang string, windows binary").orderBy("key", "lang", "windows")
-    found = some.limit(2 * SAMPLE_DOCS).collect()
+    counts = stage(rows.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    each = max(LEAST_DOCS, SAMPLE_DOCS // max(1, counts.count()))
+    marked = rows.withColumn("mark", F.pmod(F.xxhash64("key", "text", F.lit(5)), F.lit(1 << 40)))
+    # Twice what is wanted, and some more for small languages, before anything is sorted.
+    share = F.least(F.lit(1.0), F.lit(2.0 * each + 200) / F.col("n"))
+    low = marked.join(counts, "lang").where(F.col("mark") < share * (1 << 40)).dropDuplicates(["lang", "mark"])
+    at = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    wanted = low.withColumn("at", at).where(F.col("at") <= each).select("key", "text", "lang")
+    some = wanted.mapInArrow(_pick, "key string, lang string, windows binary")
+    found = some.orderBy("lang", "key", "windows").collect()
     if not found:
         return None
     labels = sorted({r["lang"] for r in found})
