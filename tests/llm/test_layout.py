@@ -124,7 +124,7 @@ def test_chunks_are_forgotten_and_long_ones_not_kept(monkeypatch):
     with open(public_tokenizers.path(WORD_TOKENIZER), "rb") as file:
         encoder = packing.Encoder(file.read())
     assert encoder.by_chunk
-    for text in ("a b c d e", "b " + "z" * 70 + " a " + "y" * 90, "f a", "", "  "):
+    for text in ("a b c d e", "b " + "z" * 70 + " a " + "y" * 90, "f a A", "", "  ", "X <|EndOfText|> x<|endoftext|>", "c B a"):
         want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert [x.tolist() for x in encoder.encode([text.encode()] * 2)] == [want, want]
     assert "z" * 70 not in encoder.number

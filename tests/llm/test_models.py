@@ -45,6 +45,17 @@ def test_language_corner_cases(docs, odd):
     assert kept.columns == odd.columns and {r["score"] for r in kept.collect()} <= {0.5}
 
 
+def test_a_rare_language_is_learned(spark, docs):
+    """A hundred rows of a fifth language among thousands, one of them as often as all others together."""
+    rare = [(200_000 + i, "кошка сидит на окне " * (i % 5 + 1), "xx", "s", 1) for i in range(100)]
+    copies = [(900_000, "gleich bleibt gleich", "de", "s", 1)] * 1000
+    rows = docs.union(spark.createDataFrame(rare + copies, docs.schema))
+    net = language.fit(rows, F.lit(True))
+    assert net.labels == sorted({"xx", *[r["lang"] for r in docs.select("lang").distinct().collect() if r["lang"]]})
+    asked = spark.createDataFrame([(1, "кошка и окно сидит"), (2, "на окне кошка")], "doc_id long, text string")
+    assert {r["lang_pred"] for r in language.predict(asked, net).collect()} == {"xx"}
+
+
 def kneser_ney(texts, order):
     """Interpolated modified Kneser-Ney by dictionaries."""
     padded = [b"\n" * (order - 1) + t.encode() for t in texts]
@@ -155,6 +166,92 @@ def test_toxicity_corner_cases(spark, docs, odd):
     assert model.score("") == model.score(None)
 
 
+def test_toxic_words_of_any_script(spark):
+    """N-grams are of characters: words of two or three letters tell, whatever bytes they take."""
+    assert len(toxicity.grams("中文字")) == 3 + 2 + 1 and len(toxicity.grams("")) == 0
+    assert len(np.intersect1d(toxicity.grams("中文字"), toxicity.grams("甲中文字乙"))) == 1
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(400):
+        filler = "".join(rng.choice(list("абвгдежзик лмно"), 60)) + "".join(rng.choice(list("天地人山水火木"), 20))
+        bad = i % 4 == 0
+        rows.append((i, filler + (["дрянь", "坏蛋笨"][i // 4 % 2] if bad else "") + filler[::-1] * (400 if i == 8 else 1)))
+        labels.append((i, int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id % 3 <> 1"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.predict(df, model).collect()}
+    wrong = [i for i, y in labels if i % 3 == 1 and got[i] != y]
+    assert len(wrong) <= 4, wrong
+
+
+def test_quality_against_brute_force(spark):
+    """Model, threshold and decision of every document, with text keys, as dictionaries and sorting give them."""
+    rng = np.random.default_rng(3)
+    words = ["the", "cat", "sat", "mat", "dog", "and", "ran", "far"]
+    rows = [(f"k{i}", " ".join(rng.choice(words, 12)), "en" if i % 2 else "de") for i in range(60)]
+    rows += [(f"b{i}", "".join(rng.choice(list("qxzvjk!"), 40)), "en") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string").repartition(3)
+    good = [k for k, _, _ in rows if k[0] == "k" and int(k[1:]) % 3]
+    trusted = spark.createDataFrame([(k,) for k in good], "doc_id string")
+    marks = trusted.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(quality.HELD_OUT)).alias("m")).collect()
+    held = {r["doc_id"] for r in marks if r["m"] == 0}
+    text, lang = {k: t for k, t, _ in rows}, {k: g for k, _, g in rows}
+
+    def nll(p, t):
+        raw = b"\n" * 3 + t.encode()
+        return -sum(math.log(p(raw[i : i + 4])) for i in range(len(raw) - 3)) / len(t.encode())
+
+    full = kneser_ney([text[k] for k in good], 4)
+    rest = kneser_ney([text[k] for k in good if k not in held], 4)
+    outside = {k: nll(rest, text[k]) for k in held}
+    size = {k: len(t) for k, t in text.items()}
+    mean_of = lambda ks: sum(outside[k] * size[k] for k in ks) / sum(size[k] for k in ks)
+    adjusted = lambda x, n, mean: (x * n + mean * quality.PRIOR_BYTES) / (n + quality.PRIOR_BYTES)
+    upper = lambda xs, q: sorted(xs)[math.ceil(q * len(xs)) - 1]
+    groups = {g: [k for k in held if lang[k] == g] for g in ("en", "de")}
+    assert all(groups.values())
+    means = {g: mean_of(ks) for g, ks in groups.items()}
+    above = upper([math.exp(adjusted(outside[k], size[k], means[lang[k]]) - means[lang[k]]) for k in held], 0.75)
+    for r in quality.classify(df, trusted, quantile=0.75, order=4).collect():
+        k = r["doc_id"]
+        own, mean = groups[lang[k]], means[lang[k]]
+        limit = upper([math.exp(adjusted(outside[x], size[x], mean)) for x in own], 0.75) if len(own) * 0.25 >= 1 - 1e-9 else math.exp(mean) * above
+        want = nll(full, text[k])
+        assert math.isclose(r["perplexity"], math.exp(want), rel_tol=1e-9)
+        assert math.isclose(r["adjusted"], math.exp(adjusted(want, size[k], mean)), rel_tol=1e-9)
+        assert math.isclose(r["threshold"], limit, rel_tol=1e-9), (k, limit)
+        assert r["accepted"] == (r["adjusted"] <= r["threshold"])
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(0)
+    grams = np.unique(rng.integers(0, 1 << 48, 5000).astype(np.uint64))
+    assert (quality._unpack_sorted(quality._pack_sorted(grams)) == grams).all()
+    logs = np.log(rng.random(5000) * 10.0 ** rng.integers(-30, 1, 5000))
+    assert np.abs(quality._unpack_logs(quality._pack_logs(logs)) - logs).max() <= 2.0**-32 + 1e-12
+    assert len(quality._unpack_sorted(quality._pack_sorted(grams[:0]))) == 0
+
+
+def test_pipeline_run(spark):
+    """All stages in a row, written and read again, give what the stages give one by one."""
+    small = "/root/testdata/sf0.001"
+    before = spark.read.parquet(f"{small}/documents.parquet")
+    kept = []
+    for _, step in corpus_pipeline.STAGES:
+        before = corpus_pipeline.stage(step(spark, before, small), "one-by-one")
+        kept.append(before.count())
+    got = corpus_pipeline.run(spark, small)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, before.collect()))
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    first = corpus_pipeline.accept(spark, docs, small)
+    judged = quality.classify(docs, labels.where("quality = 1").select("doc_id"))
+    assert {r["doc_id"] for r in first.collect()} == {r["doc_id"] for r in judged.where("accepted").collect()}
+    net = language.fit(first, corpus_pipeline.remainder("doc_id", 3) != 1)
+    known = language.predict(first, net).where(f"lang_pred <> 'und' AND score >= {language.LEAST_SCORE}")
+    assert kept[0] == first.count() and kept[1] == known.count()
+
+
 def test_pipeline(spark):
     small = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{small}/documents.parquet")
