@@ -70,14 +70,13 @@ def test_store_searches_new_profiles_only(spark, tmp_path, monkeypatch):
 
     def run(rows, own=store):
         got = own.recommend(spark, prefs_of(spark, rows), cache)
-        plain = Recommender(prefs_of(spark, rows), listings, None, own.search_config).items().select(*ITEM_COLUMNS)
         assert got.items.columns == list(ITEM_COLUMNS)
-        assert sorted(map(repr, got.items.collect())) == sorted(map(repr, plain.collect()))
-        return sorted(r.pref_id for r in got.searched.collect())
+        return sorted(r.pref_id for r in got.searched.collect()), sorted(map(repr, got.items.collect()))
 
-    first = run(profiles)
-    assert first in ([1, 2, 4], [1, 3, 4])
-    assert run(more) == [5]
+    assert run(profiles)[0] in ([1, 2, 4], [1, 3, 4])
+    searched, items = run(more)
+    plain = Recommender(prefs_of(spark, more), listings, None, store.search_config).items().select(*ITEM_COLUMNS)
+    assert searched == [5] and items == sorted(map(repr, plain.collect()))
 
     def never(*_):
         raise AssertionError("searched again")
@@ -85,10 +84,10 @@ def test_store_searches_new_profiles_only(spark, tmp_path, monkeypatch):
     with monkeypatch.context() as patched:
         patched.setattr(reuse, "Recommender", never)
         store.recommend(spark, prefs_of(spark, more), cache)
-    assert len(run(more, ResultStore(folder, SearchConfig(k_min=1)))) == 4
-    listings = listings.unionByName(spark.createDataFrame([listing(999, "New", cost=5, rating=5.0)], CANONICAL))
-    publish(listings, cache)
-    assert len(run(more)) == 4
+    assert run([profile(2)], ResultStore(folder, SearchConfig(k_min=1)))[0] == [2]
+    publish(spark.createDataFrame([listing(999, "New", cost=5, rating=5.0)], CANONICAL), cache)
+    searched, items = run([profile(2)])
+    assert searched == [2] and len(items) == 1
     with pytest.raises(ValueError, match="no snapshot"):
         store.recommend(spark, prefs_of(spark, more), str(tmp_path / "nothing"))
 

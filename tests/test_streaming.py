@@ -5,7 +5,7 @@ import pytest
 
 from venuesieve import CANONICAL
 from venuesieve.config import IngestConfig
-from venuesieve.sources import canonicalize, publish
+from venuesieve.sources import canonicalize, publish, read_canonical
 from venuesieve.sources.staging import scratch, stage, together
 from venuesieve.streaming import recommend
 from venuesieve.streaming.ingest import (
@@ -13,6 +13,7 @@ from venuesieve.streaming.ingest import (
     batch_metrics,
     counted,
     ingested,
+    open_listings,
     stream_listings,
     write_counted_stream,
     write_stream,
@@ -94,6 +95,21 @@ def test_profile_stream_stages_the_corpus_once(spark, tmp_path, monkeypatch):
     assert report == {1: "deterministic_fallback", 3: "none"}
 
 
+def test_cache_comes_before_stream_and_stream_before_batch(spark, tmp_path):
+    source, cache, target, state = (str(tmp_path / n) for n in ("in", "cache", "out", "state"))
+    raw = spark.createDataFrame(ROWS, COLUMNS)
+    raw.write.parquet(source)
+    live = open_listings(spark, source, cache_path=cache, prefer_cache=True, streaming=True)
+    assert live.isStreaming and read_canonical(spark, cache) is None
+    write_stream(live, target, state).awaitTermination()
+    batch = open_listings(spark, source, cache_path=cache, prefer_cache=True)
+    assert sorted(batch.collect()) == sorted(spark.read.parquet(target).collect()) == sorted(canonicalize(raw).collect())
+    cached = open_listings(spark, source, cache_path=cache, prefer_cache=True, streaming=True)
+    assert not cached.isStreaming and cached.count() == 4
+    other = IngestConfig(cost_low_max_inr=1)
+    assert open_listings(spark, source, other, cache, prefer_cache=True, streaming=True).isStreaming
+
+
 def test_batches_are_counted_once(spark, tmp_path):
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     raw = spark.createDataFrame(ROWS, COLUMNS).repartitionByRange(2, "pos")
@@ -128,14 +144,13 @@ def test_profile_stream_takes_the_newest_snapshot(spark, tmp_path):
     corpus, used = LiveCorpus(spark, cache), []
     with pytest.raises(ValueError, match="no snapshot"):
         corpus.now()
-    for n, size in enumerate((2, 8, 8)):
-        if n < 2:
-            used.append(publish(spark.createDataFrame(listings[:size], CANONICAL), cache).snapshot)
+    for n, size in enumerate((2, 8)):
+        used.append(publish(spark.createDataFrame(listings[:size], CANONICAL), cache).snapshot)
         spark.createDataFrame([(n, "900", ["thai"], 0.0)], schema).coalesce(1).write.mode("append").parquet(source)
         live = spark.readStream.schema(schema).parquet(source)
-        staged = corpus.corpus
         recommend.recommend_stream(live, corpus, target, state).awaitTermination()
-        assert (corpus.corpus is staged) == (n == 2)
+        staged = corpus.corpus
+        assert corpus.now() == (used[n], staged)
     got = spark.read.parquet(target).groupBy("pref_id", "snapshot").count().collect()
-    assert {(r.pref_id, r.snapshot, r["count"]) for r in got} == {(0, used[0], 2), (1, used[1], 8), (2, used[1], 8)}
+    assert {(r.pref_id, r.snapshot, r["count"]) for r in got} == {(0, used[0], 2), (1, used[1], 8)}
     assert {r.snapshot for r in spark.read.parquet(f"{target}-report").collect()} == set(used)

@@ -46,6 +46,7 @@ RATING_SLACK = 1e-9
 _LOWEST = float("-inf")
 _NO_WANT = "[]"
 _GROUP = ["scope", "q", "want"]
+_ID = ["gid"]  # a group's number, which travels in place of its three strings
 
 _PAYLOAD = ["id", "name", "city", "neighborhood", "cuisines", "rating", "cost_for_two", "cost_tier", "votes"]
 
@@ -260,7 +261,7 @@ def _scoped(lean: DataFrame, places: _Places, shrink, scopes: DataFrame) -> Data
 
 
 def _group_matches(scoped: DataFrame, groups: DataFrame, want_tokens: DataFrame) -> DataFrame:
-    """(scope, q, want, tags): the distinct cuisine lists that belong to each group.
+    """(gid, scope, q, tags): the distinct cuisine lists that belong to each group.
 
     Joined on (scope, q, token), so only lists that share a matching token with a wanted list ever meet it. A scope
     has at most one group that wants nothing in particular; that one takes every list of its scope.
@@ -269,8 +270,8 @@ def _group_matches(scoped: DataFrame, groups: DataFrame, want_tokens: DataFrame)
     free = groups.where(F.col("want") == _NO_WANT).join(offered, ["scope", "q"])
     asked = groups.where(F.col("want") != _NO_WANT).join(want_tokens, "want")
     by_token = offered.withColumn("c", F.explode(F.from_json("tags", "array<string>")))
-    shared = asked.join(by_token, ["scope", "q", "c"]).select(*_GROUP, "tags").distinct()
-    return shared.unionByName(free.select(*_GROUP, "tags"))
+    shared = asked.join(by_token, ["scope", "q", "c"]).select(*_ID, "scope", "q", "tags").distinct()
+    return shared.unionByName(free.select(*_ID, "scope", "q", "tags"))
 
 
 def _group_of(q: Column, strict: Column) -> Column:
@@ -328,7 +329,11 @@ class ProfileSearch:
         relaxed = self.requests.select(F.lit("any").alias("scope"), F.lit("").alias("q"), "want")
         prime = self.requests.select(F.lit("any").alias("scope"), F.lit("").alias("q"), F.col("prime").alias("want"))
         groups = strict.select(_GROUP).unionByName(relaxed).unionByName(prime).distinct()
-        return stage(groups, "groups")
+        return stage(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
+
+    def _asked(self, questions: DataFrame, strict: Column) -> DataFrame:
+        """``questions`` for each group they go to, with its number."""
+        return _ask(questions, strict).join(self.groups, _GROUP)
 
     def _cells(self) -> tuple[DataFrame, DataFrame]:
         """(cost-rating cells per group, listings per scope)."""
@@ -341,7 +346,7 @@ class ProfileSearch:
         self.matches = stage(_group_matches(scoped, self.groups, self.want_tokens), "matches")
         cells = (
             scoped.join(self.matches, ["scope", "q", "tags"])
-            .groupBy(*_GROUP, "cost", "rating")
+            .groupBy(*_ID, "cost", "rating")
             .agg(F.sum("n").alias("n"))
         )
         totals = scoped.groupBy("scope", "q").agg(F.sum("n").alias("n"))
@@ -387,11 +392,11 @@ class ProfileSearch:
                 "t": F.get("ratings", F.greatest(F.lit(0), step - free)),
             }
         )
-        asked = _ask(steps, step == 0)
-        points = asked.select(*_GROUP, "cap", "t").distinct()
-        hits = count_dominated(self._priced, points, _GROUP, self._cuts)
+        asked = self._asked(steps, step == 0)
+        points = asked.select(*_ID, "cap", "t").distinct()
+        hits = count_dominated(self._priced, points, _ID, self._cuts)
         counted = (
-            asked.join(hits, [*_GROUP, "cap", "t"], "left")
+            asked.join(hits, [*_ID, "cap", "t"], "left")
             .groupBy("req", "step")
             .agg(F.sum(F.coalesce("hits", F.lit(0))).alias("hits"))
         )
@@ -405,15 +410,16 @@ class ProfileSearch:
         open_ = known.where(F.col("stop").isNull()).withColumns(
             {"scope": F.lit("any"), "q": F.lit(""), "want": F.col("prime"), "t": last_rating}
         )
-        wanted = open_.select(*_GROUP, "t").distinct()
-        needed = self._priced.join(wanted.select(_GROUP).distinct(), _GROUP, "left_semi")
-        kth = kth_cost(needed, wanted, _GROUP, max(1, cfg.k_min))
+        open_ = open_.join(self.groups, _GROUP)
+        wanted = open_.select(*_ID, "t").distinct()
+        needed = self._priced.join(wanted.select(_ID).distinct(), _ID, "left_semi")
+        kth = kth_cost(needed, wanted, _ID, max(1, cfg.k_min))
         step_size = max(1, cfg.budget_relax_step_inr)
         raises = F.when(
             F.col("kth_cost") <= cfg.budget_relax_ceiling_inr,
             F.least(F.col("raises"), F.ceil((F.col("kth_cost") - F.col("cap")) / F.lit(step_size))),
         ).otherwise(F.col("raises"))
-        budget_stop = open_.join(kth, [*_GROUP, "t"], "left").select("req", (last_free + raises).alias("late"))
+        budget_stop = open_.join(kth, [*_ID, "t"], "left").select("req", (last_free + raises).alias("late"))
 
         stop = F.coalesce("stop", "late")
         raised = F.greatest(F.lit(0).cast("bigint"), stop - last_free)
@@ -439,18 +445,18 @@ class ProfileSearch:
         )
 
     def _final_questions(self) -> DataFrame:
-        return _ask(self.stops(), F.col("stop") == 0)
+        return self._asked(self.stops(), F.col("stop") == 0)
 
     def _funnel(self, asked: DataFrame) -> DataFrame:
-        """Per request: listings left after each of the four filters. ``asked``: req, group, cap, t."""
-        groups = asked.select(_GROUP).distinct()
+        """Per request: listings left after each of the four filters. ``asked``: req, scope, q, gid, cap, t."""
+        groups = asked.select(_ID).distinct()
         by_group = (
-            self.cells.join(groups, _GROUP, "left_semi").groupBy(_GROUP).agg(F.sum("n").alias("after_cuisine"))
+            self.cells.join(groups, _ID, "left_semi").groupBy(_ID).agg(F.sum("n").alias("after_cuisine"))
         )
-        thresholds = asked.select(*_GROUP, "cap", "t")
+        thresholds = asked.select(*_ID, "cap", "t")
         points = thresholds.unionByName(thresholds.withColumn("t", F.lit(_LOWEST))).distinct()
-        needed = self._priced.join(groups, _GROUP, "left_semi")
-        hits = stage(count_dominated(needed, points, _GROUP, self._cuts), "hits")
+        needed = self._priced.join(groups, _ID, "left_semi")
+        hits = stage(count_dominated(needed, points, _ID, self._cuts), "hits")
         unrated = hits.where(F.col("t") == _LOWEST).drop("t").withColumnRenamed("hits", "after_budget")
 
         def total(name: str) -> Column:
@@ -458,9 +464,9 @@ class ProfileSearch:
 
         return (
             asked.join(self.totals.withColumnRenamed("n", "after_location"), ["scope", "q"], "left")
-            .join(by_group, _GROUP, "left")
-            .join(unrated, [*_GROUP, "cap"], "left")
-            .join(hits.withColumnRenamed("hits", "after_rating"), [*_GROUP, "cap", "t"], "left")
+            .join(by_group, _ID, "left")
+            .join(unrated, [*_ID, "cap"], "left")
+            .join(hits.withColumnRenamed("hits", "after_rating"), [*_ID, "cap", "t"], "left")
             .groupBy("req")
             .agg(total("after_location"), total("after_cuisine"), total("after_budget"), total("after_rating"))
         )
@@ -468,11 +474,11 @@ class ProfileSearch:
     def strict_funnel(self) -> DataFrame:
         """Per profile: the funnel of its own wishes, nothing relaxed."""
         wishes = self.requests.select("req", "q", "want", "cap", F.get("ratings", F.lit(0)).alias("t"))
-        return self.profiles.join(self._funnel(_ask(wishes, F.lit(True))), "req").drop("req")
+        return self.profiles.join(self._funnel(self._asked(wishes, F.lit(True))), "req").drop("req")
 
     def report(self) -> DataFrame:
         """Per profile: funnel of the last pass, relaxations in order, stop step, truncation flag."""
-        funnel = self._funnel(self._final_questions().select("req", *_GROUP, "cap", "t"))
+        funnel = self._funnel(self._final_questions().select("req", "scope", "q", *_ID, "cap", "t"))
         per_request = self.stops().select("req", "stop", "relaxations").join(funnel, "req")
         return (
             self.profiles.join(per_request, "req")
@@ -488,7 +494,7 @@ class ProfileSearch:
         order = [F.col("rating").desc(), F.col("rank_votes").desc(), F.col("lname"), F.col("pos")]
         k = self.cfg.max_candidates
         asked = stage(self._final_questions(), "final-questions")
-        groups = asked.select(_GROUP).distinct()
+        groups = asked.select("scope", "q", *_ID).distinct()
 
         # A listing beaten by k others of equal cost in the same place and cuisine list can answer no question.
         def trim(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -497,14 +503,14 @@ class ProfileSearch:
 
         rated = self.lean.where((F.col("cost") <= self._reach) & F.col("rating").isNotNull())
         scoped = _scoped(rated, self.places, trim, groups.select("scope", "q").distinct())
-        matches = self.matches.join(groups, _GROUP, "left_semi")
-        rows = scoped.join(matches, ["scope", "q", "tags"]).drop("tags")
-        costs = self._priced.join(groups, _GROUP, "left_semi").select(*_GROUP, "cost")
-        best = top_within_cap(rows, costs, asked.select(*_GROUP, "cap"), _GROUP, order, k)
+        matches = self.matches.join(groups, _ID, "left_semi")
+        rows = scoped.join(matches, ["scope", "q", "tags"]).drop("scope", "q", "tags")
+        costs = self._priced.join(groups, _ID, "left_semi").select(*_ID, "cost")
+        best = top_within_cap(rows, costs, asked.select(*_ID, "cap"), _ID, order, k)
         # Rating leads the rank, so a minimum rating only cuts the tail of the list.
         answers = (
-            asked.select("req", *_GROUP, "cap", "t")
-            .join(best, [*_GROUP, "cap"])
+            asked.select("req", *_ID, "cap", "t")
+            .join(best, [*_ID, "cap"])
             .where(F.col("rating") >= F.col("t"))
         )
         at = F.row_number().over(W.partitionBy("req").orderBy(*order))

@@ -10,7 +10,8 @@ from pyspark.sql.types import StructType
 
 from ..config import IngestConfig
 from ..operators.quality import corpus_metrics
-from ..sources.listings import canonicalize
+from ..sources.cache import read_canonical
+from ..sources.listings import canonicalize, load_listings, read_raw
 
 _COUNTS = ["total_rows", "rows_passing_validation"]
 METRICS = ", ".join(f"{c} bigint" for c in _COUNTS)
@@ -52,6 +53,31 @@ def ingested(spark: SparkSession, path: str) -> tuple[int, int]:
     return tuple(spark.read.parquet(path).agg(*corpus_metrics()).first())
 
 
+def open_listings(
+    spark: SparkSession,
+    path: str,
+    config: IngestConfig = IngestConfig(),
+    cache_path: str | None = None,
+    prefer_cache: bool = False,
+    streaming: bool = False,
+    fmt: str = "parquet",
+    max_files: int | None = None,
+) -> DataFrame:
+    """Canonical listings of the raw files at ``path``, from wherever they are to be had first.
+
+    A matching cache, if wanted, comes before everything; then, with ``streaming``, the files as a stream, which writes
+    no cache; else a batch read, written to the cache if one is named. A stream takes its columns from the files there
+    now and needs the order column ``pos`` among them.
+    """
+    if cache_path and prefer_cache:
+        cached = read_canonical(spark, cache_path, config)
+        if cached is not None:
+            return cached
+    if streaming:
+        return stream_listings(spark, path, read_raw(spark, path, fmt).schema, config, fmt, max_files)
+    return load_listings(read_raw(spark, path, fmt), config, cache_path)
+
+
 def add_batch(listings: DataFrame, batch_id: int, path: str) -> None:
     """Write a batch to ``path/batch=<id>``, then its counts to ``<path>-metrics/batch=<id>``.
 
