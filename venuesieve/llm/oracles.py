@@ -122,13 +122,13 @@ WITH RECURSIVE fit AS MATERIALIZED (
   SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.v, b.v) >= 0.95
 ), reached AS (
-  SELECT DISTINCT a AS start, a AS at FROM links
+  SELECT DISTINCT a AS origin, a AS node FROM links
   UNION
-  SELECT start, b FROM reached JOIN links ON a = at
-), component AS (SELECT start, min(at) AS smallest FROM reached GROUP BY start)
+  SELECT origin, b FROM reached JOIN links ON a = node
+), component AS (SELECT origin, min(node) AS smallest FROM reached GROUP BY origin)
 SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links,
   coalesce(c.smallest, e.vec_id) AS component_id, coalesce(c.smallest, e.vec_id) = e.vec_id AS kept
-FROM embeddings e LEFT JOIN component c ON c.start = e.vec_id
+FROM embeddings e LEFT JOIN component c ON c.origin = e.vec_id
 """
 
 ORACLES: dict[str, str] = {
