@@ -23,7 +23,7 @@ from pyspark.sql.types import DataType
 from .common import cut, stage, stage_bucketed, whole
 
 ORDER = 6
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 QUANTILE = 0.995
 HELD_OUT = 5
 START = b"\n"
@@ -129,12 +129,17 @@ class Corpus:
     def salt(self, column: str = "block"):
         return F.pmod(F.xxhash64(column), F.lit(self.salts))
 
-    def parts(self) -> DataFrame:
-        """(shard, block, grams, n, own): a block's distinct n-grams in a shard, packed, with their counts in its trusted
-        texts and in the held-out ones among them (both empty where there is none)."""
-        shape = "shard int, block long, grams binary, n binary, own binary"
-        rows = self.marked.select("block", "lengths", "texts", "chosen", "held")
-        return rows.mapInArrow(_sharded(self.order, self.shards), shape)
+    def learned(self) -> DataFrame:
+        """(shard, block, grams, n, own): the distinct n-grams of a block's trusted texts in a shard, packed, with their
+        counts in those and in the held-out ones among them."""
+        rows = self.marked.where("chosen IS NOT NULL").select("block", "lengths", "texts", "chosen", "held")
+        return rows.mapInArrow(_learned(self.order, self.shards), "shard int, block long, grams binary, n binary, own binary")
+
+    def asked(self) -> DataFrame:
+        """(shard, block, grams, held): all distinct n-grams of a block in a shard, packed, and which of them are in
+        held-out texts, a bit each (no bits if none)."""
+        rows = self.marked.select("block", "lengths", "texts", "held")
+        return rows.mapInArrow(_asked(self.order, self.shards), "shard int, block long, grams binary, held binary")
 
     def score(self, answers: DataFrame) -> DataFrame:
         """(key, lang, text_md5, n_bytes, perplexity, held_nll) per document; the last one of held-out texts only."""
@@ -185,18 +190,18 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
-def _sharded(order: int, shards: int):
+def _learned(order: int, shards: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             raw = _texts(row["lengths"], row["texts"])
-            gram = _distinct(raw, order)
-            n = _counted([raw[i] for i in row["chosen"] or []], order, gram)
-            own = _counted([raw[i] for i in row["held"] or []], order, gram)
+            chosen = [raw[i] for i in row["chosen"]]
+            gram = _distinct(chosen, order)
+            n = _counted(chosen, order, gram)
+            own = _counted([raw[i] for i in row["held"]], order, gram)
             by, spans = _by_shard(gram, shards)
             for shard, a, b in spans:
                 at = by[a:b]
-                counts = [_pack(x[at], 4) if x[at].any() else b"" for x in (n, own)]
-                values = [[shard], [row["block"]], [_pack_sorted(gram[at])], *[[c] for c in counts]]
+                values = [[shard], [row["block"]], [_pack_sorted(gram[at])], [_pack(n[at], 4)], [_pack(own[at], 4)]]
                 kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["shard", "block", "grams", "n", "own"]
@@ -205,6 +210,27 @@ def _sharded(order: int, shards: int):
     return run
 
 
+def _asked(order: int, shards: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            raw = _texts(row["lengths"], row["texts"])
+            gram = _distinct(raw, order)
+            held = np.zeros(len(gram), bool)
+            if row["held"]:
+                held[np.searchsorted(gram, _distinct([raw[i] for i in row["held"]], order))] = True
+            by, spans = _by_shard(gram, shards)
+            for shard, a, b in spans:
+                at = by[a:b]
+                bits = np.packbits(held[at]).tobytes() if held[at].any() else b""
+                values = [[shard], [row["block"]], [_pack_sorted(gram[at])], [bits]]
+                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["shard", "block", "grams", "held"]
+                )
+
+    return run
+
+
 def _added(grams: list[np.ndarray], *counts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """Distinct n-grams of several lists and the sums of their counts."""
     gram, at = np.unique(np.concatenate(grams), return_inverse=True)
@@ -212,24 +238,19 @@ def _added(grams: list[np.ndarray], *counts: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def _merged(part: pa.Table) -> pa.Table:
-    grams, n, own = [], [], []
-    for row in part.to_pylist():
-        gram, count = _unpack_sorted(row["grams"]), _unpack(row["n"], 4)
-        learned = count > 0
-        grams.append(gram[learned])
-        n.append(count[learned])
-        own.append(_unpack(row["own"], 4)[learned] if row["own"] else np.zeros(learned.sum(), np.uint64))
-    gram, n_all, n_own = _added(grams, n, own)
-    return pa.table({"gram": gram.astype(np.int64), "n": n_all, "own": n_own})
-
-
-def learned(corpus: Corpus, parts: DataFrame) -> DataFrame:
+    rows = part.to_pylist()
+    lists = [_unpack_sorted(r["grams"]) for r in rows], *[[_unpack(r[c], 4) for r in rows] for c in ("n", "own")]
+    gram, n, own = _added(*lists)
+    return pa.table({"gram": gram.astype(np.int64), "n": n, "own": own})
+
+
+def learned(corpus: Corpus) -> DataFrame:
     """(gram, n, own): counts over all trusted texts, and over the held-out ones.
 
     Packed counts of up to some 512 blocks are added per shard first; what is left is added n-gram by n-gram.
     """
-    some = parts.select("shard", "block", "grams", "n", "own").where(F.octet_length("n") > 0)
-    local = some.withColumn("salt", corpus.salt()).groupBy("shard", "salt").applyInArrow(_merged, "gram long, n long, own long")
+    some = corpus.learned().withColumn("salt", corpus.salt())
+    local = some.groupBy("shard", "salt").applyInArrow(_merged, "gram long, n long, own long")
     return stage(local.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("own").alias("own")), "quality-counts")
 
 
@@ -325,7 +346,8 @@ def _answered(order: int, floors: list[Floor]):
         full, rest = _models(gram[by].astype(np.uint64), n[by], own[by])
         rows = asked.to_pylist()
         wanted = [_unpack_sorted(r["grams"]) for r in rows]
-        held = [w[_unpack(r["own"], 4) > 0] if r["own"] else w[:0] for w, r in zip(wanted, rows, strict=True)]
+        marks = [np.unpackbits(np.frombuffer(r["held"], np.uint8), count=len(w)) if r["held"] else None for w, r in zip(wanted, rows, strict=True)]
+        held = [w[:0] if m is None else w[m > 0] for w, m in zip(wanted, marks, strict=True)]
         told = []
         for lists, model, floor in ((wanted, full, floors[0]), (held, rest, floors[1])):
             distinct = np.unique(np.concatenate(lists)) if lists else np.empty(0, np.uint64)
@@ -343,9 +365,9 @@ def _answered(order: int, floors: list[Floor]):
     return run
 
 
-def answers(corpus: Corpus, parts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(shard, block, logs, held_logs): log probability of the last byte of each n-gram of ``parts`` after the bytes before
-    it, in the order asked; ``held_logs`` of those in held-out texts, under a model of the other trusted texts.
+def answers(corpus: Corpus, counts: DataFrame) -> DataFrame:
+    """(shard, block, logs, held_logs): log probability of the last byte of each n-gram asked after the bytes before it, in
+    the order asked; ``held_logs`` of those in held-out texts, under a model of the other trusted texts.
 
     Interpolated modified Kneser-Ney with three discounts per order. The highest order has the counts themselves, each
     lower one the number of different bytes seen before the n-gram; below single bytes lies the uniform distribution.
@@ -360,7 +382,7 @@ def answers(corpus: Corpus, parts: DataFrame, counts: DataFrame) -> DataFrame:
     seen = seen.groupBy("model", "k", "value").agg(F.sum("n").alias("n")).collect()
     floors = [_floor(corpus.order, {(r["k"], r["value"]): r["n"] for r in seen if r["model"] == m}) for m in (0, 1)]
     every = placed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(corpus.salts - 1).cast("long"))))
-    asked = parts.select("shard", "block", "grams", "own").withColumn("salt", corpus.salt())
+    asked = corpus.asked().withColumn("salt", corpus.salt())
     met = asked.groupBy("shard", "salt").cogroup(every.groupBy("shard", "salt"))
     return met.applyInArrow(_answered(corpus.order, floors), "shard int, block long, logs binary, held_logs binary")
 
@@ -450,9 +472,8 @@ def classify(
     kind = df.schema[key].dataType.simpleString()
     trusted = trusted.select(F.col(key).cast(kind).alias("key")).where("key IS NOT NULL").distinct()
     corpus = Corpus(df, trusted, order, key, text, lang)
-    parts = stage(corpus.parts(), "quality-parts")
-    counts = learned(corpus, parts)
-    scored = stage(corpus.score(answers(corpus, parts, counts)), "quality-scores")
+    counts = learned(corpus)
+    scored = stage(corpus.score(answers(corpus, counts)), "quality-scores")
     rest = counts.agg(F.sum(F.col("n") - F.col("own"))).first()[0]
     good = stage(scored.where("held_nll IS NOT NULL").select("lang", "n_bytes", F.col("held_nll").alias("nll")), "quality-trusted")
     if not rest or good.isEmpty():
