@@ -112,11 +112,11 @@ class Corpus:
     (block, keys, langs, lengths, texts), and per block which of its texts are trusted and which of those held out.
     """
 
-    def __init__(self, df: DataFrame, trusted: DataFrame, order: int, key: str, text: str, lang: str):
+    def __init__(self, df: DataFrame, trusted: DataFrame, order: int, key: str, text: str, lang: str, block_chars: int):
         self.order, self.kind = order, df.schema[key].dataType
         rows = df.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
         shape = f"block long, keys array<{self.kind.simpleString()}>, langs array<string>, lengths array<int>, texts binary"
-        self.blocks = stage_bucketed(rows.mapInArrow(_collect(self.kind), shape), "block", "quality")
+        self.blocks = stage_bucketed(rows.mapInArrow(_collect(self.kind, block_chars), shape), "block", "quality")
         held = (F.pmod(F.xxhash64("key", F.lit(11)), F.lit(HELD_OUT)) == 0).alias("held")
         at = self.blocks.select("block", F.posexplode("keys").alias("i", "key"))
         chosen = at.join(trusted.select("key", held), "key").groupBy("block")
@@ -149,9 +149,9 @@ class Corpus:
         return rows.mapInArrow(_scored(self.order, self.shards, self.kind), shape)
 
 
-def _collect(kind: DataType):
+def _collect(kind: DataType, block_chars: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in cut(batches, "text", BLOCK_CHARS):
+        for block, rows in cut(batches, "text", block_chars):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -452,6 +452,7 @@ def classify(
     key: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """(key, lang, text_md5, n_bytes, perplexity, adjusted, threshold, accepted) for every row of ``df``.
 
@@ -465,13 +466,14 @@ def classify(
     among all languages; one without any takes mean and threshold of all. If either part is empty, all trusted
     documents are judged by the model itself; without trusted documents at all nothing is rejected. Null and empty
     texts have no perplexity and are not accepted. A null language is one of its own. Repeated rows are scored alike; a
-    null key is never trusted.
+    null key is never trusted. Texts are worked on in blocks of some ``block_chars`` characters: larger ones send fewer
+    n-grams, smaller ones take less memory.
     """
     if not 3 <= order <= 7:
         raise ValueError("order is 3 to 7 bytes")
     kind = df.schema[key].dataType.simpleString()
     trusted = trusted.select(F.col(key).cast(kind).alias("key")).where("key IS NOT NULL").distinct()
-    corpus = Corpus(df, trusted, order, key, text, lang)
+    corpus = Corpus(df, trusted, order, key, text, lang, block_chars)
     counts = learned(corpus)
     scored = stage(corpus.score(answers(corpus, counts)), "quality-scores")
     rest = counts.agg(F.sum(F.col("n") - F.col("own"))).first()[0]

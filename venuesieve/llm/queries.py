@@ -83,7 +83,7 @@ def op5_language(spark: SparkSession, d: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     trusted = table(spark, d, "labels").where("quality = 1").select("doc_id")
-    return quality.classify(table(spark, d, "documents"), trusted)
+    return quality.classify(table(spark, d, "documents"), trusted, block_chars=2 * quality.BLOCK_CHARS)
 
 
 def op7_sharding(spark: SparkSession, d: str) -> DataFrame:
