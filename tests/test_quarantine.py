@@ -1,10 +1,15 @@
 """Broken raw rows are set aside with file, reason and text; every row is in one of the two tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from venuesieve import ListingSchemaError
 from venuesieve.sources import canonicalize
 from venuesieve.sources.quarantine import rejected_counts, split_raw
+from workload.queries import QUERIES
+from workload.tables import listing_raw, table
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_csv(spark, tmp_path):
@@ -56,3 +61,17 @@ def test_other_formats_and_empty_input(spark, tmp_path):
     (tmp_path / "only.csv").write_text("pos,name\n")
     good, rejected = split_raw(spark, str(tmp_path), "csv")
     assert good.collect() == rejected.collect() == []
+
+
+def test_query_sums_beyond_64_bits(spark, tmp_path):
+    """Order numbers of a large table add up to more than 64 bits; on the given tables the sum is a bigint."""
+    far = 4_000_000_000_000
+    for name in ("nation", "region", "supplier", "part", "lineitem"):
+        rows = table(spark, DATA, name)
+        moved = {c: F.col(c) + far for c in ("p_partkey", "l_partkey") if c in rows.columns}
+        rows.withColumns(moved).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = [p for (p,) in listing_raw(spark, str(tmp_path)).select("pos").collect() if p % 11 not in (1, 2, 3, 4)]
+    assert sum(kept) >= 2**63
+    good = {r.fmt: int(r.pos_sum) for r in QUERIES["quarantine"](spark, str(tmp_path)).where("outcome = 'good'").collect()}
+    assert good == {"csv": sum(kept), "json": sum(kept)}
+    assert dict(QUERIES["quarantine"](spark, DATA).dtypes)["pos_sum"] == "bigint"

@@ -38,6 +38,7 @@ from .tables import listing_raw, prefs_raw, responses, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = SearchConfig()
+_WIDE = "decimal(38,0)"  # a sum of millions of order numbers has more than 64 bits
 
 
 def _canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +73,12 @@ def _listing_columns(df: DataFrame) -> DataFrame:
     )
 
 
+def _narrow(sums: DataFrame, *names: str) -> DataFrame:
+    """Exact sums as bigint, as in the SQL, if all of a column fit; a column with one beyond 64 bits stays decimal."""
+    most = sums.agg(*[F.max(F.abs(c)).alias(c) for c in names]).first()
+    return sums.withColumns({c: F.col(c).cast("bigint") for c in names if (most[c] or 0) < 2**63})
+
+
 def _folder(spark: SparkSession, label: str) -> str:
     return f"{staging_root(spark)}/{label}-{uuid4().hex}"
 
@@ -185,14 +192,15 @@ def quarantine(spark: SparkSession, d: str) -> DataFrame:
     line = F.to_json(F.struct(*names))
     shorter = F.when(cut_off, F.substring(line, F.lit(1), F.length(line) - 5)).otherwise(line)
     rows.select(shorter.alias("value")).write.text(json)
-    none, out = F.lit(None).cast("bigint"), []
+    none, out = F.lit(None).cast(_WIDE), []
     for fmt, path, options in (("csv", csv, plain), ("json", json, {})):
         good, rejected = split_raw(spark, path, fmt, **options)
-        sums = [F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"), F.sum("cost_for_two").alias("cost_sum")]
+        wide = [F.sum(F.col(c).cast(_WIDE)).cast(_WIDE).alias(s) for c, s in (("pos", "pos_sum"), ("cost_for_two", "cost_sum"))]
+        sums = [F.count(F.lit(1)).alias("n"), *wide]
         apart = rejected_counts(rejected).withColumnsRenamed({"reason": "outcome"})
         out.append(canonicalize(good).agg(*sums).withColumns({"outcome": F.lit("good"), "fmt": F.lit(fmt)}))
         out.append(apart.withColumns({"pos_sum": none, "cost_sum": none, "fmt": F.lit(fmt)}))
-    return reduce(DataFrame.unionByName, out)
+    return _narrow(stage(reduce(DataFrame.unionByName, out), "outcomes"), "pos_sum", "cost_sum")
 
 
 # --- scalar functions -----------------------------------------------------------------------------------------------
