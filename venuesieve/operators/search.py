@@ -92,21 +92,23 @@ def with_ladder(prefs: DataFrame, cfg: SearchConfig) -> DataFrame:
     )
 
 
-def step_labels(stop: Column) -> Column:
-    """Labels of ladder steps 1..stop."""
-    rating_steps = F.size("ratings") - 1
+def _step_label(step: Column) -> Column:
+    """Label of a ladder step, counted from 1."""
     before_cuisine = F.col("loc_steps")
     before_rating = before_cuisine + F.col("cuisine_steps")
-    before_budget = before_rating + rating_steps
-    label = lambda s: (
-        F.when(s <= before_cuisine, DROP_LOCATION)
-        .when(s <= before_rating, FIRST_CUISINE)
-        .when(s <= before_budget, LOWER_RATING)
+    before_budget = before_rating + F.size("ratings") - 1
+    return (
+        F.when(step <= before_cuisine, DROP_LOCATION)
+        .when(step <= before_rating, FIRST_CUISINE)
+        .when(step <= before_budget, LOWER_RATING)
         .otherwise(RAISE_BUDGET)
     )
-    return F.when(stop > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), stop.cast("bigint")), label)).otherwise(
-        F.array().cast("array<string>")
-    )
+
+
+def step_labels(stop: Column) -> Column:
+    """Labels of ladder steps 1..stop."""
+    steps = F.sequence(F.lit(1).cast("bigint"), stop.cast("bigint"))
+    return F.when(stop > 0, F.transform(steps, _step_label)).otherwise(F.array().cast("array<string>"))
 
 
 def relax_ladder(prefs: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
@@ -114,9 +116,7 @@ def relax_ladder(prefs: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFr
     shaped = with_ladder(prefs, cfg).withColumn("rating_steps", F.size("ratings") - 1)
     free = F.col("loc_steps") + F.col("cuisine_steps")
     last = free + F.col("rating_steps") + F.col("raises")
-    steps = shaped.withColumn("labels", step_labels(last)).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("step")
-    )
+    steps = shaped.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("step"))
     step = F.col("step")
     lowered = F.greatest(F.lit(0), F.least(F.col("rating_steps"), step - free)).cast("int")
     raised = F.greatest(F.lit(0).cast("bigint"), step - free - F.col("rating_steps"))
@@ -124,7 +124,7 @@ def relax_ladder(prefs: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFr
     return steps.select(
         "pref_id",
         "step",
-        F.when(step > 0, F.get("labels", (step - 1).cast("int"))).alias("label"),
+        F.when(step > 0, _step_label(step)).alias("label"),
         F.when(step < F.col("loc_steps") + F.lit(0), F.col("location"))
         .when(F.col("loc_steps") == 0, F.col("location"))
         .alias("location"),

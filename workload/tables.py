@@ -61,7 +61,9 @@ def prefs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     def words(*items: str):
         return F.array(*[F.lit(i) for i in items])
 
-    return table(spark, sf_dir, "customer").select(
+    # A narrow table is one small file, but every profile is much work: without a shuffle one task would do all of it.
+    customers = table(spark, sf_dir, "customer").repartition(spark.sparkContext.defaultParallelism, key)
+    return customers.select(
         key.alias("pref_id"),
         F.when(key % 4 == 1, F.concat(F.lit(" nation_"), F.col("c_nationkey").cast("string"), F.lit(" ")))
         .when(key % 4 == 2, "Bengaluru")
