@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from venuesieve.operators.search import relax_ladder
-from workload.queries import QUERIES
-from workload.tables import prefs_raw
+from workload.queries import QUERIES, _raw_files
+from workload.tables import listing_raw, prefs_raw
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,3 +22,19 @@ def test_ladder_rows_carry_no_list_of_labels(spark):
     prefs = QUERIES["prefs_validated"](spark, DATA).withColumn("cuisines", F.split("cuisines", "\\|"))
     generated = [line for line in _plan(relax_ladder(prefs)).splitlines() if "Generate explode" in line]
     assert generated and all("labels" not in line for line in generated)
+
+
+def test_stream_files_grow_in_number(spark):
+    """Four files whatever the table, each read by one task, made a task's share of the stream a quarter of it."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "10")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, raw, files = _raw_files(spark, DATA, 4)
+        assert files > 1 and len(raw.inputFiles()) == 4 * files
+        assert raw.count() == listing_raw(spark, DATA).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -83,6 +83,18 @@ def _folder(spark: SparkSession, label: str) -> str:
     return f"{staging_root(spark)}/{label}-{uuid4().hex}"
 
 
+def _raw_files(spark: SparkSession, d: str, batches: int, by_range: bool = False) -> tuple[str, DataFrame, int]:
+    """Raw listings as files for a stream: (folder, table, files a batch, so that there are that many ``batches``).
+
+    There are as many files as the listings come in parts of, a multiple of four, so no file grows with the table.
+    """
+    raw = stage(listing_raw(spark, d), "raw-whole")
+    files = 4 * -(-len(raw.inputFiles()) // 4)
+    parts = raw.repartitionByRange(files, "pos") if by_range else raw.repartition(files)
+    raw = stage(parts, "raw-stream")
+    return raw.inputFiles()[0].rsplit("/", 1)[0], raw, -(-len(raw.inputFiles()) // batches)
+
+
 # --- ingest ---------------------------------------------------------------------------------------------------------
 
 
@@ -148,24 +160,25 @@ def ingest_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
-    raw = stage(listing_raw(spark, d).repartition(4), "raw-stream")
-    source, target, state = raw.inputFiles()[0].rsplit("/", 1)[0], _folder(spark, "live"), _folder(spark, "live-state")
-    write_stream(stream_listings(spark, source, raw.schema, max_files=2), target, state).awaitTermination()
+    source, raw, files = _raw_files(spark, d, 2)
+    target, state = _folder(spark, "live"), _folder(spark, "live-state")
+    write_stream(stream_listings(spark, source, raw.schema, max_files=files), target, state).awaitTermination()
     return _listing_columns(spark.read.parquet(target))
 
 
 def ingest_stream_metrics(spark: SparkSession, d: str) -> DataFrame:
-    raw = stage(listing_raw(spark, d).repartition(4), "raw-stream")
-    source, target, state = raw.inputFiles()[0].rsplit("/", 1)[0], _folder(spark, "live"), _folder(spark, "live-state")
-    write_stream(stream_listings(spark, source, raw.schema, max_files=1), target, state).awaitTermination()
+    source, raw, files = _raw_files(spark, d, 4)
+    target, state = _folder(spark, "live"), _folder(spark, "live-state")
+    write_stream(stream_listings(spark, source, raw.schema, max_files=files), target, state).awaitTermination()
     return spark.createDataFrame([ingested(spark, target)], "total_rows bigint, rows_passing_validation bigint")
 
 
 def ingest_batch_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of every batch from the stream's log, one raw file a batch; a batch that comes again counts once."""
-    raw = stage(listing_raw(spark, d).repartitionByRange(4, "pos"), "raw-stream")
-    source, target, state = raw.inputFiles()[0].rsplit("/", 1)[0], _folder(spark, "live"), _folder(spark, "live-state")
-    write_counted_stream(stream_listings(spark, source, raw.schema, max_files=1), target, state).awaitTermination()
+    """Counts of every batch from the stream's log, a quarter of the raw files a batch; a batch that comes again counts
+    once."""
+    source, raw, files = _raw_files(spark, d, 4, by_range=True)
+    target, state = _folder(spark, "live"), _folder(spark, "live-state")
+    write_counted_stream(stream_listings(spark, source, raw.schema, max_files=files), target, state).awaitTermination()
     again = spark.read.parquet(f"{target}/batch=0")
     add_batch(stage(again, "again"), 0, target)
     total, usable = counted(spark, target)
