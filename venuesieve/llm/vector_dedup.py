@@ -136,10 +136,22 @@ def near_vectors(
 
 
 def _units(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
-    rows = [np.array(v, np.float64) for v in batch.column("v").to_pylist()]
-    # Scaling by the largest component first keeps squares of very large or small components finite.
-    rows = [v / np.abs(v).max() for v in rows]
-    return [v / np.sqrt((v * v).sum()) for v in rows]
+    """Every row of ``v`` at length 1. Rows of equal length are scaled together, straight from Arrow's buffer."""
+    column = batch.column("v")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    widths = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(widths) - widths
+    units: list = [None] * len(widths)
+    for width in np.unique(widths):
+        mine = np.flatnonzero(widths == width)
+        rows = flat.reshape(-1, width) if len(mine) == len(widths) else flat[starts[mine][:, None] + np.arange(width)]
+        # Scaling by the largest component first keeps squares of very large or small components finite.
+        rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+        rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        for i, row in zip(mine.tolist(), rows, strict=True):
+            units[i] = row
+    return units
 
 
 def _code(how: Hashing):
