@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -130,6 +131,18 @@ def test_chunks_are_forgotten_and_long_ones_not_kept(monkeypatch):
     assert "z" * 70 not in encoder.number
 
 
+def test_known_chunks_cost_a_batch_nothing():
+    """Every batch copied the ids of all chunks known so far, twice."""
+    with open(public_tokenizers.path(WORD_TOKENIZER), "rb") as file:
+        encoder = packing.Encoder(file.read())
+    encoder.encode([" ".join(f"{n:x}" for n in range(50_000)).encode()])
+    tracemalloc.start()
+    encoder.encode([b"a b c"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000
+
+
 def test_only_known_tokenizers_are_divided():
     ok = {
         "normalizer": {"type": "Lowercase"},

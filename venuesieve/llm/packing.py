@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,34 @@ class _Numbers(dict):
         return self[chunk]
 
 
+class _Ids:
+    """Ids of numbered chunks in arrays that double, so that a batch costs its own chunks and not all that are known."""
+
+    def __init__(self) -> None:
+        self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def put(self, at: int, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of chunks ``at``, ``at`` + 1, ... in place of whatever stood there and after."""
+        end = at + len(sizes)
+        self.starts = _room(self.starts, end + 1)
+        self.starts[at + 1 : end + 1] = self.starts[at] + np.cumsum(sizes)
+        self.flat = _room(self.flat, int(self.starts[end]))
+        self.flat[self.starts[at] : self.starts[end]] = ids
+
+    def of(self, chunks: np.ndarray) -> np.ndarray:
+        starts = self.starts[chunks]
+        return self.flat[ragged(starts, self.starts[chunks + 1] - starts)]
+
+
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """``values`` if it has ``size`` places, else a copy with as many and at least twice those of before."""
+    if size <= len(values):
+        return values
+    grown = np.empty(max(size, 2 * len(values)), values.dtype)
+    grown[: len(values)] = values
+    return grown
+
+
 class Encoder:
     """Ids of texts without the special tokens that a template adds.
 
@@ -70,13 +98,10 @@ class Encoder:
         self.by_chunk, self.lowers = divisible(parts), lowers(parts)
         self.added = [t["content"].lower().encode() for t in parts.get("added_tokens", [])]
         self.number = _Numbers()
-        self.flat, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.ids = _Ids()
 
     def _forget(self) -> None:
-        kept = len(self.number) // 2
-        self.number = _Numbers(islice(self.number.items(), kept))
-        self.sizes = self.sizes[:kept]
-        self.flat = self.flat[: self.sizes.sum()]
+        self.number = _Numbers(islice(self.number.items(), len(self.number) // 2))
 
     def _chunks(self, text: bytes) -> list[bytes]:
         """Lower-cased first where the tokenizer would do it anyway and no added token could come of it."""
@@ -85,26 +110,24 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_chunk:
-            return self._library(texts)
+            ids, sizes = self._library(texts)
+            return np.split(ids, np.cumsum(sizes)[:-1]) if texts else []
         if len(self.number) > KNOWN_CHUNKS:
             self._forget()
         number, self.number.long = self.number, []
         known = len(number)
         parts = [self._chunks(t) for t in texts]
         lines = [np.fromiter(map(number.__getitem__, p), np.int64, len(p)) for p in parts]
-        fresh = self._library([*islice(number, known, None)])
-        self.flat = np.concatenate([self.flat, *fresh])
-        self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in fresh], np.int64)])
-        once = self._library(number.long)
-        flat = np.concatenate([self.flat, *once])
-        sizes = np.concatenate([self.sizes, np.array([len(x) for x in once], np.int64)])
-        starts = np.cumsum(sizes) - sizes
-        lines = [np.where(line < 0, len(number) - 1 - line, line) for line in lines]
-        return [flat[ragged(starts[line], sizes[line])] for line in lines]
-
-    def _library(self, texts: list[bytes]) -> list[np.ndarray]:
+        self.ids.put(known, *self._library([*islice(number, known, None)]))
+        self.ids.put(len(number), *self._library(number.long))
+        return [self.ids.of(np.where(line < 0, len(number) - 1 - line, line)) for line in lines]
+
+    def _library(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
         coded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(c.ids, np.uint32) for c in coded]
+        ids = [c.ids for c in coded]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
 
 @lru_cache(2)
