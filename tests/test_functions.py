@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from venuesieve import functions as fn
+from venuesieve.sources import canonicalize
 
 
 def apply(spark, column, values, kind="string"):
@@ -68,6 +69,23 @@ def test_cuisines(spark):
     ]
 
 
+def test_plain_and_odd_lists_split_alike(spark):
+    raw = ["A , b,  c d ,A", " , ,a b,,", "a  b , B\t,é", "x,y ", ",", " ", "q\x1c,ﬁ , fi", 'say "x",\\ ,', "\x7f, a"]
+    said = [[" ".join(unicodedata.normalize("NFKC", p).split()).lower() for p in t.split(",")] for t in raw]
+    assert apply(spark, fn.split_cuisines, raw) == [list(dict.fromkeys(p for p in parts if p)) for parts in said]
+
+
+def test_listings_fold_row_by_row(spark):
+    """Rows that NFKC changes, in one field or in several, beside rows that it leaves alone."""
+    names = ["domino's  pizza", "ﬁsh\u3000bar", "x²y", " \t", "7th street", "a\x1cb"]
+    rows = [(i, n, "ncr", m, f"{n} , {m},,{n}") for i, (n, m) in enumerate((n, m) for n in names for m in names)]
+    raw = spark.createDataFrame(rows, "pos bigint, name string, `listed_in(city)` string, location string, cuisines string")
+    spelt = lambda t: " ".join(unicodedata.normalize("NFKC", t).split())
+    for got, row in zip(canonicalize(raw).orderBy("pos").collect(), rows):
+        assert (got.name, got.city, got.neighborhood) == (spelt(row[1]).title(), "Delhi", spelt(row[3]))
+        assert got.cuisines == [t for t in dict.fromkeys(spelt(p).lower() for p in row[4].split(",")) if t]
+
+
 def test_wanted_tokens_keep_order_and_repeats(spark):
     raw = [[" Thai ", "", "thai", "ＰＩＺＺＡ"], [], None]
     assert apply(spark, fn.lower_tokens, raw, "array<string>") == [["thai", "thai", "pizza"], [], None]

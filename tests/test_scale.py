@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from venuesieve.operators import search
 from venuesieve.operators.search import relax_ladder
+from venuesieve.sources import canonicalize
+from venuesieve.sources.listings import has_required_fields
 from workload.queries import QUERIES, _raw_files
 from workload.tables import listing_raw, prefs_raw
 
@@ -38,3 +41,18 @@ def test_stream_files_grow_in_number(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_listings_pass_the_projection_once(spark, monkeypatch):
+    """A filter on names moved below their projection, which all rows then passed twice, Python included."""
+    plans = []
+
+    def stage(df, label):
+        plans.append(_plan(df))
+        return df
+
+    monkeypatch.setattr(search, "stage", stage)
+    listings = canonicalize(listing_raw(spark, DATA))
+    lean = search.Corpus(listings).lean
+    assert plans[0].count("ArrowEvalPython") == 1 and plans[0].count("initcap") == 2
+    assert lean.count() == listings.where(has_required_fields()).count() < listings.count()

@@ -64,7 +64,7 @@ def parse_cost_inr(text: Column) -> Column:
 
 def parse_int(text: Column) -> Column:
     s = ascii_digits(strip(text.cast("string")))
-    return F.when(s.rlike(_GROUPED_DIGITS), F.replace(s, F.lit("_"), F.lit(""))).otherwise(s).try_cast("bigint")
+    return F.when(s.contains("_") & s.rlike(_GROUPED_DIGITS), F.replace(s, F.lit("_"), F.lit(""))).otherwise(s).try_cast("bigint")
 
 
 def parse_votes(value: Column, numeric: bool = False) -> Column:

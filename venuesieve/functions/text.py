@@ -7,7 +7,7 @@ that NFKC could change are sent to an Arrow UDF, all others pass it as NULL and
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,8 +28,12 @@ CITY_ALIASES = {
     "bombay": "Mumbai",
 }
 
+# Text that may need more than its outer blanks removed holds one of these, or two blanks in a row.
+_UNUSUAL = "[^ -~]"
+
 _CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
 _WORD_START = rf"(?<=[^{_CASED} ])(?=[{_CASED}])"
+_ASCII_WORD_START = r"[!-@\[-`{-~][A-Za-z]"
 
 
 @lru_cache(maxsize=None)
@@ -72,10 +76,21 @@ def _folds():
             return s
         return s.map(lambda v: None if v is None else [None if p is None else normalize("NFKC", p) for p in v])
 
+    def fold_row(s: pd.Series) -> pd.Series:
+        from json import loads
+        from unicodedata import normalize
+
+        if not s.notna().any():
+            return s
+        # Python's words end at the characters of SPACE.
+        return s.map(lambda v: [" ".join(normalize("NFKC", p).split()) for p in loads(v)], na_action="ignore")
+
     return (
         F.pandas_udf(fold_text, "string"),
         F.pandas_udf(fold_parts, "array<string>"),
         F.pandas_udf(fold_each, "array<string>"),
+        # A filter on folded text is not to move below the fold, which would then run twice.
+        F.pandas_udf(fold_row, "array<string>").asNondeterministic(),
     )
 
 
@@ -102,13 +117,33 @@ def _nfkc_each(items: Column) -> Column:
     return F.coalesce(_folds()[2](F.when(unstable, items)), items)
 
 
+def nfkc_row(texts: list[Column], parts: Column) -> Column:
+    """Folded and squeezed: ``texts``, then the parts of a comma list, or NULL if NFKC changes none of them.
+
+    One UDF for a whole row. ``texts`` must not be NULL; a NULL list has no parts.
+    """
+    unstable = reduce(Column.__or__, [_unstable(t) for t in (*texts, F.coalesce(parts, F.lit("")))])
+    items = F.concat(F.array(*texts), F.coalesce(F.split(parts, ","), F.array().cast("array<string>")))
+    # As JSON: a column of lists costs ten times as much on its way to Python, even if all are NULL.
+    return _folds()[3](F.when(unstable, F.to_json(items)))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    trimmed = F.trim(text)
+    return F.when(trimmed.rlike("^[^!-~]|[^!-~]$"), F.regexp_replace(trimmed, f"^{SPACE}+|{SPACE}+$", "")).otherwise(
+        trimmed
+    )
+
+
+def _is_plain(trimmed: Column) -> Column:
+    """Printable ASCII whose words are one blank apart, as nearly all text is: the wide patterns find nothing in it."""
+    return ~(trimmed.contains("  ") | trimmed.rlike(_UNUSUAL))
 
 
 def squeeze(text: Column) -> Column:
     """Words joined by single spaces."""
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    trimmed = F.trim(text)
+    return F.when(_is_plain(trimmed), trimmed).otherwise(F.trim(F.regexp_replace(trimmed, f"{SPACE}+", " ")))
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -122,7 +157,9 @@ def title_case(text: Column) -> Column:
     Expects whitespace-normalised text. ``initcap`` only sees spaces, so each inner word start is marked with two
     spaces, which normalised text cannot hold, and the marks are removed afterwards.
     """
-    return F.replace(F.initcap(F.regexp_replace(text, _WORD_START, "  ")), F.lit("  "), F.lit(""))
+    starts = text.rlike(_ASCII_WORD_START) | text.rlike(_UNUSUAL)
+    marked = F.when(starts, F.regexp_replace(text, _WORD_START, "  ")).otherwise(text)
+    return F.replace(F.initcap(marked), F.lit("  "), F.lit(""))
 
 
 def city_of(text: Column) -> Column:
@@ -146,9 +183,17 @@ def tokens_of(parts: Column) -> Column:
     return F.coalesce(F.array_distinct(F.filter(tokens, lambda t: t != "")), F.array().cast("array<string>"))
 
 
+def split_tokens(text: Column, parts: Column) -> Column:
+    """``tokens_of(parts)``, the NFKC parts of a comma list; a plain list is split as a whole, without them."""
+    trimmed = F.trim(text)
+    closed = F.replace(F.replace(F.lower(trimmed), F.lit(" ,"), F.lit(",")), F.lit(", "), F.lit(","))
+    plain = F.array_distinct(F.array_remove(F.split(closed, ","), ""))
+    return F.when(_is_plain(trimmed), plain).otherwise(tokens_of(parts))
+
+
 def split_cuisines(text: Column) -> Column:
     """Comma list -> lower-case tokens, first occurrence of each; NULL or blank -> empty."""
-    return tokens_of(nfkc_parts(text))
+    return split_tokens(text, nfkc_parts(text))
 
 
 def split_free_text(text: Column) -> Column:

@@ -151,10 +151,11 @@ def _tokens(frame: DataFrame, key: str, token: str) -> DataFrame:
     return frame.select(key, F.explode(F.from_json(F.col(key), "array<string>")).alias(token))
 
 
-def _lean(listings: DataFrame) -> DataFrame:
-    """Usable listings: the searched columns, lower-cased, and what a result shows of a listing."""
-    return listings.where(has_required_fields()).select(
+def _searched(listings: DataFrame) -> DataFrame:
+    """The searched columns, lower-cased, what a result shows of a listing, and whether the listing is usable."""
+    return listings.select(
         "pos",
+        has_required_fields().alias("usable"),
         F.lower("city").alias("place_city"),
         F.lower("neighborhood").alias("hood"),
         F.lower(F.coalesce(F.col("raw_fields.address"), F.lit(""))).alias("address"),
@@ -166,6 +167,15 @@ def _lean(listings: DataFrame) -> DataFrame:
     )
 
 
+def _lean(listings: DataFrame) -> DataFrame:
+    """Usable listings, as searched and shown."""
+    return _usable(_searched(listings))
+
+
+def _usable(searched: DataFrame) -> DataFrame:
+    return searched.where("usable").drop("usable")
+
+
 def _requests(prefs: DataFrame, cfg: SearchConfig) -> tuple[DataFrame, DataFrame]:
     """(distinct requests, profile -> request), both staged. Profiles that ask the same are searched once."""
     asked = prefs.select(
@@ -295,7 +305,9 @@ class Corpus:
     """Usable listings in the form a search reads, staged once for any number of searches."""
 
     def __init__(self, listings: DataFrame):
-        self.lean = stage(_lean(listings), "lean")
+        # The filter runs on the staged flag: ahead of the stage Spark would move it below the projection of names and
+        # cities, which every row would then pass twice, in one method too long for the JVM to compile.
+        self.lean = _usable(stage(_searched(listings), "lean"))
 
 
 class ProfileSearch:

@@ -78,28 +78,30 @@ def canonicalize(raw: DataFrame, config: IngestConfig = IngestConfig()) -> DataF
     raw = conform(raw, config.strict_columns)
     votes_numeric = not isinstance(raw.schema["votes"].dataType, T.StringType)
 
-    def words(name: str) -> Column:
-        return text.nfkc(F.coalesce(_raw(name).cast("string"), F.lit("")))
+    words = {"name": "name", "city": CITY, "neighborhood": "location"}
+    as_read = [F.coalesce(_raw(c).cast("string"), F.lit("")) for c in words.values()]
+    listed = _raw("cuisines").cast("string")
 
     # Each step names what the next one uses more than once, so that nothing is computed twice.
     folded = raw.select(
         "pos",
-        words("name").alias("name"),
-        words(CITY).alias("city"),
-        words("location").alias("neighborhood"),
-        text.nfkc_parts(_raw("cuisines")).alias("cuisines"),
+        *[text.squeeze(c).alias(name) for c, name in zip(as_read, words)],
+        listed.alias("cuisines"),
+        text.nfkc_row(as_read, listed).alias("folded"),
         parse.number_text(_raw("rate")).alias("rate"),
         parse.parse_cost_inr(_raw(COST)).alias("cost_for_two"),
         parse.parse_votes(_raw("votes"), votes_numeric).alias("votes"),
         F.struct(*[_raw(c).cast("string").alias(c) for c in PASSTHROUGH]).alias("raw_fields"),
     )
-    squeezed = folded.withColumns({c: text.squeeze(F.col(c)) for c in ("name", "city", "neighborhood")})
-    cleaned = squeezed.select(
+    spelled = {c: F.coalesce(F.col("folded")[i], F.col(c)) for i, c in enumerate(words)}
+    parts = F.coalesce(F.slice("folded", len(words) + 1, F.size("folded")), F.split("cuisines", ","))
+    spelt = folded.withColumns(spelled | {"cuisines": text.split_tokens(F.col("cuisines"), parts)})
+    cleaned = spelt.select(
         "pos",
         text.title_case(F.col("name")).alias("name"),
         text.city_of(F.col("city")).alias("city"),
         "neighborhood",
-        text.tokens_of(F.col("cuisines")).alias("cuisines"),
+        "cuisines",
         parse.rating_of(F.col("rate")).alias("rating"),
         "cost_for_two",
         "votes",
