@@ -2,6 +2,7 @@
 
 import cProfile
 import pstats
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -203,6 +204,20 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((codes[0] == codes[1]).mean() - true) < 0.05 and not codes[2].any()
 
 
+def test_few_texts_are_signed_at_a_time():
+    """All darts of a block of short texts at once took some 15 KB a text."""
+    how = near_dup.Darts()
+    texts = [f"a{i} b{i // 2} c{i // 3} d e f" if i % 7 else None for i in range(12_000)]
+    sets = near_dup.shingles(texts, how.words)
+    tracemalloc.start()
+    bands = near_dup._bands(*sets, len(texts), how)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    some = near_dup.shingles(texts[5_000:5_010], how.words)
+    assert (near_dup._bands(*some, 10, how) == bands[5_000:5_010]).all()
+
+
 def test_vectors_are_scaled_together():
     """One Python number a component and a few calls a row made the cosines' tasks some forty times as dear."""
     rows = np.random.default_rng(3).normal(size=(2000, 8)) * 10.0 ** np.arange(-4, 4)

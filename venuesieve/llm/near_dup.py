@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, ragged, stage, whole
 
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
+SIGN_TEXTS = 1024
 FEW = 64
 BLOCK_TEXTS = 1024
 WORD = r"(?U)\S"
@@ -136,6 +137,25 @@ def _thrown(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, cut_at:
     return np.concatenate(text), np.concatenate(ranks), np.concatenate(darts)
 
 
+def _bands(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, how: Darts) -> np.ndarray:
+    """(n, bands) hashes of the signatures' bands.
+
+    A set throws some k log k darts however short its text, so few texts are signed at a time: the darts of a block of
+    short texts would fill a task's memory. ``owner`` ascends.
+    """
+    out = np.empty((n, how.bands), np.uint64)
+    for first in range(0, n, SIGN_TEXTS):
+        last = min(n, first + SIGN_TEXTS)
+        a, b = np.searchsorted(owner, [first, last])
+        codes = signatures(owner[a:b] - first, element[a:b], weight[a:b], last - first, how)
+        codes = codes.reshape(last - first, how.bands, how.rows)
+        bands = np.arange(how.bands, dtype=np.uint64) + np.uint64(1)
+        for r in range(how.rows):
+            bands = _mix(bands * np.uint64(0x9E3779B97F4A7C15) + codes[:, :, r])
+        out[first:last] = bands
+    return out
+
+
 def near_texts(
     df: DataFrame, threshold: float = 0.8, how: Darts = Darts(), key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -305,13 +325,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def _sign(how: Darts):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in cut(batches, "text", BATCH_CHARS):
-            owner, element, weight = shingles(rows["text"], how.words)
-            n = len(rows["t"])
-            codes = signatures(owner, element, weight, n, how).reshape(n, how.bands, how.rows)
-            bands = np.broadcast_to(np.arange(how.bands, dtype=np.uint64) + np.uint64(1), (n, how.bands))
-            for r in range(how.rows):
-                bands = _mix(bands * np.uint64(0x9E3779B97F4A7C15) + codes[:, :, r])
-            some = np.flatnonzero(np.bincount(owner, minlength=n))
+            sets = shingles(rows["text"], how.words)
+            bands = _bands(*sets, len(rows["t"]), how)
+            some = np.unique(sets[0])
             kept = bands[some].view(np.int64)
             offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * how.bands)
             yield pa.RecordBatch.from_arrays(
