@@ -95,6 +95,24 @@ def test_profile_stream_stages_the_corpus_once(spark, tmp_path, monkeypatch):
     assert report == {1: "deterministic_fallback", 3: "none"}
 
 
+def test_profiles_of_one_file_are_many_tasks(spark, tmp_path, monkeypatch):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "pref_id bigint, budget_for_two_inr string, cuisines array<string>, min_rating double"
+    spark.createDataFrame([(i, "900", [], 0.0) for i in range(400)], schema).coalesce(1).write.parquet(source)
+    split, parts = recommend.split_preferences, []
+
+    def watched(batch):
+        parts.append(batch.rdd.getNumPartitions())
+        return split(batch)
+
+    monkeypatch.setattr(recommend, "split_preferences", watched)
+    listings = spark.createDataFrame([listing(1, "Place 1", rating=4.0, cost=100)], CANONICAL)
+    live = spark.readStream.schema(schema).parquet(source)
+    recommend.recommend_stream(live, listings, target, state).awaitTermination()
+    assert parts == [spark.sparkContext.defaultParallelism]
+    assert spark.read.parquet(target).count() == 400
+
+
 def test_cache_comes_before_stream_and_stream_before_batch(spark, tmp_path):
     source, cache, target, state = (str(tmp_path / n) for n in ("in", "cache", "out", "state"))
     raw = spark.createDataFrame(ROWS, COLUMNS)

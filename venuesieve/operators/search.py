@@ -213,10 +213,8 @@ class _Places:
     by_address: DataFrame  # address, q
 
 
-def _match_places(lean: DataFrame, requests: DataFrame) -> _Places:
-    spark = lean.sparkSession
-    located = lean.where(F.col("hood") != "")
-    places = located.select("place_city", "hood").distinct()
+def _match_places(corpus: Corpus, requests: DataFrame) -> _Places:
+    spark, places = requests.sparkSession, corpus.places
     names = places.select(F.explode(F.array("place_city", "hood")).alias("place_name")).distinct()
     locations, names = together(
         spark,
@@ -230,18 +228,18 @@ def _match_places(lean: DataFrame, requests: DataFrame) -> _Places:
         return stage(pairs.join(touching, "place_name").select("place_city", "hood", "q").distinct(), "by-place")
 
     def by_address() -> DataFrame:
-        addresses = located.select(F.col("address").alias("haystack")).distinct()
+        addresses = corpus.addresses.withColumnRenamed("address", "haystack")
         pairs = containment_pairs(locations.withColumnRenamed("q", "needle"), addresses)
         return stage(pairs.select(F.col("haystack").alias("address"), F.col("needle").alias("q")), "by-address")
 
     return _Places(*together(spark, by_place, by_address))
 
 
-def _match_tokens(lean: DataFrame, requests: DataFrame) -> DataFrame:
+def _match_tokens(tag_lists: DataFrame, requests: DataFrame) -> DataFrame:
     """(want, c): listed cuisine tokens that satisfy a wanted list."""
     wants = requests.select("want").union(requests.select("prime")).distinct()
     wanted = _tokens(wants, "want", "w")
-    listed = _tokens(lean.select("tags").distinct(), "tags", "c").select("c").distinct()
+    listed = _tokens(tag_lists, "tags", "c").select("c").distinct()
     pairs = touching_pairs(wanted.select("w").distinct(), listed, "w", "c")
     return stage(wanted.join(pairs, "w").select("want", "c").distinct(), "want-tokens")
 
@@ -257,7 +255,8 @@ def _scoped(lean: DataFrame, places: _Places, shrink, scopes: DataFrame) -> Data
     asked = scopes.where(F.col("scope") == "place").select("q")
     by_place = places.by_place.join(asked, "q", "left_semi")
     by_address = places.by_address.join(asked, "q", "left_semi")
-    at_place = shrink(located, ["place_city", "hood"]).join(by_place, ["place_city", "hood"])
+    at_asked = located.join(by_place.select("place_city", "hood").distinct(), ["place_city", "hood"], "left_semi")
+    at_place = shrink(at_asked, ["place_city", "hood"]).join(by_place, ["place_city", "hood"])
     at_address = located.join(by_address, "address").join(by_place, ["place_city", "hood", "q"], "left_anti")
     # A usable listing belongs to "any", and to "blank" as well if it has no neighborhood.
     own = F.when(blank, F.array(F.lit("any"), F.lit("blank"))).otherwise(F.array(F.lit("any")))
@@ -302,12 +301,20 @@ def _ask(questions: DataFrame, strict: Column) -> DataFrame:
 
 
 class Corpus:
-    """Usable listings in the form a search reads, staged once for any number of searches."""
+    """Usable listings in the form a search reads, and their distinct places, addresses and cuisine lists, staged once for
+    any number of searches."""
 
     def __init__(self, listings: DataFrame):
         # The filter runs on the staged flag: ahead of the stage Spark would move it below the projection of names and
         # cities, which every row would then pass twice, in one method too long for the JVM to compile.
         self.lean = _usable(stage(_searched(listings), "lean"))
+        located = self.lean.where(F.col("hood") != "")
+        self.places, self.addresses, self.tag_lists = together(
+            listings.sparkSession,
+            lambda: stage(located.select("place_city", "hood").distinct(), "places"),
+            lambda: stage(located.select("address").distinct(), "addresses"),
+            lambda: stage(self.lean.select("tags").distinct(), "tag-lists"),
+        )
 
 
 class ProfileSearch:
@@ -328,8 +335,8 @@ class ProfileSearch:
         self.lean = corpus.lean
         self.places, self.want_tokens, self.groups = together(
             spark,
-            lambda: _match_places(self.lean, self.requests),
-            lambda: _match_tokens(self.lean, self.requests),
+            lambda: _match_places(corpus, self.requests),
+            lambda: _match_tokens(corpus.tag_lists, self.requests),
             self._groups,
         )
         self.cells, self.totals = self._cells()

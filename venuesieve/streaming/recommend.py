@@ -13,7 +13,7 @@ from ..operators.prefs import split_preferences
 from ..operators.search import Corpus
 from ..plans.recommend import Recommender
 from ..sources.cache import newest, read_canonical
-from ..sources.staging import scratch
+from ..sources.staging import scratch, stage, together
 
 
 @dataclass
@@ -56,13 +56,20 @@ def recommend_stream(
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         name, corpus = (None, fixed) if fixed else listings.now()
-        with scratch(batch.sparkSession):
-            usable, rejected = split_preferences(batch)
+        spark = batch.sparkSession
+
+        def write(table: DataFrame, where: str) -> None:
+            if name and where != "-rejected":
+                table = table.withColumn("snapshot", F.lit(name))
+            table.write.mode("overwrite").parquet(f"{path}{where}/batch={batch_id}")
+
+        with scratch(spark):
+            # A batch of few files would be few tasks, each time it is read.
+            spread = stage(batch.repartition(spark.sparkContext.defaultParallelism), "batch")
+            usable, rejected = split_preferences(spread)
             result = Recommender(usable, corpus, None, search_config, answer_config)
-            for table, where in ((rejected, "-rejected"), (result.items(), ""), (result.report(), "-report")):
-                if name and where != "-rejected":
-                    table = table.withColumn("snapshot", F.lit(name))
-                table.write.mode("overwrite").parquet(f"{path}{where}/batch={batch_id}")
+            together(spark, lambda: write(rejected, "-rejected"), lambda: result.search.stops())
+            together(spark, lambda: write(result.items(), ""), lambda: write(result.report(), "-report"))
 
     return (
         raw_prefs.writeStream.foreachBatch(answer)

@@ -509,7 +509,7 @@ def recommend_stream_live(spark: SparkSession, d: str) -> DataFrame:
     names, corpus, raw = {}, LiveCorpus(spark, cache), prefs_raw(spark, d)
     for name, kept, who in (("first", F.col("pos") % 3 != 0, 0), ("second", F.lit(True), 1)):
         names[name] = publish(listings.where(kept), cache).snapshot
-        raw.where(F.col("pref_id") % 2 == who).coalesce(1).write.mode("append").parquet(source)
+        raw.where(F.col("pref_id") % 2 == who).write.mode("append").parquet(source)
         live = spark.readStream.schema(raw.schema).parquet(source)
         start_recommend_stream(live, corpus, target, state, CFG).awaitTermination()
     told = F.when(F.col("snapshot") == names["first"], "first").when(F.col("snapshot") == names["second"], "second")
