@@ -56,20 +56,32 @@ def answer_limits(prefs: DataFrame, cfg: AnswerConfig = AnswerConfig()) -> DataF
     return prefs.select("pref_id", k.alias("top_k"), token_budget(k, cfg).alias("max_tokens"))
 
 
-def pack_candidates(candidates: DataFrame) -> DataFrame:
-    """Per profile, its candidates as one array in rank order. The search has capped them."""
+def pack_candidates(candidates: DataFrame, key: str = "pref_id") -> DataFrame:
+    """Per profile (or ``key``), its candidates as one array in rank order. The search has capped them."""
     item = F.struct("cand_pos", *CANDIDATE_FIELDS)
-    packed = candidates.groupBy("pref_id").agg(F.sort_array(F.collect_list(item)).alias("packed"))
+    packed = candidates.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("packed"))
     bare = F.transform("packed", lambda c: F.struct(*[c[f].alias(f) for f in CANDIDATE_FIELDS]))
-    return packed.select("pref_id", bare.alias("candidates"))
+    return packed.select(key, bare.alias("candidates"))
 
 
-def build_prompts(
-    prefs: DataFrame, candidates: DataFrame, cfg: AnswerConfig, relaxations: DataFrame
-) -> DataFrame:
+def _json(c: Column) -> Column:
+    return F.coalesce(F.to_json(c, {"ignoreNullFields": "false"}), F.lit("null"))
+
+
+def shortlists(found: DataFrame, relaxations: DataFrame) -> DataFrame:
+    """``req, relaxed, offered``: what all profiles of a request are told, as JSON that is written once for all of them.
+
+    ``found`` are the candidates of each request (``ProfileSearch.found``); ``relaxations`` (``req, relaxations``) tells
+    which wishes they need not meet.
+    """
+    packed = pack_candidates(found, "req").join(relaxations.select("req", "relaxations"), "req")
+    return packed.select("req", _json(F.col("relaxations")).alias("relaxed"), _json(F.col("candidates")).alias("offered"))
+
+
+def build_prompts(prefs: DataFrame, profiles: DataFrame, offers: DataFrame, cfg: AnswerConfig) -> DataFrame:
     """``pref_id, system, user, model, temperature, max_tokens`` for every profile that has candidates.
 
-    ``relaxations`` (``pref_id, relaxations``) tells the model which wishes the candidates need not meet.
+    ``profiles`` (``pref_id, req``) names each profile's request, ``offers`` are the ``shortlists`` of the requests.
     """
     k = resolve_top_k(F.col("top_k"), cfg)
     before, after = _TASK.format(k="\0").split("\0")
@@ -82,15 +94,25 @@ def build_prompts(
         "min_rating",
         F.nullif("extras", F.lit("")).alias("extras"),
     )
+    instructions = F.concat(F.lit(before), k.cast("string"), F.lit(after)).alias("instructions")
     asked = prefs.select(
         "pref_id",
-        wishes.alias("user_preferences"),
-        F.concat(F.lit(before), k.cast("string"), F.lit(after)).alias("instructions"),
+        F.struct(wishes.alias("user_preferences")).alias("head"),
+        F.struct(instructions).alias("tail"),
         token_budget(k, cfg).alias("max_tokens"),
     )
-    body = F.to_json(F.struct("user_preferences", "relaxed", "candidates", "instructions"), {"ignoreNullFields": "false"})
-    relaxed = relaxations.select("pref_id", F.col("relaxations").alias("relaxed"))
-    return asked.join(pack_candidates(candidates), "pref_id").join(relaxed, "pref_id").select(
+    # One object: the head without its closing brace, the tail without its opening one.
+    head, tail = _json(F.col("head")), F.substr(_json(F.col("tail")), F.lit(2))
+    body = F.concat(
+        F.substr(head, F.lit(1), F.length(head) - 1),
+        F.lit(',"relaxed":'),
+        "relaxed",
+        F.lit(',"candidates":'),
+        "offered",
+        F.lit(","),
+        tail,
+    )
+    return asked.join(profiles, "pref_id").join(offers, "req").select(
         "pref_id",
         F.lit(SYSTEM).alias("system"),
         body.alias("user"),

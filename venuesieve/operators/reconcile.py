@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,13 +71,16 @@ def reconcile(entries: DataFrame, candidates: DataFrame, limits: DataFrame) -> D
     )
 
 
-def fall_back(candidates: DataFrame, limits: DataFrame) -> DataFrame:
-    """The first candidates as they are ranked; ids may repeat."""
+def fall_back(candidates: DataFrame, limits: DataFrame, key: str = "pref_id", shown: Sequence[str] = ()) -> DataFrame:
+    """The first candidates as they are ranked, with their columns ``shown``; ids may repeat.
+
+    Candidates may be those of requests: ``limits`` then has the profiles' ``key`` beside ``pref_id`` and ``top_k``.
+    """
     return (
-        candidates.join(limits, "pref_id")
+        candidates.join(limits, key)
         .where(F.col("cand_pos") <= F.col("top_k"))
         .select(
-            "pref_id", F.col("cand_pos").alias("rank"), "cand_pos", F.lit(WHY_FALLBACK).alias("explanation")
+            "pref_id", F.col("cand_pos").alias("rank"), "cand_pos", F.lit(WHY_FALLBACK).alias("explanation"), *shown
         )
     )
 

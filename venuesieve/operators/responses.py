@@ -82,14 +82,26 @@ def _field(v: Column, name: str) -> Column:
     return F.when(~F.is_variant_null(got), got)
 
 
+def _once(c: Column) -> Column:
+    """``c``, worked out once a row: Spark moves no filter below a column that counts rows, so a filter that names ``c``
+    several times does not work it out as often."""
+    return F.get(F.array(c), F.least(F.lit(0).cast("bigint"), F.monotonically_increasing_id()).cast("int"))
+
+
 def _kind(v: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "(", 1), "<", 1)
+
+
+def _is_object(v: Column) -> Column:
+    """Without the types of all that it holds."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def _as_text(v: Column) -> Column:
     """Strings as they are, truth values as True and False, numbers and anything nested as JSON."""
     plain = F.try_variant_get(v, "$", "string")
-    return F.coalesce(F.when(_kind(v) == "BOOLEAN", F.initcap(plain)).otherwise(plain), F.to_json(v))
+    truth = plain.isin("true", "false") & (_kind(v) == "BOOLEAN")
+    return F.coalesce(F.when(truth, F.initcap(plain)).otherwise(plain), F.to_json(v))
 
 
 def _is_nothing(v: Column) -> Column:
@@ -119,41 +131,43 @@ def read_answers(responses: DataFrame) -> DataFrame:
     its raw entries as an array of VARIANT. An entry ranked beyond all numbers makes the answer unusable."""
     model = F.col("model") if "model" in responses.columns else F.lit(None).cast("string")
     parsed = responses.select(
-        "pref_id", model.alias("model"), F.try_parse_json(_strip_fence(F.col("raw"))).alias("v")
+        "pref_id", model.alias("model"), _once(F.try_parse_json(_strip_fence(F.col("raw")))).alias("v")
     )
     fields = parsed.select(
         "pref_id",
         "model",
-        (F.col("v").isNotNull() & (_kind(F.col("v")) == "OBJECT")).alias("is_object"),
+        (F.col("v").isNotNull() & _is_object(F.col("v"))).alias("is_object"),
         _field(F.col("v"), "summary").alias("summary"),
         _field(F.col("v"), "recommendations").alias("listed"),
     )
-    listed_ok = F.col("listed").isNull() | (_kind(F.col("listed")) == "ARRAY")
-    entries = F.try_variant_get("listed", "$", "array<variant>")
-    endless = F.coalesce(F.exists(entries, _ranked_endless), F.lit(False))
-    return fields.select(
+    # Of the kinds of values only a list reads as one.
+    entries = fields.withColumn("entries", F.try_variant_get("listed", "$", "array<variant>"))
+    listed_ok = F.col("listed").isNull() | F.col("entries").isNotNull()
+    endless = F.coalesce(F.exists("entries", _ranked_endless), F.lit(False))
+    return entries.select(
         "pref_id",
-        F.coalesce(F.col("is_object") & listed_ok & ~endless, F.lit(False)).alias("ok"),
+        _once(F.coalesce(F.col("is_object") & listed_ok & ~endless, F.lit(False))).alias("ok"),
         _as_text(F.col("summary")).alias("summary"),
         "model",
-        entries.alias("entries"),
+        "entries",
     )
 
 
 def _ranked_endless(e: Column) -> Column:
     rank = _field(e, "rank")
-    size = F.abs(F.try_variant_get(rank, "$", "double"))
+    endless = F.abs(F.try_variant_get(e, "$.rank", "double")) == float("inf")
     named = _field(e, "restaurant_id").isNotNull()
-    return F.coalesce(named & _kind(rank).isin(*_FRACTIONS) & (size == float("inf")), F.lit(False))
+    return F.coalesce(F.when(endless, named & _kind(rank).isin(*_FRACTIONS)), F.lit(False))
 
 
 def parse_entries(answers: DataFrame) -> DataFrame:
     """``pref_id, arr_pos, rank, restaurant_id, explanation`` of usable answers. Order: rank, then arr_pos."""
     entries = answers.where("ok").select("pref_id", F.posexplode("entries").alias("arr_pos", "e"))
-    fields = entries.where(F.col("e").isNotNull() & (_kind(F.col("e")) == "OBJECT")).select(
+    # Only an object has a field, so what has none of that name, object or not, ends at the filter on ``ref``.
+    fields = entries.select(
         "pref_id",
         "arr_pos",
-        _field(F.col("e"), "restaurant_id").alias("ref"),
+        _once(_field(F.col("e"), "restaurant_id")).alias("ref"),
         _field(F.col("e"), "rank").alias("rank"),
         _field(F.col("e"), "explanation").alias("why"),
     )

@@ -34,7 +34,7 @@ from ..sources.listings import has_required_fields
 from ..sources.staging import stage, together
 from .containment import containment_pairs, touching_pairs
 from .dominance import count_dominated, keep_first, kth_cost, top_within_cap
-from .prefix import cut_points
+from .prefix import bucket_of, cut_points
 
 # Labels of the ladder steps.
 DROP_LOCATION = "removed_location_filter"
@@ -247,9 +247,9 @@ def _match_tokens(tag_lists: DataFrame, requests: DataFrame) -> DataFrame:
 # --- search groups --------------------------------------------------------------------------------------------------
 
 
-def _scoped(lean: DataFrame, places: _Places, shrink, scopes: DataFrame) -> DataFrame:
+def _scoped(lean: DataFrame, places: _Places, shrink, scopes: DataFrame, prune=lambda rows: rows) -> DataFrame:
     """Listings of the wanted scopes, as (scope, q, tags, ...). ``shrink`` reduces rows that agree on its key columns
-    before a place hands them to all locations that match it."""
+    before a place hands them to all locations that match it; ``prune`` drops rows as soon as their scope is known."""
     blank = F.col("hood") == ""
     located = lean.where(~blank)
     asked = scopes.where(F.col("scope") == "place").select("q")
@@ -261,10 +261,11 @@ def _scoped(lean: DataFrame, places: _Places, shrink, scopes: DataFrame) -> Data
     # A usable listing belongs to "any", and to "blank" as well if it has no neighborhood.
     own = F.when(blank, F.array(F.lit("any"), F.lit("blank"))).otherwise(F.array(F.lit("any")))
     fixed = lean.withColumns({"scope": F.explode(own), "q": F.lit("")}).join(scopes, ["scope", "q"], "left_semi")
+    place = F.lit("place")
     parts = [
-        shrink(fixed, ["scope", "q"]),
-        at_place.drop("place_city", "hood").withColumn("scope", F.lit("place")),
-        shrink(at_address, ["q"]).withColumn("scope", F.lit("place")),
+        shrink(prune(fixed), ["scope", "q"]),
+        prune(at_place.drop("place_city", "hood").withColumn("scope", place)),
+        shrink(prune(at_address.withColumn("scope", place)), ["scope", "q"]),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -362,6 +363,7 @@ class ProfileSearch:
 
         scopes = self.groups.select("scope", "q").distinct()
         scoped = stage(_scoped(self.lean, self.places, weigh, scopes), "scoped")
+        self.scoped = scoped
         self.matches = stage(_group_matches(scoped, self.groups, self.want_tokens), "matches")
         cells = (
             scoped.join(self.matches, ["scope", "q", "tags"])
@@ -508,6 +510,30 @@ class ProfileSearch:
     def relaxations(self) -> DataFrame:
         return self.profiles.join(self.stops().select("req", "stop", "relaxations"), "req").drop("req")
 
+    def _floors(self, parts: list, k: int) -> DataFrame:
+        """(scope, q, tags, floors), where ``floors`` gives for a part of the costs the rating that ``k`` listings in the
+        parts below it reach, if there are as many.
+
+        A listing rated lower has ``k`` before it whatever the cap, so it answers no question.
+        """
+        key = ["scope", "q", "tags"]
+        rated = self.scoped.where((F.col("cost") <= self._reach) & F.col("rating").isNotNull())
+        summed = rated.groupBy(*key, bucket_of("cost", parts).alias("part"), "rating").agg(F.sum("n").alias("n"))
+        above = summed.where(F.col("part") < len(parts)).withColumn(
+            "part", F.explode(F.sequence(F.col("part") + 1, F.lit(len(parts))))
+        )
+        better = W.partitionBy(*key, "part").orderBy(F.col("rating").desc())
+        reached = (
+            above.groupBy(*key, "part", "rating")
+            .agg(F.sum("n").alias("n"))
+            .withColumn("upto", F.sum("n").over(better))
+            .where(F.col("upto") >= k)
+            .groupBy(*key, "part")
+            .agg(F.max("rating").alias("floor"))
+        )
+        floors = F.map_from_entries(F.collect_list(F.struct("part", "floor"))).alias("floors")
+        return stage(reached.groupBy(*key).agg(floors), "floors")
+
     def _ranked(self) -> DataFrame:
         """Per request: its first ``max_candidates`` listings, as (req, cand_pos, pos)."""
         order = [F.col("rating").desc(), F.col("rank_votes").desc(), F.col("lname"), F.col("pos")]
@@ -521,7 +547,16 @@ class ProfileSearch:
             return keep_first(slim, [*keys, "tags", "cost"], order, k)
 
         rated = self.lean.where((F.col("cost") <= self._reach) & F.col("rating").isNotNull())
-        scoped = _scoped(rated, self.places, trim, groups.select("scope", "q").distinct())
+        # Parts that double: of every part but the first, as many listings as it holds lie below it.
+        parts = [self._cuts[2**i - 1] for i in range(6) if 2**i <= len(self._cuts)]
+        floors = self._floors(parts, max(1, k))
+
+        def prune(rows: DataFrame) -> DataFrame:
+            floor = F.try_element_at("floors", bucket_of("cost", parts))
+            met = rows.join(floors, ["scope", "q", "tags"], "left")
+            return met.where(F.coalesce(F.col("rating") >= floor, F.lit(True))).drop("floors")
+
+        scoped = _scoped(rated, self.places, trim, groups.select("scope", "q").distinct(), prune)
         matches = self.matches.join(groups, _ID, "left_semi")
         rows = scoped.join(matches, ["scope", "q", "tags"]).drop("scope", "q", "tags")
         costs = self._priced.join(groups, _ID, "left_semi").select(*_ID, "cost")
@@ -539,12 +574,17 @@ class ProfileSearch:
             .select("req", F.col("cand_pos").cast("int").alias("cand_pos"), "pos")
         )
 
-    def candidates(self) -> DataFrame:
-        """Per profile: the capped, ranked listings of the last pass.
+    @cached_property
+    def found(self) -> DataFrame:
+        """Per request: the capped, ranked listings of the last pass, staged.
 
         What is shown of a listing is fetched once, however many requests list it.
         """
         ranked = stage(self._ranked(), "ranked")
         shown = self.lean.select("pos", *_PAYLOAD).join(ranked.select("pos").distinct(), "pos", "left_semi")
         found = ranked.join(stage(shown, "shown"), "pos")
-        return self.profiles.join(found, "req").select("pref_id", "cand_pos", "pos", *_PAYLOAD)
+        return stage(found.select("req", "cand_pos", "pos", *_PAYLOAD), "found")
+
+    def candidates(self) -> DataFrame:
+        """Per profile: the listings that its request found."""
+        return self.profiles.join(self.found, "req").select("pref_id", "cand_pos", "pos", *_PAYLOAD)

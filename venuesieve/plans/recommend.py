@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AnswerConfig, SearchConfig
-from ..operators.prompts import PROMPT_VERSION, answer_limits, build_prompts
+from ..operators.prompts import PROMPT_VERSION, answer_limits, build_prompts, shortlists
 from ..operators.reconcile import fall_back, grounding_violations, reconcile, resolve
 from ..operators.responses import parse_entries, read_answers
 from ..operators.search import Corpus, ProfileSearch
@@ -70,7 +70,8 @@ class Recommender:
         return answer_limits(self.prefs, self.answer_config).select("pref_id", "top_k")
 
     def prompts(self) -> DataFrame:
-        return build_prompts(self.prefs, self.candidates, self.answer_config, self.search.relaxations())
+        offers = shortlists(self.search.found, self.search.stops())
+        return build_prompts(self.prefs, self.search.profiles, offers, self.answer_config)
 
     @cached_property
     def _answers(self) -> DataFrame | None:
@@ -79,13 +80,15 @@ class Recommender:
     def items(self) -> DataFrame:
         """One row per recommendation, ranks counting from 1."""
         if self._answers is None:
-            picks = fall_back(self.candidates, self.limits)
-        else:
-            usable = self._answers.where("ok").select("pref_id")
-            answered = self.limits.join(usable, "pref_id", "left_semi")
-            unanswered = self.limits.join(usable, "pref_id", "left_anti")
-            grounded = reconcile(parse_entries(self._answers), self.candidates, answered)
-            picks = grounded.unionByName(fall_back(self.candidates, unanswered))
+            # Straight from what the requests found: no table of candidates by profile, and none to look them up in.
+            limits = self.search.profiles.join(self.limits, "pref_id")
+            shown = [c for c in ITEM_COLUMNS if c not in ("pref_id", "rank", "explanation")]
+            return fall_back(self.search.found, limits, "req", shown).select(*ITEM_COLUMNS)
+        usable = self._answers.where("ok").select("pref_id")
+        answered = self.limits.join(usable, "pref_id", "left_semi")
+        unanswered = self.limits.join(usable, "pref_id", "left_anti")
+        grounded = reconcile(parse_entries(self._answers), self.candidates, answered)
+        picks = grounded.unionByName(fall_back(self.candidates, unanswered))
         return picks.join(self.candidates, ["pref_id", "cand_pos"]).select(*ITEM_COLUMNS)
 
     def violations(self) -> DataFrame:
