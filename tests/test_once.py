@@ -81,3 +81,32 @@ def test_listings_that_answer_no_question_are_dropped_early(spark, monkeypatch):
         assert got.get(p[0], []) == expected(p, rows, cfg)[-1], p
     # Twice the 600 of the place, as the scope of all listings holds them too, and twice the 60 without a neighborhood.
     assert reached[0] < (2 * 600 + 2 * 48) / 3
+
+
+def test_a_corpus_is_counted_once_and_places_drop_listings_early(spark, monkeypatch):
+    rows = [listing(i, hood="Goa" if i % 3 else "Goa Road", rating=5.0 - i % 40 / 10, cost=100 + i) for i in range(600)]
+    asked = [profile(i, "goa", 60 + 31 * i, (), i % 11 / 2) for i in range(24)]
+    labels, trimmed = [], []
+    first = search_module.keep_first
+
+    def noted(df, label):
+        labels.append(label)
+        return staging.stage(df, label)
+
+    def counted(rows, partition, *rest):
+        if "place_city" in partition:
+            trimmed.append(rows.count())
+        return first(rows, partition, *rest)
+
+    monkeypatch.setattr(search_module, "stage", noted)
+    monkeypatch.setattr(search_module, "keep_first", counted)
+    corpus = search_module.Corpus(spark.createDataFrame(rows, CANONICAL))
+    for batch in (asked[:12], asked[12:]):
+        search = ProfileSearch(spark.createDataFrame(batch, PREFS), corpus, SearchConfig(max_candidates=5))
+        got = {}
+        for r in search.candidates().orderBy("pref_id", "cand_pos").collect():
+            got.setdefault(r.pref_id, []).append(r.pos)
+        for p in batch:
+            assert got.get(p[0], []) == expected(p, rows, search.cfg)[-1], p
+    assert labels.count("counts") == 1 and labels.count("scoped") == 2
+    assert len(trimmed) == 2 and max(trimmed) < 600 / 2

@@ -46,6 +46,8 @@ RATING_SLACK = 1e-9
 _LOWEST = float("-inf")
 _NO_WANT = "[]"
 _GROUP = ["scope", "q", "want"]
+_PLACE = ["place_city", "hood"]
+_CELL = ["tags", "cost", "rating"]
 _ID = ["gid"]  # a group's number, which travels in place of its three strings
 
 _PAYLOAD = ["id", "name", "city", "neighborhood", "cuisines", "rating", "cost_for_two", "cost_tier", "votes"]
@@ -247,27 +249,34 @@ def _match_tokens(tag_lists: DataFrame, requests: DataFrame) -> DataFrame:
 # --- search groups --------------------------------------------------------------------------------------------------
 
 
-def _scoped(lean: DataFrame, places: _Places, shrink, scopes: DataFrame, prune=lambda rows: rows) -> DataFrame:
-    """Listings of the wanted scopes, as (scope, q, tags, ...). ``shrink`` reduces rows that agree on its key columns
-    before a place hands them to all locations that match it; ``prune`` drops rows as soon as their scope is known."""
-    blank = F.col("hood") == ""
-    located = lean.where(~blank)
+def _asked_places(places: _Places, scopes: DataFrame) -> _Places:
+    """The matches of those locations that are among the wanted scopes."""
     asked = scopes.where(F.col("scope") == "place").select("q")
-    by_place = places.by_place.join(asked, "q", "left_semi")
-    by_address = places.by_address.join(asked, "q", "left_semi")
-    at_asked = located.join(by_place.select("place_city", "hood").distinct(), ["place_city", "hood"], "left_semi")
-    at_place = shrink(at_asked, ["place_city", "hood"]).join(by_place, ["place_city", "hood"])
-    at_address = located.join(by_address, "address").join(by_place, ["place_city", "hood", "q"], "left_anti")
-    # A usable listing belongs to "any", and to "blank" as well if it has no neighborhood.
-    own = F.when(blank, F.array(F.lit("any"), F.lit("blank"))).otherwise(F.array(F.lit("any")))
-    fixed = lean.withColumns({"scope": F.explode(own), "q": F.lit("")}).join(scopes, ["scope", "q"], "left_semi")
-    place = F.lit("place")
-    parts = [
-        shrink(prune(fixed), ["scope", "q"]),
-        prune(at_place.drop("place_city", "hood").withColumn("scope", place)),
-        shrink(prune(at_address.withColumn("scope", place)), ["scope", "q"]),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _Places(places.by_place.join(asked, "q", "left_semi"), places.by_address.join(asked, "q", "left_semi"))
+
+
+def _at_asked(located: DataFrame, by_place: DataFrame) -> DataFrame:
+    """Rows of the places that some location matches."""
+    return located.join(by_place.select(_PLACE).distinct(), _PLACE, "left_semi")
+
+
+def _at_address(lean: DataFrame, places: _Places) -> DataFrame:
+    """Listings for the locations that match their address, but not their place."""
+    located = lean.where(F.col("hood") != "")
+    found = located.join(places.by_address, "address").join(places.by_place, [*_PLACE, "q"], "left_anti")
+    return found.withColumn("scope", F.lit("place"))
+
+
+def _everywhere(rows: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Rows of the scopes that are no place: a usable listing belongs to "any", and to "blank" as well if it has no
+    neighborhood."""
+    own = F.when(F.col("hood") == "", F.array(F.lit("any"), F.lit("blank"))).otherwise(F.array(F.lit("any")))
+    return rows.withColumns({"scope": F.explode(own), "q": F.lit("")}).join(scopes, ["scope", "q"], "left_semi")
+
+
+def _handed_out(rows: DataFrame, by_place: DataFrame) -> DataFrame:
+    """Rows of a place, once for each location that matches it."""
+    return rows.join(by_place, _PLACE).drop(*_PLACE).withColumn("scope", F.lit("place"))
 
 
 def _group_matches(scoped: DataFrame, groups: DataFrame, want_tokens: DataFrame) -> DataFrame:
@@ -302,20 +311,27 @@ def _ask(questions: DataFrame, strict: Column) -> DataFrame:
 
 
 class Corpus:
-    """Usable listings in the form a search reads, and their distinct places, addresses and cuisine lists, staged once for
-    any number of searches."""
+    """Usable listings in the form a search reads, their numbers by place, cuisine list, cost and rating, and their distinct
+    places, addresses and cuisine lists, staged once for any number of searches."""
 
     def __init__(self, listings: DataFrame):
         # The filter runs on the staged flag: ahead of the stage Spark would move it below the projection of names and
         # cities, which every row would then pass twice, in one method too long for the JVM to compile.
         self.lean = _usable(stage(_searched(listings), "lean"))
-        located = self.lean.where(F.col("hood") != "")
-        self.places, self.addresses, self.tag_lists = together(
-            listings.sparkSession,
-            lambda: stage(located.select("place_city", "hood").distinct(), "places"),
+        spark, located = listings.sparkSession, self.lean.where(F.col("hood") != "")
+        counts = self.lean.groupBy(*_PLACE, *_CELL).agg(F.count(F.lit(1)).alias("n"))
+        self.counts, self.addresses = together(
+            spark,
+            lambda: stage(counts, "counts"),
             lambda: stage(located.select("address").distinct(), "addresses"),
-            lambda: stage(self.lean.select("tags").distinct(), "tag-lists"),
         )
+        placed = self.counts.where(F.col("hood") != "").select(*_PLACE, "tags")
+        self.place_tags, self.tag_lists = together(
+            spark,
+            lambda: stage(placed.distinct(), "place-tags"),
+            lambda: stage(self.counts.select("tags").distinct(), "tag-lists"),
+        )
+        self.places = stage(self.place_tags.select(_PLACE).distinct(), "places")
 
 
 class ProfileSearch:
@@ -333,7 +349,7 @@ class ProfileSearch:
             lambda: _requests(prefs, cfg),
             lambda: listings if isinstance(listings, Corpus) else Corpus(listings),
         )
-        self.lean = corpus.lean
+        self.corpus, self.lean = corpus, corpus.lean
         self.places, self.want_tokens, self.groups = together(
             spark,
             lambda: _match_places(corpus, self.requests),
@@ -358,12 +374,16 @@ class ProfileSearch:
     def _cells(self) -> tuple[DataFrame, DataFrame]:
         """(cost-rating cells per group, listings per scope)."""
 
-        def weigh(rows: DataFrame, keys: list[str]) -> DataFrame:
-            return rows.groupBy(*keys, "tags", "cost", "rating").agg(F.count(F.lit(1)).alias("n"))
+        def weigh(rows: DataFrame) -> DataFrame:
+            return rows.groupBy("scope", "q", *_CELL).agg(F.sum("n").alias("n"))
 
         scopes = self.groups.select("scope", "q").distinct()
-        scoped = stage(_scoped(self.lean, self.places, weigh, scopes), "scoped")
-        self.scoped = scoped
+        places, counts = _asked_places(self.places, scopes), self.corpus.counts
+        located = counts.where(F.col("hood") != "")
+        everywhere = weigh(_everywhere(counts, scopes))
+        at_place = _handed_out(_at_asked(located, places.by_place), places.by_place)
+        at_address = weigh(_at_address(self.lean, places).withColumn("n", F.lit(1).cast("bigint")))
+        self.scoped = scoped = stage(everywhere.unionByName(at_place).unionByName(at_address), "scoped")
         self.matches = stage(_group_matches(scoped, self.groups, self.want_tokens), "matches")
         cells = (
             scoped.join(self.matches, ["scope", "q", "tags"])
@@ -511,8 +531,8 @@ class ProfileSearch:
         return self.profiles.join(self.stops().select("req", "stop", "relaxations"), "req").drop("req")
 
     def _floors(self, parts: list, k: int) -> DataFrame:
-        """(scope, q, tags, floors), where ``floors`` gives for a part of the costs the rating that ``k`` listings in the
-        parts below it reach, if there are as many.
+        """(scope, q, tags, floors), where ``floors`` gives for each part of the costs the rating that ``k`` listings in the
+        parts below it reach, NULL if there are not as many.
 
         A listing rated lower has ``k`` before it whatever the cap, so it answers no question.
         """
@@ -531,8 +551,21 @@ class ProfileSearch:
             .groupBy(*key, "part")
             .agg(F.max("rating").alias("floor"))
         )
-        floors = F.map_from_entries(F.collect_list(F.struct("part", "floor"))).alias("floors")
-        return stage(reached.groupBy(*key).agg(floors), "floors")
+        floors = F.array(*[F.max(F.when(F.col("part") == i, F.col("floor"))) for i in range(len(parts) + 1)])
+        return stage(reached.groupBy(*key).agg(floors.alias("floors")), "floors")
+
+    def _place_floors(self, by_place: DataFrame, floors: DataFrame, parts: list) -> DataFrame:
+        """(place_city, hood, tags, floors): the lowest of the floors of all locations that a place is handed to."""
+        handed = self.corpus.place_tags.join(by_place, _PLACE)
+        met = handed.join(floors.where(F.col("scope") == "place").drop("scope"), ["q", "tags"], "left")
+
+        def lowest(i: int) -> Column:
+            floor = F.get("floors", F.lit(i))
+            return F.when(F.count(floor) == F.count(F.lit(1)), F.min(floor))
+
+        lows = F.array(*[lowest(i) for i in range(len(parts) + 1)]).alias("floors")
+        found = met.groupBy(*_PLACE, "tags").agg(lows)
+        return stage(found.where(F.exists("floors", lambda f: f.isNotNull())), "place-floors")
 
     def _ranked(self) -> DataFrame:
         """Per request: its first ``max_candidates`` listings, as (req, cand_pos, pos)."""
@@ -546,17 +579,26 @@ class ProfileSearch:
             slim = rows.select(*keys, "tags", "cost", "rating", "rank_votes", "lname", "pos")
             return keep_first(slim, [*keys, "tags", "cost"], order, k)
 
-        rated = self.lean.where((F.col("cost") <= self._reach) & F.col("rating").isNotNull())
         # Parts that double: of every part but the first, as many listings as it holds lie below it.
         parts = [self._cuts[2**i - 1] for i in range(6) if 2**i <= len(self._cuts)]
+        scopes = groups.select("scope", "q").distinct()
+        places = _asked_places(self.places, scopes)
         floors = self._floors(parts, max(1, k))
+        place_floors = self._place_floors(places.by_place, floors, parts)
 
-        def prune(rows: DataFrame) -> DataFrame:
-            floor = F.try_element_at("floors", bucket_of("cost", parts))
-            met = rows.join(floors, ["scope", "q", "tags"], "left")
+        def prune(rows: DataFrame, floors: DataFrame, keys: list[str]) -> DataFrame:
+            met = rows.join(floors, [*keys, "tags"], "left")
+            floor = F.get("floors", bucket_of("cost", parts))
             return met.where(F.coalesce(F.col("rating") >= floor, F.lit(True))).drop("floors")
 
-        scoped = _scoped(rated, self.places, trim, groups.select("scope", "q").distinct(), prune)
+        scope = ["scope", "q"]
+        rated = self.lean.where((F.col("cost") <= self._reach) & F.col("rating").isNotNull())
+        located = rated.where(F.col("hood") != "")
+        everywhere = trim(prune(_everywhere(rated, scopes), floors, scope), scope)
+        kept = trim(prune(_at_asked(located, places.by_place), place_floors, _PLACE), _PLACE)
+        at_place = prune(_handed_out(kept, places.by_place), floors, scope)
+        at_address = trim(prune(_at_address(rated, places), floors, scope), scope)
+        scoped = everywhere.unionByName(at_place).unionByName(at_address)
         matches = self.matches.join(groups, _ID, "left_semi")
         rows = scoped.join(matches, ["scope", "q", "tags"]).drop("scope", "q", "tags")
         costs = self._priced.join(groups, _ID, "left_semi").select(*_ID, "cost")

@@ -504,7 +504,8 @@ def recommend_stream_report(spark: SparkSession, d: str) -> DataFrame:
 
 def recommend_stream_live(spark: SparkSession, d: str) -> DataFrame:
     """A profile stream over a cache: one snapshot answers the first batch, a larger one published later the second."""
-    cache, listings = _folder(spark, "canonical"), _canonical(spark, d)
+    # Two snapshots are published from one projection.
+    cache, listings = _folder(spark, "canonical"), stage(_canonical(spark, d), "listings")
     source, target, state = (_folder(spark, f"live-{n}") for n in ("profiles", "recs", "state"))
     names, corpus, raw = {}, LiveCorpus(spark, cache), prefs_raw(spark, d)
     for name, kept, who in (("first", F.col("pos") % 3 != 0, 0), ("second", F.lit(True), 1)):
