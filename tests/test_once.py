@@ -1,6 +1,7 @@
 """Work that is to be done once: for an answer, for profiles that ask the same, for a listing that no cap can bring up."""
 
 import json
+from pathlib import Path
 
 from venuesieve import CANONICAL, SearchConfig
 from venuesieve.operators import search as search_module
@@ -9,6 +10,8 @@ from venuesieve.operators.search import ProfileSearch
 from venuesieve.plans import recommend
 from venuesieve.sources import staging
 
+from workload import queries
+
 from .test_search import PREFS, expected, listing, profile
 
 
@@ -110,3 +113,22 @@ def test_a_corpus_is_counted_once_and_places_drop_listings_early(spark, monkeypa
             assert got.get(p[0], []) == expected(p, rows, search.cfg)[-1], p
     assert labels.count("counts") == 1 and labels.count("scoped") == 2
     assert len(trimmed) == 2 and max(trimmed) < 600 / 2
+
+
+def test_raw_text_is_packed_and_deleted_when_read(spark, monkeypatch):
+    seen = []
+
+    def noted(session, path, fmt, **options):
+        files = session.read.format("binaryFile").load(path).select("path").collect()
+        seen.append([f.path for f in files])
+        return split(session, path, fmt, **options)
+
+    split = queries.split_raw
+    monkeypatch.setattr(queries, "split_raw", noted)
+    monkeypatch.setattr(queries, "_RAW_ROWS", 500)
+    assert queries.quarantine(spark, "/root/testdata/sf0.001").count() == 10
+    root = Path(staging.staging_root(spark))
+    for files, ending in zip(seen, (".csv.gz", ".txt.gz"), strict=True):
+        assert len(files) >= 5 and all(f.endswith(ending) for f in files)
+        assert not Path(files[0].removeprefix("file:")).exists()
+    assert not list(root.rglob("raw-broken-*"))

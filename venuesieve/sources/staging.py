@@ -47,6 +47,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that will not be read again."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """Tables staged inside, also by ``together``, lie in a folder of their own that is deleted at the end.
@@ -61,8 +68,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         context.setLocalProperty(_SCRATCH, before)
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        discard(spark, folder)
 
 
 def together(spark: SparkSession, *steps: Callable) -> list:

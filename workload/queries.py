@@ -22,7 +22,7 @@ from venuesieve.schemas import CITY, COST
 from venuesieve.sources import canonicalize, load_listings, publish, read_canonical, write_canonical
 from venuesieve.sources.listings import has_required_fields
 from venuesieve.sources.quarantine import rejected_counts, split_raw
-from venuesieve.sources.staging import stage, staging_root
+from venuesieve.sources.staging import discard, scratch, stage, staging_root
 from venuesieve.streaming.ingest import (
     add_batch,
     counted,
@@ -38,6 +38,7 @@ from .tables import listing_raw, prefs_raw, responses, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = SearchConfig()
+_RAW_ROWS = 250_000  # a file of raw text
 _WIDE = "decimal(38,0)"  # a sum of millions of order numbers has more than 64 bits
 
 
@@ -196,24 +197,30 @@ def quarantine(spark: SparkSession, d: str) -> DataFrame:
     copies = F.array_repeat(F.lit(1), F.when(kind == 3, 2).otherwise(1))
     rows = raw.select("*", F.explode(copies).alias("copy")).drop("copy")
     rows = rows.withColumn("pos", F.when(kind == 1, " ").when(kind == 2, F.concat(pos, F.lit(".5"))).otherwise(pos))
-    rows = stage(rows, "raw-broken")
     cut_off, names = F.col("kind") == 4, [c for c in rows.columns if c != "kind"]
     csv, json = _folder(spark, "raw-csv"), _folder(spark, "raw-json")
     plain = {"sep": ";", "quote": "", "header": "true"}
-    longer = F.when(cut_off, F.concat("address", F.lit(";more;fields"))).otherwise(F.col("address"))
-    rows.withColumn("address", longer).select(*names).write.options(emptyValue="", **plain).csv(csv)
-    line = F.to_json(F.struct(*names))
-    shorter = F.when(cut_off, F.substring(line, F.lit(1), F.length(line) - 5)).otherwise(line)
-    rows.select(shorter.alias("value")).write.text(json)
+    # Text is some twenty times as large as the tables it is made of, so it is packed, in files of a bounded number of rows
+    # (a packed file is read as a whole), and what has been read is deleted.
+    packed = {"compression": "gzip", "maxRecordsPerFile": _RAW_ROWS}
+    with scratch(spark):
+        rows = stage(rows, "raw-broken")
+        longer = F.when(cut_off, F.concat("address", F.lit(";more;fields"))).otherwise(F.col("address"))
+        rows.withColumn("address", longer).select(*names).write.options(emptyValue="", **plain, **packed).csv(csv)
+        line = F.to_json(F.struct(*names))
+        shorter = F.when(cut_off, F.substring(line, F.lit(1), F.length(line) - 5)).otherwise(line)
+        rows.select(shorter.alias("value")).write.options(**packed).text(json)
     none, out = F.lit(None).cast(_WIDE), []
     for fmt, path, options in (("csv", csv, plain), ("json", json, {})):
         good, rejected = split_raw(spark, path, fmt, **options)
         wide = [F.sum(F.col(c).cast(_WIDE)).cast(_WIDE).alias(s) for c, s in (("pos", "pos_sum"), ("cost_for_two", "cost_sum"))]
         sums = [F.count(F.lit(1)).alias("n"), *wide]
         apart = rejected_counts(rejected).withColumnsRenamed({"reason": "outcome"})
-        out.append(canonicalize(good).agg(*sums).withColumns({"outcome": F.lit("good"), "fmt": F.lit(fmt)}))
-        out.append(apart.withColumns({"pos_sum": none, "cost_sum": none, "fmt": F.lit(fmt)}))
-    return _narrow(stage(reduce(DataFrame.unionByName, out), "outcomes"), "pos_sum", "cost_sum")
+        through = canonicalize(good).agg(*sums).withColumns({"outcome": F.lit("good"), "fmt": F.lit(fmt)})
+        aside = apart.withColumns({"pos_sum": none, "cost_sum": none, "fmt": F.lit(fmt)})
+        out.append(stage(through.unionByName(aside), "outcomes"))
+        discard(spark, path)
+    return _narrow(reduce(DataFrame.unionByName, out), "pos_sum", "cost_sum")
 
 
 # --- scalar functions -----------------------------------------------------------------------------------------------
