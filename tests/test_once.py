@@ -3,12 +3,15 @@
 import json
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from venuesieve import CANONICAL, SearchConfig
 from venuesieve.operators import search as search_module
 from venuesieve.operators.responses import parse_entries, read_answers
 from venuesieve.operators.search import ProfileSearch
 from venuesieve.plans import recommend
-from venuesieve.sources import staging
+from venuesieve.plans.reuse import ResultStore
+from venuesieve.sources import publish, staging
 
 from workload import queries
 
@@ -132,3 +135,28 @@ def test_raw_text_is_packed_and_deleted_when_read(spark, monkeypatch):
         assert len(files) >= 5 and all(f.endswith(ending) for f in files)
         assert not Path(files[0].removeprefix("file:")).exists()
     assert not list(root.rglob("raw-broken-*"))
+
+
+def test_a_result_store_stages_a_snapshot_once(spark, tmp_path, monkeypatch):
+    labels = []
+
+    def noted(df, label):
+        labels.append(label)
+        return staging.stage(df, label)
+
+    monkeypatch.setattr(search_module, "stage", noted)
+    cache, store = str(tmp_path / "cache"), ResultStore(str(tmp_path / "results"))
+    rows = [listing(i, f"Place {i}", rating=4.0, cost=100 + i) for i in range(8)]
+
+    def found(*profiles):
+        got = store.recommend(spark, spark.createDataFrame(profiles, PREFS), cache)
+        return got.searched.count(), sorted({r.pos for r in got.items.select(F.substring("name", 7, 2).cast("int").alias("pos")).collect()})
+
+    publish(spark.createDataFrame(rows[:6], CANONICAL), cache)
+    with staging.scratch(spark):
+        assert found(profile(1, cap=200)) == (1, [0, 1, 2, 3, 4, 5])
+    assert found(profile(1, cap=200), profile(2, cap=300)) == (1, [0, 1, 2, 3, 4, 5])
+    assert labels.count("lean") == 2
+    assert found(profile(3, cap=400)) == (1, [0, 1, 2, 3, 4, 5]) and labels.count("lean") == 2
+    publish(spark.createDataFrame(rows, CANONICAL), cache)
+    assert found(profile(3, cap=400)) == (1, [0, 1, 2, 3, 4, 5, 6, 7]) and labels.count("lean") == 3

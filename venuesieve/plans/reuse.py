@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from hashlib import sha256
 from json import dumps
 
@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import AnswerConfig, IngestConfig, SearchConfig
+from ..operators.search import Corpus
 from ..schemas import CANONICAL
 from ..sources.cache import newest, read_canonical
-from ..sources.staging import stage
+from ..sources.staging import stage, staging_path
 from .recommend import ITEM_COLUMNS, Recommender
 
 _ASKED = ["location", "max_cost_for_two_inr", "cuisines", "min_rating", "top_k"]
@@ -45,12 +46,23 @@ class ResultStore:
     """Deterministic recommendations at ``path``, by profile digest.
 
     They lie in a folder per corpus snapshot and configuration, so a new snapshot or another knob finds nothing and
-    searches anew; older folders are never read again and may be deleted.
+    searches anew; older folders are never read again and may be deleted. The corpus of the last snapshot that was searched
+    stays staged for the next call.
     """
 
     path: str
     search_config: SearchConfig = SearchConfig()
     answer_config: AnswerConfig = AnswerConfig()
+    _staged: dict = field(default_factory=dict, init=False, repr=False, compare=False)
+
+    def _corpus(self, spark: SparkSession, cache_path: str, config: IngestConfig, snapshot: str) -> Corpus:
+        # What is staged inside a ``scratch`` is found again inside that one only.
+        key = (staging_path(spark, ""), cache_path, config, snapshot)
+        if key not in self._staged:
+            corpus = Corpus(read_canonical(spark, cache_path, config, snapshot))
+            self._staged.clear()
+            self._staged[key] = corpus
+        return self._staged[key]
 
     def _folder(self, snapshot: str) -> str:
         knobs = dumps([asdict(self.search_config), asdict(self.answer_config)], sort_keys=True)
@@ -74,8 +86,8 @@ class ResultStore:
         fresh = asked.dropDuplicates(["digest"]).join(_read(spark, f"{folder}/known", _KNOWN), "digest", "left_anti")
         fresh = stage(fresh, "fresh")
         if not fresh.isEmpty():
-            listings = read_canonical(spark, cache_path, config, snapshot)
-            found = Recommender(fresh.drop("digest"), listings, None, self.search_config, self.answer_config).items()
+            corpus = self._corpus(spark, cache_path, config, snapshot)
+            found = Recommender(fresh.drop("digest"), corpus, None, self.search_config, self.answer_config).items()
             items = found.join(fresh.select("pref_id", "digest"), "pref_id").select(*_STORED)
             items.write.mode("append").parquet(f"{folder}/items")
             fresh.select("digest").write.mode("append").parquet(f"{folder}/known")
